@@ -116,7 +116,7 @@ def test_named_cases(spark):
 def test_actor_lexicon(spark):
     actors = spark.createDataFrame(
         [(1, "APT28", ["Fancy Bear", "Sofacy"]), (2, "Lazarus Group", None), (3, "Sofacy", []), (4, None, ["x"])],
-        "actor_id int, name string, aliases array<string>")
+        "seq long, name string, aliases array<string>")
     got = {r["name"]: r["canonical"] for r in actor_lexicon(actors).collect()}
     assert got == {"apt28": "APT28", "apt 28": "APT28", "fancy bear": "APT28", "sofacy": "Sofacy",
                    "lazarus group": "Lazarus Group"}

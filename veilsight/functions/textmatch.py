@@ -22,8 +22,20 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]++\z", "")
 
 
-def collapse_whitespace(text: Column) -> Column:
-    return F.regexp_replace(text, rf"[{SPACE}]+", " ")
+# The same whitespace as single characters.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def single_blanks(text: Column, swap_from: str = "", swap_to: str = "") -> Column:
+    """Whitespace runs as one blank, after exchanging some characters.
+
+    Only runs of two or more are rewritten: touching every blank costs most of the pass.
+    """
+    blanks = F.translate(text, swap_from + SPACES, swap_to + " " * len(SPACES))
+    return F.trim(F.regexp_replace(blanks, "  +", " "))
 
 
 def quote(word: str) -> str:
@@ -65,4 +77,7 @@ def lexicon_pattern(names) -> str:
 
     if not tree:
         return r"(?!)"
-    return "(?iu)" + EDGE + render(tree)
+    # Most positions are dismissed by their first character alone.
+    first = "(?=[" + "".join(quote(c) for c in sorted(tree)) + "])"
+    left = LEFT if all(c.isalnum() or c == "_" for c in tree) else EDGE
+    return "(?iu)" + first + left + render(tree)

@@ -12,15 +12,16 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import HASH_TYPES, SNIPPET_CHARS, TYPE_ORDER, WHITELIST_KIND
+from ..fixed_values import SNIPPET_CHARS, TYPE_ORDER, WHITELIST_KIND
 from ..functions import patterns as P
 from ..functions import scalars as S
 from ..functions import urls as U
 from ..functions.arrays import empty_array, let, running
-from ..functions.textmatch import any_phrase, collapse_whitespace, lexicon_pattern
+from ..functions.textmatch import any_phrase, lexicon_pattern, single_blanks
 from ..functions.windows import text_chunks, window_text
 from .mentions import occurrences_by_join
 from .reference import Reference, one_of
+from .spread import spread
 
 _HIT = "s int, e int, raw string"
 _CANDIDATE = "s int, e int, prio int, raw string, type string, snippet string"
@@ -28,7 +29,7 @@ _CANDIDATE = "s int, e int, prio int, raw string, type string, snippet string"
 
 def normalize_text(text: Column) -> Column:
     """Straight quotes, single blanks, no blanks at the ends."""
-    return F.trim(collapse_whitespace(F.translate(F.coalesce(text, F.lit("")), "“”‘’", "\"\"''")))
+    return single_blanks(F.coalesce(text, F.lit("")), "“”‘’", "\"\"''")
 
 
 def _marked(text: Column, pattern: str, guard: Column | None = None) -> Column:
@@ -67,11 +68,11 @@ def scans(text: Column, actors, countries) -> list:
     listed = [
         ("url", P.URL, has("://")),
         ("email", P.EMAIL, has("@")),
-        ("file", P.FILE, has(".")),
-        ("domain", P.DOMAIN, has(".")),
-        ("cve", P.CVE, text.rlike("(?iu)cve-")),
-        ("ipv4", P.IPV4, None),
-        ("hash", P.HASH, text.rlike("[a-fA-F0-9]{32}")),
+        ("file", P.FILE, text.rlike(P.FILE_HINT)),
+        ("domain", P.DOMAIN, text.rlike(P.DOMAIN_HINT)),
+        ("cve", P.CVE, text.rlike(P.CVE_HINT)),
+        ("ipv4", P.IPV4, text.rlike(P.IPV4_HINT)),
+        ("hash", P.HASH, text.rlike(P.HASH_HINT)),
     ]
     if actors:
         listed.append(("apt_group_mention", lexicon_pattern(actors), None))
@@ -80,18 +81,19 @@ def scans(text: Column, actors, countries) -> list:
     return listed
 
 
-def _typed(name: str, hit: Column) -> Column:
-    if name == "hash":
-        size = F.length(hit["raw"])
-        name_of = F.when(size == 32, "md5").when(size == 40, "sha1").otherwise("sha256")
-        prio = F.when(size == 32, TYPE_ORDER.index("md5")).when(
-            size == 40, TYPE_ORDER.index("sha1")
-        ).otherwise(TYPE_ORDER.index("sha256"))
-    else:
-        name_of, prio = F.lit(name), F.lit(TYPE_ORDER.index(name))
+def _typed(scan: Column, hit: Column) -> Column:
+    """A hit of one scan as a candidate; hashes are told apart by their length."""
+    size = F.length(hit["raw"])
+    prio = F.coalesce(
+        scan["prio"],
+        F.when(size == 32, TYPE_ORDER.index("md5"))
+        .when(size == 40, TYPE_ORDER.index("sha1"))
+        .otherwise(TYPE_ORDER.index("sha256")),
+    )
+    kinds = F.array(*[F.lit(t) for t in TYPE_ORDER])
     return F.struct(
-        hit["s"].alias("s"), hit["e"].alias("e"), prio.cast("int").alias("prio"),
-        hit["raw"].alias("raw"), name_of.alias("type"),
+        hit["s"].alias("s"), hit["e"].alias("e"), prio.alias("prio"), hit["raw"].alias("raw"),
+        kinds[prio].alias("type"),
     )
 
 
@@ -115,11 +117,20 @@ def _with_snippets(text: Column, found: Column) -> Column:
 
 def candidates(text: Column, actors=(), countries=()) -> Column:
     """Every candidate of a normalised text, unvalidated."""
-    each = [
-        F.transform(hits(text, pattern, guard), partial(_typed, name))
-        for name, pattern, guard in scans(text, actors, countries)
-    ]
-    return let(F.concat(*each), lambda found: _with_snippets(text, found))
+    each = F.array(
+        *[
+            F.struct(
+                F.lit(None if name == "hash" else TYPE_ORDER.index(name)).cast("int").alias("prio"),
+                _marked(text, pattern, guard).alias("pieces"),
+            )
+            for name, pattern, guard in scans(text, actors, countries)
+        ]
+    )
+    found = F.transform(
+        F.filter(each, lambda x: F.size(x["pieces"]) > 1),
+        lambda x: F.transform(_hits(x["pieces"]), partial(_typed, x)),
+    )
+    return let(F.flatten(found), lambda all_found: _with_snippets(text, all_found))
 
 
 def classify(raw: Column, kind: Column, known_tld) -> Column:
@@ -215,21 +226,17 @@ def _in_row(df: DataFrame, text: Column, ref: Reference, actors, countries, tlds
 
 def _by_joins(df, text, ref: Reference, actors, countries, tlds, listed) -> DataFrame:
     """Same result when some reference table is too large for literals."""
-    keys = [c for c in df.columns if c != "_text"]
-    rows = df.select(*keys, F.explode(candidates(text, actors or (), countries or ())).alias("c")).select(
-        *keys, "c.*"
-    )
+    keys = ["article_idx"]
+    found = F.explode_outer(candidates(text, actors or (), countries or ())).alias("c")
+    rows = df.select(*keys, found).filter(F.col("c").isNotNull()).select(*keys, "c.*")
     for table, name in (("actors", "apt_group_mention"), ("countries", "country_mention")):
         if ref.literals(table, "name") is None:
-            found = occurrences_by_join(df.select("article_idx", "_text"), getattr(ref, table))
+            found = occurrences_by_join(df, getattr(ref, table))
             mention = found.select(
                 "article_idx", "s", "e", F.lit(TYPE_ORDER.index(name)).alias("prio"), "raw",
                 F.lit(name).alias("type"), "snippet",
             )
-            others = [c for c in keys if c != "article_idx"]
-            # Article columns come back from the article side, without its text.
-            mention = mention.join(df.select("article_idx", *others), "article_idx")
-            rows = rows.unionByName(mention.select(rows.columns))
+            rows = rows.unionByName(mention)
 
     if tlds is None:
         tld = F.lower(F.substring_index(S.refang(F.col("raw"), F.lit("domain")), ".", -1))
@@ -257,11 +264,10 @@ def _by_joins(df, text, ref: Reference, actors, countries, tlds, listed) -> Data
     )
 
 
-def extract(articles: DataFrame, ref: Reference | None = None) -> DataFrame:
-    """Annotated indicators of ``articles(article_idx, text, ...)``.
+def annotate(articles: DataFrame, ref: Reference | None = None) -> DataFrame:
+    """``articles(article_idx, text, ...)`` with the array ``_hits`` of its indicators.
 
-    Other article columns are passed on. Result: article_idx, ..., pos, end_pos,
-    ioc_value, ioc_type, context_snippet, normalized_value.
+    The text stays in the row, so what needs both runs in the same narrow stage.
     """
     ref = ref or Reference()
     actors = ref.literals("actors", "name")
@@ -272,11 +278,23 @@ def extract(articles: DataFrame, ref: Reference | None = None) -> DataFrame:
 
     names = lambda rows, col: None if rows is None else [r[col] for r in rows if r[col]]
     args = (names(actors, "name"), names(countries, "name"), names(tlds, "tld"), listed)
-    keys = [c for c in articles.columns if c != "text"]
-    df = articles.filter(F.col("text") != "").select(*keys, normalize_text(F.col("text")).alias("_text"))
-    resolved = (_in_row if small else _by_joins)(df, F.col("_text"), ref, *args)
+    df = spread(articles.filter(F.col("text") != ""), "article_idx")
+    if small:
+        return _in_row(
+            df.withColumn("_text", normalize_text(F.col("text"))), F.col("_text"), ref, *args
+        ).drop("_text")
+    # Only the key travels with the candidates; the article comes back at the end.
+    slim = df.select("article_idx", normalize_text(F.col("text")).alias("_text"))
+    found = _by_joins(slim, F.col("_text"), ref, *args)
+    return df.join(found, "article_idx")
+
+
+def hit_rows(annotated: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """One row per indicator of annotated articles, without the text."""
+    keys = [c for c in annotated.columns if c not in ("text", "_hits", "_facts")]
     h = F.col("h")
-    out = resolved.select(*keys, F.explode("_hits").alias("h")).select(
+    # explode() would add a filter on the array, which repeats the whole extraction.
+    out = annotated.select(*keys, F.explode_outer("_hits").alias("h")).filter(h.isNotNull()).select(
         *keys,
         h["s"].alias("pos"),
         h["e"].alias("end_pos"),
@@ -285,7 +303,16 @@ def extract(articles: DataFrame, ref: Reference | None = None) -> DataFrame:
         F.concat(F.lit("..."), h["snippet"], F.lit("...")).alias("context_snippet"),
         h["raw"].alias("_raw"),
     )
-    return canonical_actors(out, ref.actors).drop("_raw")
+    return canonical_actors(out, lexicon).drop("_raw")
+
+
+def extract(articles: DataFrame, ref: Reference | None = None) -> DataFrame:
+    """Annotated indicators of ``articles(article_idx, text, ...)``.
+
+    Other article columns are passed on. Result: article_idx, ..., pos, end_pos,
+    ioc_value, ioc_type, context_snippet, normalized_value.
+    """
+    return hit_rows(annotate(articles, ref), ref.actors if ref else None)
 
 
 def canonical_actors(hits_df: DataFrame, lexicon: DataFrame | None) -> DataFrame:

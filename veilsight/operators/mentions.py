@@ -57,7 +57,8 @@ def occurrences_by_join(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
         F.regexp_extract("_name", rf"^([{WORD}]+|[^{WORD}])", 1).alias("_token"),
     )
     named = (
-        articles.select("article_idx", F.explode(_starts(F.col("_text"), longest)).alias("t"))
+        articles.select("article_idx", F.explode_outer(_starts(F.col("_text"), longest)).alias("t"))
+        .filter(F.col("t").isNotNull())
         .select("article_idx", "t.*")
         .join(names, F.col("token") == F.col("_token"))
     )

@@ -35,10 +35,16 @@ def normalize_whitelist(raw: DataFrame) -> DataFrame:
     ).dropDuplicates()
 
 
+def actor_order() -> list:
+    """Table order of actors: as loaded, then those that articles added, by name."""
+    last = F.lit(2**62)
+    return [F.coalesce(F.col("seq"), last).alias("_seq"), F.col("name").alias("_by")]
+
+
 def actor_lexicon(actors: DataFrame) -> DataFrame:
     """(name, canonical) of every spelling; a later row wins where spellings collide.
 
-    ``actors`` has actor_id, name and aliases (array); actor_id gives the order.
+    ``actors`` has name, aliases (array) and seq, the position in the loaded table.
     """
     named = actors.filter(F.coalesce("name", F.lit("")) != "")
     forms = F.concat(
@@ -52,11 +58,11 @@ def actor_lexicon(actors: DataFrame) -> DataFrame:
         ),
     )
     return (
-        named.select("actor_id", F.col("name").alias("canonical"), F.explode(forms).alias("f"))
-        .select("actor_id", "canonical", F.col("f.step").alias("step"), F.col("f.name").alias("name"))
+        named.select(*actor_order(), F.col("name").alias("canonical"), F.explode(forms).alias("f"))
+        .select("_seq", "_by", "canonical", F.col("f.step").alias("step"), F.col("f.name").alias("name"))
         .filter(F.coalesce("name", F.lit("")) != "")
         .groupBy(F.lower("name").alias("name"))
-        .agg(F.max_by("canonical", F.struct("actor_id", "step")).alias("canonical"))
+        .agg(F.max_by("canonical", F.struct("_seq", "_by", "step")).alias("canonical"))
     )
 
 

@@ -1,0 +1,17 @@
+"""Use of all cores for expensive per-row stages on inputs with few files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Repartition only when there are fewer input partitions than cores.
+
+    A large table already has more splits than cores and is left alone, so nothing wide is
+    shuffled at scale; one small file would otherwise keep a single core busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str, cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -16,7 +17,9 @@ def local_session(name: str, cores: int | str = "*", shuffle_partitions: int = 8
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -30,3 +33,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read back.
+
+    Used where an expensive stage feeds several branches. A lost executor costs nothing
+    of what is written, and the next stage plans with real sizes.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/veilsight-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
