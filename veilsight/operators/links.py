@@ -82,13 +82,13 @@ def links_of_sources(feed_links: DataFrame, html_links: DataFrame) -> DataFrame:
     return feed_links.select("url").unionByName(from_pages.select("url")).distinct()
 
 
-def due_links(links: DataFrame, history: DataFrame, as_of: Column, days: int = RESCAN_DAYS) -> DataFrame:
+def due_links(links: DataFrame, history: DataFrame, as_of: Column | str, days: int = RESCAN_DAYS) -> DataFrame:
     """Links never scanned or last scanned more than ``days`` ago.
 
     An address with an unknown scan time is left out.
     """
     known = history.select("url", "last_scanned", F.lit(True).alias("_known"))
-    limit = as_of.cast("timestamp") - F.expr(f"interval {int(days)} days")
+    limit = F.lit(as_of).cast("timestamp") - F.expr(f"interval {int(days)} days")
     return (
         links.join(known, "url", "left")
         .filter(F.col("_known").isNull() | (F.col("last_scanned") < limit))

@@ -47,28 +47,33 @@ def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return joined.select(*picked)
 
 
-def update_history(history: DataFrame, urls: DataFrame, as_of: Column) -> DataFrame:
+def update_history(history: DataFrame, urls: DataFrame, as_of: Column | str) -> DataFrame:
     """Scanned addresses get ``as_of``; unknown ones are added."""
-    scanned = urls.select("url", as_of.cast("timestamp").alias("last_scanned"))
+    scanned = urls.select("url", F.lit(as_of).cast("timestamp").alias("last_scanned"))
     merged = history.select("url", "last_scanned", F.lit(0).alias("run")).unionByName(
         scanned.select("url", "last_scanned", F.lit(1).alias("run"))
     )
     return merged.groupBy("url").agg(F.max_by("last_scanned", "run").alias("last_scanned"))
 
 
-def new_iocs(batch: Structured, iocs: DataFrame, as_of: Column) -> DataFrame:
+def latest_scans(history: DataFrame) -> DataFrame:
+    """One row per address: the latest known scan, or null when none is known."""
+    return history.groupBy("url").agg(F.max("last_scanned").alias("last_scanned"))
+
+
+def new_iocs(batch: Structured, iocs: DataFrame, as_of: Column | str) -> DataFrame:
     return (
         batch.iocs.select(
             ioc_key(F.col("ioc_value"), F.col("ioc_type")).alias("ioc_id"),
             F.col("ioc_value").alias("value"),
             F.col("ioc_type").alias("type"),
-            as_of.cast("timestamp").alias("first_seen_timestamp"),
+            F.lit(as_of).cast("timestamp").alias("first_seen_timestamp"),
         )
         .join(iocs.select("ioc_id"), "ioc_id", "left_anti")
     )
 
 
-def new_sightings(batch: Structured, sightings: DataFrame, as_of: Column) -> DataFrame:
+def new_sightings(batch: Structured, sightings: DataFrame, as_of: Column | str) -> DataFrame:
     """One sighting per indicator and address that is not known yet."""
     ioc_id = ioc_key(F.col("ioc_value"), F.col("ioc_type"))
     sources = batch.sources.select(ioc_id.alias("ioc_id"), F.col("url").alias("source_article_url"))
@@ -81,7 +86,7 @@ def new_sightings(batch: Structured, sightings: DataFrame, as_of: Column) -> Dat
     return fresh.join(snippets, "ioc_id").select(
         sighting_key(F.col("ioc_id"), F.col("source_article_url")).alias("sighting_id"),
         "ioc_id", "source_article_url", "context_snippet",
-        as_of.cast("timestamp").alias("sighting_timestamp"),
+        F.lit(as_of).cast("timestamp").alias("sighting_timestamp"),
     )
 
 
