@@ -194,7 +194,7 @@ def test_stream_equals_batch(spark):
     dims = {"countries": spark.createDataFrame([("Russia", "EU", "RU", "RUS", ".ru")], J.TABLES["countries"])}
     for part in ([0, 1], [2], [3]):
         df.filter(F.col("article_idx").isin(part)).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    I.run_incremental(spark, f"{root}/in", f"{root}/state", f"{root}/cp", "2024-05-01", ref, dims, max_files=1)
+    I.run_incremental(spark, I.article_stream(spark, f"{root}/in", 1), f"{root}/state", f"{root}/cp", "2024-05-01", ref, dims)
     state = I.load_state(spark, f"{root}/state")
     tables = {**J.empty_tables(spark), **dims}
     want = tables
@@ -208,7 +208,7 @@ def test_stream_equals_batch(spark):
     # A batch without any indicator is not counted as scanned.
     assert sorted(r["url"] for r in state["history"].collect()) == ["http://h/0", "http://h/1", "http://h/3"]
     assert {r["metric"]: r["n"] for r in once.metrics.collect()}["texts"] == 1
-    I.run_incremental(spark, f"{root}/in", f"{root}/state", f"{root}/cp", "2024-06-01", ref, dims)
+    I.run_incremental(spark, I.article_stream(spark, f"{root}/in"), f"{root}/state", f"{root}/cp", "2024-06-01", ref, dims)
     assert I.load_state(spark, f"{root}/state")["sightings"].count() == state["sightings"].count()
 
 

@@ -71,15 +71,13 @@ def top_ioc_types(iocs: DataFrame, limit: int = 7) -> DataFrame:
     return _top(iocs.groupBy("type").agg(F.count("*").alias("ioc_count")), "type", "ioc_count", limit)
 
 
-def top_linked(sightings: DataFrame, bridge: DataFrame, dimension: DataFrame, link: str, name: str,
-               limit: int = 5) -> DataFrame:
-    """Most sighted actors or countries.
+def top_linked(links: DataFrame, dimension: DataFrame, link: str, name: str, limit: int = 5) -> DataFrame:
+    """Most sighted actors or countries, from links (one row per sighting and entry).
 
-    Sightings are counted per link before names are joined, so the join sees one row per
-    actor or country instead of one per sighting.
+    Links are counted before names are joined, so the join sees one row per actor or
+    country instead of one per sighting; a link exists only with its sighting.
     """
-    linked = sightings.select("sighting_id").join(bridge.select("sighting_id", link), "sighting_id")
-    counted = linked.groupBy(link).agg(F.count("*").alias("_n"))
+    counted = links.groupBy(link).agg(F.count("*").alias("_n"))
     named = counted.join(dimension.select(link, name), link).groupBy(name).agg(
         F.sum("_n").alias("sighting_count")
     )

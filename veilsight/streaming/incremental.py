@@ -67,15 +67,17 @@ def process_batch(batch: DataFrame, batch_id: int, state: str, as_of: str, ref:
     _finish(spark, state, batch_id)
 
 
-def run_incremental(spark: SparkSession, articles_dir: str, state: str, checkpoint: str, as_of: str,
-                    ref: Reference, initial: dict | None = None, max_files: int = 1000) -> None:
-    """Process all article files not seen before, then stop."""
+def article_stream(spark: SparkSession, articles_dir: str, max_files: int = 1000) -> DataFrame:
+    """Article files not seen before."""
+    return spark.readStream.schema(ARTICLES).option("maxFilesPerTrigger", max_files).parquet(articles_dir)
+
+
+def run_incremental(spark: SparkSession, articles: DataFrame, state: str, checkpoint: str, as_of: str,
+                    ref: Reference, initial: dict | None = None) -> None:
+    """Process all of the stream ``articles`` that is new, then stop."""
     start_state(spark, state, initial)
-    stream = (
-        spark.readStream.schema(ARTICLES).option("maxFilesPerTrigger", max_files).parquet(articles_dir)
-    )
     query = (
-        stream.writeStream.foreachBatch(lambda df, i: process_batch(df, i, state, as_of, ref))
+        articles.writeStream.foreachBatch(lambda df, i: process_batch(df, i, state, as_of, ref))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
