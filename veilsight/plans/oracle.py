@@ -38,8 +38,8 @@ def _spans(kind: str, pattern: str) -> str:
     lead = kind == "domain"
     raw = "regexp_replace(m, '^[^a-zA-Z0-9]', '')" if lead else "m"
     return f"""
-  SELECT doc_id, t, {_q(kind)} AS kind, at + length(m) - length({raw}) AS s, at + length(m) AS e, {raw} AS raw
-  FROM (SELECT doc_id, t, unnest(ms) AS m, unnest(starts) AS at FROM (
+  SELECT doc_id, t, {_q(kind)} AS kind, gap + length(m) - length({raw}) AS s, gap + length(m) AS e, {raw} AS raw
+  FROM (SELECT doc_id, t, unnest(ms) AS m, unnest(starts) AS gap FROM (
     SELECT doc_id, t, ms, list_transform(range(1, len(ms) + 1), lambda i:
       list_sum(list_transform(gs[1:i], lambda g: length(g)))
       + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)) AS starts
@@ -215,7 +215,7 @@ UNION ALL SELECT 'resolved', v, v FROM made UNION ALL SELECT 'added', v, v FROM
 UNION ALL SELECT 'sup-' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'any supplier', arg_max(s_name, s_suppkey) FROM supplier""",
     "country_match": """WITH m AS (SELECT c_name, 'nation_' || (c_nationkey + length(c_mktsegment) - 8) AS v FROM customer)
 SELECT c_name AS ioc_value, v AS value, CAST(n_nationkey AS VARCHAR) AS iso2_code FROM m LEFT JOIN nation ON lower(n_name) = v""",
-    "rescan_filter": f"""WITH {_HISTORY} SELECT url FROM history WHERE last_scanned < TIMESTAMP '2023-12-31 06:00:00'""",
+    "rescan_filter": f"""WITH {_HISTORY} SELECT url FROM history WHERE last_scanned < TIMESTAMP '2024-01-01 09:00:00'""",
     "scan_history_upsert": f"""WITH {_HISTORY}, scanned AS (SELECT DISTINCT 'https://' || source || '.example.com/' || lang AS url FROM documents)
 SELECT url, {_TEXT.format('last_scanned')} AS last_scanned FROM history WHERE url NOT IN (SELECT url FROM scanned)
 UNION ALL SELECT url, '2024-01-31 00:00:00' FROM scanned""",
@@ -224,7 +224,7 @@ WHERE url ILIKE '%EXAMPLE.com%' AND url ILIKE '%/en/%'""",
     "scan_history_sorted": f"WITH {_HISTORY} SELECT url, {_TEXT.format('last_scanned')} AS last_scanned FROM history ORDER BY lower(url), url",
     "scan_history_prefix": f"""WITH {_HISTORY} SELECT url, {_TEXT.format('last_scanned')} AS last_scanned FROM history WHERE url ILIKE 'https://blog.%'""",
     "scanned_domains": f"SELECT 'Alle' AS domain UNION ALL SELECT DISTINCT {_HOST.format('url')} FROM pages",
-    "known_and_new_urls": f"""WITH {_HISTORY} SELECT url, CASE WHEN last_scanned < TIMESTAMP '2024-01-04' THEN 'known' ELSE 'new' END AS state FROM history""",
+    "known_and_new_urls": f"""WITH {_HISTORY} SELECT url, CASE WHEN last_scanned < TIMESTAMP '2024-01-01 09:00:00' THEN 'known' ELSE 'new' END AS state FROM history""",
     "link_filter": f"WITH {_ANCHORS} SELECT page_id, url, link_text, score FROM scored",
     "link_score": f"WITH {_ANCHORS} SELECT DISTINCT source_url, url FROM scored WHERE score >= 1",
     "link_areas": """SELECT page_id, source_url, regexp_extract(a, 'href="([^"]*)"', 1) AS href, regexp_extract(a, '>([^<]*)<', 1) AS link_text FROM (

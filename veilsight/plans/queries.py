@@ -309,7 +309,7 @@ def country_match(spark, sf_dir):
 
 def rescan_filter(spark, sf_dir):
     links = _read(spark, sf_dir, "pages").select("url").distinct()
-    return L.due_links(links, _history(spark, sf_dir), "2024-01-05 06:00:00")
+    return L.due_links(links, _history(spark, sf_dir), "2024-01-06 09:00:00")
 
 
 def scan_history_upsert(spark, sf_dir):
@@ -341,7 +341,7 @@ def scanned_domains(spark, sf_dir):
 
 def known_and_new_urls(spark, sf_dir):
     pages = _read(spark, sf_dir, "pages").select("url").distinct()
-    history = _history(spark, sf_dir).filter(F.col("last_scanned") < F.lit("2024-01-04").cast("timestamp"))
+    history = _history(spark, sf_dir).filter(F.col("last_scanned") < F.lit("2024-01-01 09:00:00").cast("timestamp"))
     known, new = L.split_known(pages, history)
     return known.withColumn("state", F.lit("known")).unionByName(new.withColumn("state", F.lit("new")))
 
