@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 128
+BLOCK = 64
 
 
 def let(value: Column, body) -> Column:
@@ -13,6 +13,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def evaluated_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds an expensive column that later filters use.
+
+    A filter on a plain column is pushed below it and repeats its expression there; it is
+    not pushed below a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def empty_array(element_ddl: str) -> Column:
     return F.array().cast(f"array<{element_ddl}>")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .arrays import empty_array, let
 
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
+_HOST = r"^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 _RELATIVE = ("", "http", "https", "ftp")
 
 
@@ -25,8 +26,8 @@ def scheme(url: Column) -> Column:
 
 
 def authority(url: Column) -> Column:
-    """Host with port and user info; empty when there is none."""
-    return F.regexp_extract(_clean(url), _PARTS, 2)
+    """Host with port and user info; empty when there is none. Null for a null."""
+    return F.regexp_extract(F.translate(url, "\t\r\n", ""), _HOST, 1)
 
 
 def raw_path(url: Column) -> Column:
@@ -85,51 +86,51 @@ def _merge_paths(base: Column, rel: Column) -> Column:
     segments = F.when(rel.startswith("/"), F.split(rel, "/")).otherwise(
         let(F.split(base, "/"), against)
     )
-    resolved = let(segments, _without_dots)
-    return F.when(resolved == "", "/").otherwise(resolved)
+    return let(
+        let(segments, _without_dots), lambda resolved: F.when(resolved == "", "/").otherwise(resolved)
+    )
 
 
 def resolve(base: Column, href: Column) -> Column:
     """Absolute address of ``href`` found on the page ``base``; an empty fragment is dropped."""
 
     def parts(u):
+        cleaned = _clean(u)
         return F.struct(
-            scheme(u).alias("scheme"),
-            authority(u).alias("host"),
+            *[F.regexp_extract(cleaned, _PARTS, i).alias(n) for i, n in
+              ((1, "scheme"), (2, "host"), (4, "query"), (5, "fragment"))],
             path(u).alias("path"),
             _parameters(u).alias("params"),
-            query(u).alias("query"),
-            fragment(u).alias("fragment"),
         )
 
-    def build(s, host, p, params, q, frag):
-        lead = F.when((host != "") & (p != "") & ~p.startswith("/"), F.concat(F.lit("/"), p)).otherwise(p)
+    def build(r):
+        lead = F.when((r["host"] != "") & (r["path"] != "") & ~r["path"].startswith("/"), "/").otherwise("")
         return F.concat(
-            F.when(s != "", F.concat(s, F.lit(":"))).otherwise(""),
-            F.when(host != "", F.concat(F.lit("//"), host)).otherwise(""),
+            F.when(r["scheme"] != "", F.concat(F.lower(r["scheme"]), F.lit(":"))).otherwise(""),
+            F.when(r["host"] != "", F.concat(F.lit("//"), r["host"])).otherwise(""),
             lead,
-            F.when(params != "", F.concat(F.lit(";"), params)).otherwise(""),
-            F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""),
-            F.when(frag != "", F.concat(F.lit("#"), frag)).otherwise(""),
+            r["path"],
+            F.when(r["params"] != "", F.concat(F.lit(";"), r["params"])).otherwise(""),
+            F.when(r["query"] != "", F.concat(F.lit("?"), r["query"])).otherwise(""),
+            F.when(r["fragment"] != "", F.concat(F.lit("#"), r["fragment"])).otherwise(""),
         )
 
     def join(pair):
         b, h = pair["base"], pair["href"]
-        # A path such as "/a" next to a host-less reference keeps the base's host.
         own_host = h["host"] != ""
-        no_path = (h["path"] == "") & (h["params"] == "")
-        same = build(
-            b["scheme"],
-            F.when(own_host, h["host"]).otherwise(b["host"]),
+        own_path = own_host | (h["path"] != "") | (h["params"] != "")
+        same = F.struct(
+            b["scheme"].alias("scheme"),
+            F.when(own_host, h["host"]).otherwise(b["host"]).alias("host"),
             F.when(own_host, h["path"])
-            .when(no_path, b["path"])
-            .otherwise(_merge_paths(b["path"], h["path"])),
-            F.when(own_host | ~no_path, h["params"]).otherwise(b["params"]),
-            F.when(own_host | ~no_path | (h["query"] != ""), h["query"]).otherwise(b["query"]),
-            h["fragment"],
+            .when(own_path, _merge_paths(b["path"], h["path"]))
+            .otherwise(b["path"]).alias("path"),
+            F.when(own_path, h["params"]).otherwise(b["params"]).alias("params"),
+            F.when(own_path | (h["query"] != ""), h["query"]).otherwise(b["query"]).alias("query"),
+            h["fragment"].alias("fragment"),
         )
-        foreign = (h["scheme"] != "") & (h["scheme"] != b["scheme"])
-        return F.when(foreign | ~b["scheme"].isin(*_RELATIVE), _clean(href)).otherwise(same)
+        foreign = (h["scheme"] != "") & (F.lower(h["scheme"]) != F.lower(b["scheme"]))
+        return F.when(foreign | ~F.lower(b["scheme"]).isin(*_RELATIVE), _clean(href)).otherwise(let(same, build))
 
     joined = let(F.struct(parts(base).alias("base"), parts(href).alias("href")), join)
     return F.when(_clean(href) == "", base).otherwise(joined)

@@ -231,7 +231,7 @@ def _by_joins(df, text, ref: Reference, actors, countries, tlds, listed) -> Data
     rows = df.select(*keys, found).filter(F.col("c").isNotNull()).select(*keys, "c.*")
     for table, name in (("actors", "apt_group_mention"), ("countries", "country_mention")):
         if ref.literals(table, "name") is None:
-            found = occurrences_by_join(df, getattr(ref, table))
+            found = occurrences_by_join(df, getattr(ref, table), ref.max_literals)
             mention = found.select(
                 "article_idx", "s", "e", F.lit(TYPE_ORDER.index(name)).alias("prio"), "raw",
                 F.lit(name).alias("type"), "snippet",

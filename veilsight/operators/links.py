@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import DEFAULT_LINK_KEYWORDS, LINK_BLACKLIST, MIN_LINK_SCORE, RESCAN_DAYS
 from ..functions import scalars as S
 from ..functions import urls as U
+from ..functions.arrays import evaluated_once
 from ..functions.textmatch import strip
 
 
@@ -40,7 +41,7 @@ def same_site(anchors: DataFrame) -> DataFrame:
     """Resolved links to the own host that name no fragment, with their ``path``."""
     href = F.col("href")
     worth = anchors.filter((href != "") & ~strip(href).isin("#", "/"))
-    resolved = worth.withColumn("url", U.resolve(F.col("source_url"), href))
+    resolved = evaluated_once(worth, "url", U.resolve(F.col("source_url"), href))
     return resolved.filter(
         (U.authority(F.col("url")) == U.authority(F.col("source_url"))) & (U.fragment(F.col("url")) == "")
     ).withColumn("path", U.path(F.col("url")))
@@ -66,7 +67,7 @@ def link_score(text: Column, path: Column) -> Column:
 
 def scored_links(flat: DataFrame, keywords=DEFAULT_LINK_KEYWORDS, all_anchors: bool = False) -> DataFrame:
     links = wanted_paths(same_site(page_anchors(flat, all_anchors)), keywords)
-    return links.withColumn("score", link_score(F.col("link_text"), F.col("path")))
+    return evaluated_once(links, "score", link_score(F.col("link_text"), F.col("path")))
 
 
 def article_links(flat: DataFrame, keywords=DEFAULT_LINK_KEYWORDS, min_score: int = MIN_LINK_SCORE,

@@ -9,18 +9,23 @@ from ..fixed_values import SNIPPET_CHARS
 from ..functions.arrays import empty_array, let, running
 from ..functions.textmatch import WORD
 from ..functions.windows import text_chunks, window_text
+from .reference import MAX_LITERALS, bounded
 
 _SPAN = "s int, e int, raw string, snippet string"
 
 
-def _starts(text: Column, longest: int) -> Column:
-    """Where words, or other visible characters, start, each with the text around."""
+def _starts(text: Column, longest: int, firsts: list | None) -> Column:
+    """Where words, or other visible characters, start, each with the text around.
+
+    Only tokens that begin a name, as far as those are few enough to be listed.
+    """
     pieces = F.regexp_extract_all(text, F.lit(rf"([{WORD}]+|[^{WORD}])"), F.lit(1))
     token_ddl = "struct<s:int,token:string>"
 
     def step(at, piece):
         token = F.array(F.struct(at.alias("s"), F.lower(piece).alias("token")))
-        return at + F.length(piece), F.when(piece == " ", empty_array(token_ddl)).otherwise(token)
+        wanted = piece != " " if firsts is None else F.lower(piece).isin(firsts)
+        return at + F.length(piece), F.when(wanted, token).otherwise(empty_array(token_ddl))
 
     def attach(chunks):
         def one(t):
@@ -41,7 +46,7 @@ def _is_word(char: Column) -> Column:
     return char.rlike(rf"^[{WORD}]")
 
 
-def occurrences_by_join(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
+def occurrences_by_join(articles: DataFrame, lexicon: DataFrame, max_literals: int = MAX_LITERALS) -> DataFrame:
     """Leftmost-longest mentions: (article_idx, s, e, raw, snippet).
 
     Each text position that starts a word (or is another visible character) is joined to
@@ -56,8 +61,10 @@ def occurrences_by_join(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
         F.length("_name").alias("_len"),
         F.regexp_extract("_name", rf"^([{WORD}]+|[^{WORD}])", 1).alias("_token"),
     )
+    firsts = bounded(names.select("_token").distinct(), max_literals)
+    firsts = None if firsts is None else [r["_token"] for r in firsts]
     named = (
-        articles.select("article_idx", F.explode_outer(_starts(F.col("_text"), longest)).alias("t"))
+        articles.select("article_idx", F.explode_outer(_starts(F.col("_text"), longest, firsts)).alias("t"))
         .filter(F.col("t").isNotNull())
         .select("article_idx", "t.*")
         .join(names, F.col("token") == F.col("_token"))

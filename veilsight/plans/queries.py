@@ -25,7 +25,7 @@ from ..operators import store as T
 from ..operators.mentions import occurrences_by_join
 from ..operators.reference import Reference, actor_lexicon, whitelist_frame
 from ..operators.spread import spread
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, written
 from ..sources import dimensions as D
 from ..sources.feeds import feed_links
 from ..sources.pages import flatten, read_pages
@@ -99,7 +99,10 @@ def _history(spark, sf_dir) -> DataFrame:
 def _stand_in_batch(spark, sf_dir) -> E.Structured:
     """Structured indicators: parts with the suppliers, nations and line numbers of their items."""
     part = _read(spark, sf_dir, "part")
-    item = _read(spark, sf_dir, "lineitem")
+    item = spread(
+        _read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_orderkey", "l_returnflag"),
+        "l_partkey",
+    )
     supplier = _read(spark, sf_dir, "supplier")
     nation = _read(spark, sf_dir, "nation")
     kinds = F.array(*[F.lit(k) for k in ("ipv4", "domain", "md5", "sha256", "file", "email")])
@@ -135,7 +138,8 @@ def _stand_in_batch(spark, sf_dir) -> E.Structured:
         .withColumn("context_snippet", F.lit("..."))
         .withColumn("description", none)
     )
-    return E.Structured(iocs, sources, mentions)
+    # Read several times by what follows.
+    return E.Structured(written(iocs, "iocs"), written(sources, "sources"), written(mentions, "mentions"))
 
 
 # --- extraction -------------------------------------------------------------------
@@ -207,7 +211,7 @@ def mentions_of_large_lexicon(spark, sf_dir):
     """Openings of documents looked up in all documents; the lexicon grows with the data."""
     docs = spread(_articles(spark, sf_dir), "article_idx").select("article_idx", X.normalize_text(F.col("text")).alias("_text"))
     opening = F.regexp_extract(F.col("_text"), r"^([A-Za-z]{4,})", 1)
-    lexicon = docs.select(F.lower(opening).alias("name")).filter(F.col("name") != "").distinct()
+    lexicon = written(docs.select(F.lower(opening).alias("name")).filter(F.col("name") != "").distinct(), "lexicon")
     found = occurrences_by_join(docs, lexicon)
     return found.groupBy(F.lower("raw").alias("name")).agg(
         F.count("*").alias("mentions"), F.countDistinct("article_idx").alias("articles")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.textmatch import strip
+from ..functions.arrays import evaluated_once
 from ..operators.reference import normalize_whitelist
 from .pages import TABLE_TAGS, flatten
 
@@ -29,27 +29,25 @@ def table_rows(pages: DataFrame, min_cells: int) -> DataFrame:
     """(page_id, seq, row, cells, nodes, texts) of the first table body of each page."""
     nodes = F.col("nodes")
     body = F.get(F.filter(nodes, lambda n: n["tag"] == "tbody"), F.lit(0))
-    flat = _tables(pages).withColumn("body", body).filter(F.col("body").isNotNull())
+    flat = evaluated_once(_tables(pages), "body", body).filter(F.col("body").isNotNull())
+    in_body = F.filter(nodes, lambda n: (n["tag"] == "tr") & _inside(n, F.col("body")))
     rows = flat.select(
-        "page_id", "nodes", "texts",
-        F.posexplode(
-            F.filter(nodes, lambda n: (n["tag"] == "tr") & _inside(n, F.col("body")))
-        ).alias("seq", "row"),
-    )
+        "page_id", "nodes", "texts", F.posexplode_outer(in_body).alias("seq", "row")
+    ).filter(F.col("row").isNotNull())
     cells = F.filter(nodes, lambda n: (n["tag"] == "td") & _inside(n, F.col("row")))
-    return rows.withColumn("cells", cells).filter(F.size("cells") >= min_cells)
+    return evaluated_once(rows, "cells", cells).filter(F.size("cells") >= min_cells)
 
 
 def tlds_from_page(pages: DataFrame) -> DataFrame:
     """(tld) of the spans of class domain in the table tld-table."""
     nodes = F.col("nodes")
     table = F.get(F.filter(nodes, lambda n: (n["tag"] == "table") & (n["elem_id"] == "tld-table")), F.lit(0))
-    flat = _tables(pages).withColumn("table", table).filter(F.col("table").isNotNull())
+    flat = evaluated_once(_tables(pages), "table", table).filter(F.col("table").isNotNull())
     spans = F.filter(
         nodes,
         lambda n: (n["tag"] == "span") & F.array_contains(n["classes"], "domain") & _inside(n, F.col("table")),
     )
-    one = flat.select("texts", F.explode(spans).alias("n"))
+    one = flat.select("texts", F.explode_outer(spans).alias("n")).filter(F.col("n").isNotNull())
     return one.select(F.lower(F.regexp_replace(_text(F.col("n")), r"^\.+", "")).alias("tld")).distinct()
 
 
