@@ -1,17 +1,21 @@
-"""Use of all cores for expensive per-row stages on inputs with few files."""
+"""Use of all cores for expensive per-row stages on small inputs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+SMALL_INPUT = 256 * 1024 * 1024
+
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Repartition only when there are fewer input partitions than cores.
+    """Repartition an input that is small by the planner's estimate.
 
-    A large table already has more splits than cores and is left alone, so nothing wide is
-    shuffled at scale; one small file would otherwise keep a single core busy.
+    A few files that cannot be split would keep most cores idle while each row costs much.
+    A large table has more splits than cores and is never shuffled for this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    if df.isStreaming:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= SMALL_INPUT:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
