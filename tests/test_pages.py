@@ -112,3 +112,41 @@ def test_feeds_win_over_pages(spark):
     html = spark.createDataFrame([("s1", "h1"), ("s3", "h3")], "source_url string, url string")
     assert sorted(r["url"] for r in L.links_of_sources(links, html).collect()) == [
         "h3", "https://e.com/1", "https://e.com/2", "https://e.com/3"]
+
+
+def random_pages(n, seed):
+    import random
+
+    rng = random.Random(seed)
+    tags = ["div", "p", "article", "main", "section", "ul", "li", "h1", "table", "tr", "td", "nav", "b", "a", "pre", "code",
+            "form", "header", "span", "body", "br", "img"]
+    attrs = ["", "", "", " class='ad'", " class='content x'", " id='main'", " class='article-body'", " class='cf note-b'",
+             " href='/x'", " id='my-Post'", " class='tags'", " class=posts", " class='story-link'"]
+    words = ["lorem", "ipsum dolor", "  ", "\n", "&amp;", "é", "a &lt; b", "<!-- c -->", "<script>var t='</p>';</script>",
+             "<style>p{}</style>", "<template>t <p>u</p></template>", "long words to pass the gate of fifty characters"]
+    out = []
+    for _ in range(n):
+        parts = [rng.choice(["", "<body>", "<body><article><p>", "<div class='post-body'><ul>", "<section id=news><p>"])]
+        for _ in range(rng.randrange(1, 40)):
+            kind = rng.random()
+            tag = rng.choice(tags)
+            parts.append(f"<{tag}{rng.choice(attrs)}>" if kind < 0.4 else f"</{tag}>" if kind < 0.6 else rng.choice(words))
+        out.append("".join(parts))
+    return out
+
+
+def test_random_and_given_pages_equal_tree_walk(spark, sf_dir):
+    from brute_force_pages import expected_anchors, expected_article
+
+    given = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    htmls = random_pages(400, 5) + given
+    flat = flatten(pages(spark, *htmls)).cache()
+    got = {r["page_id"]: r["text"] for r in A.article_text(flat, min_chars=5).collect()}
+    for i, html in enumerate(htmls):
+        assert got[i] == expected_article(html, 5), html[:2000]
+    anchors = {}
+    for r in L.page_anchors(flat).collect():
+        anchors.setdefault(r["page_id"], []).append((r["href"], r["link_text"]))
+    for i, html in enumerate(htmls):
+        assert sorted(anchors.get(i, [])) == expected_anchors(html), html[:2000]
+    assert sum(v is not None for v in got.values()) > 100
