@@ -11,21 +11,26 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import urls as U
+from ..functions.arrays import evaluated_once
 
 ALL = "Alle"
 
 
+def _by_month(sightings: DataFrame, *counts: Column) -> DataFrame:
+    """Counts per month; the month is formatted once per group, not once per row."""
+    grouped = sightings.groupBy(F.date_trunc("month", "sighting_timestamp").alias("_month")).agg(*counts)
+    return grouped.select(
+        S.month_key(F.col("_month")).alias("month"), *[c for c in grouped.columns if c != "_month"]
+    )
+
+
 def monthly_iocs(sightings: DataFrame, approximate: bool = False) -> DataFrame:
     count = F.approx_count_distinct if approximate else F.countDistinct
-    return sightings.groupBy(S.month_key(F.col("sighting_timestamp")).alias("month")).agg(
-        count("ioc_id").alias("ioc_count")
-    )
+    return _by_month(sightings, count("ioc_id").alias("ioc_count"))
 
 
 def monthly_sightings(sightings: DataFrame) -> DataFrame:
-    return sightings.groupBy(S.month_key(F.col("sighting_timestamp")).alias("month")).agg(
-        F.count("*").alias("sighting_count")
-    )
+    return _by_month(sightings, F.count("*").alias("sighting_count"))
 
 
 def monthly_series(sightings: DataFrame, as_of: str, months: int = 12) -> DataFrame:
@@ -42,8 +47,8 @@ def monthly_series(sightings: DataFrame, as_of: str, months: int = 12) -> DataFr
     recent = sightings.filter(
         (F.col("sighting_timestamp") >= start) & (F.col("sighting_timestamp") < F.add_months(this, 1))
     )
-    counts = recent.groupBy(S.month_key(F.col("sighting_timestamp")).alias("month")).agg(
-        F.countDistinct("ioc_id").alias("ioc_count"), F.count("*").alias("sighting_count")
+    counts = _by_month(
+        recent, F.countDistinct("ioc_id").alias("ioc_count"), F.count("*").alias("sighting_count")
     )
     return (
         calendar.withColumn("month", S.month_key(F.col("first_day")))
@@ -85,10 +90,10 @@ def top_linked(links: DataFrame, dimension: DataFrame, link: str, name: str, lim
 
 
 def top_sources(sightings: DataFrame, limit: int = 5) -> DataFrame:
-    host = U.authority(F.col("source_article_url")).alias("domain")
-    counted = sightings.select(host).filter(F.col("domain") != "").groupBy("domain").agg(
-        F.count("*").alias("sighting_count")
+    hosts = evaluated_once(
+        sightings.select("source_article_url"), "domain", U.authority(F.col("source_article_url"))
     )
+    counted = hosts.filter(F.col("domain") != "").groupBy("domain").agg(F.count("*").alias("sighting_count"))
     return _top(counted, "domain", "sighting_count", limit)
 
 
