@@ -128,14 +128,18 @@ def search_iocs(iocs: DataFrame, sightings: DataFrame, kind: str | None = None,
                 value: str | None = None, literal: bool = False) -> DataFrame:
     """Indicators of a type whose value contains a text, with their sightings counted.
 
-    Filters come before the join. Indicators without sightings are kept.
+    Sightings of other indicators are dropped before they are counted, so a selective search
+    shuffles little. Indicators without sightings are kept.
     """
     chosen = iocs
     if kind and kind != ALL:
         chosen = chosen.filter(F.col("type") == kind.lower())
     if value:
         chosen = chosen.filter(S.contains_ignoring_case(F.col("value"), value, literal))
-    counted = sightings.groupBy("ioc_id").agg(
+    seen = sightings
+    if chosen is not iocs:
+        seen = sightings.join(chosen.select("ioc_id"), "ioc_id", "left_semi")
+    counted = seen.groupBy("ioc_id").agg(
         F.count("*").alias("sources"), F.max("sighting_timestamp").alias("last_sighting")
     )
     return chosen.join(counted, "ioc_id", "left").withColumn(

@@ -99,11 +99,11 @@ def _typed(scan: Column, hit: Column) -> Column:
 
 def _with_snippets(text: Column, found: Column) -> Column:
     def attach(chunks):
-        length = F.length(text)
-
         def one(c):
+            # Counting the characters of the text again for each hit would be quadratic; a
+            # window past its end is simply shorter.
             low = F.greatest(c["s"] - SNIPPET_CHARS, F.lit(0))
-            high = F.least(c["e"] + SNIPPET_CHARS, length)
+            high = c["e"] + SNIPPET_CHARS
             return F.struct(
                 *[c[n].alias(n) for n in ("s", "e", "prio", "raw", "type")],
                 window_text(chunks, low, high).alias("snippet"),
@@ -264,10 +264,11 @@ def _by_joins(df, text, ref: Reference, actors, countries, tlds, listed) -> Data
     )
 
 
-def annotate(articles: DataFrame, ref: Reference | None = None) -> DataFrame:
+def annotate(articles: DataFrame, ref: Reference | None = None, keep_text: bool = True) -> DataFrame:
     """``articles(article_idx, text, ...)`` with the array ``_hits`` of its indicators.
 
-    The text stays in the row, so what needs both runs in the same narrow stage.
+    The text stays in the row, so what needs both runs in the same narrow stage; without
+    ``keep_text`` it is dropped before anything is joined.
     """
     ref = ref or Reference()
     actors = ref.literals("actors", "name")
@@ -280,13 +281,14 @@ def annotate(articles: DataFrame, ref: Reference | None = None) -> DataFrame:
     args = (names(actors, "name"), names(countries, "name"), names(tlds, "tld"), listed)
     df = spread(articles.filter(F.col("text") != ""), "article_idx")
     if small:
-        return _in_row(
+        done = _in_row(
             df.withColumn("_text", normalize_text(F.col("text"))), F.col("_text"), ref, *args
         ).drop("_text")
+        return done if keep_text else done.drop("text")
     # Only the key travels with the candidates; the article comes back at the end.
     slim = df.select("article_idx", normalize_text(F.col("text")).alias("_text"))
     found = _by_joins(slim, F.col("_text"), ref, *args)
-    return df.join(found, "article_idx")
+    return (df if keep_text else df.drop("text")).join(found, "article_idx")
 
 
 def hit_rows(annotated: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
@@ -312,7 +314,7 @@ def extract(articles: DataFrame, ref: Reference | None = None) -> DataFrame:
     Other article columns are passed on. Result: article_idx, ..., pos, end_pos,
     ioc_value, ioc_type, context_snippet, normalized_value.
     """
-    return hit_rows(annotate(articles, ref), ref.actors if ref else None)
+    return hit_rows(annotate(articles, ref, keep_text=False), ref.actors if ref else None)
 
 
 def canonical_actors(hits_df: DataFrame, lexicon: DataFrame | None) -> DataFrame:

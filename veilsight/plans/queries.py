@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import scalars as S
 from ..functions import urls as U
+from ..functions.arrays import let
 from ..functions.windows import text_chunks, window_text
 from ..operators import articles as A
 from ..operators import dashboards as B
@@ -146,20 +147,26 @@ def _stand_in_batch(spark, sf_dir) -> E.Structured:
 
 
 def _found(spark, sf_dir, pattern: str, hint: str, name: str, kind) -> DataFrame:
+    """Matches of one pattern with the text around, cut while the text is at hand."""
     docs = spread(_articles(spark, sf_dir), "article_idx").select(
         "article_idx", X.normalize_text(F.col("text")).alias("t")
     )
     t = F.col("t")
+
+    def cut(chunks):
+        def one(h):
+            around = window_text(chunks, F.greatest(h["s"] - 50, F.lit(0)), h["e"] + 50)
+            return F.struct(h["s"].alias("s"), h["raw"].alias("raw"), around.alias("around"))
+
+        return F.transform(X.hits(t, pattern), one)
+
     rows = docs.select(
-        "article_idx", "t", F.explode_outer(X.hits(t, pattern, t.rlike(hint))).alias("h")
+        "article_idx", F.explode_outer(F.when(t.rlike(hint), let(text_chunks(t), cut))).alias("h")
     ).filter(F.col("h").isNotNull())
     raw = F.col("h.raw")
-    chunks = text_chunks(t)
-    low = F.greatest(F.col("h.s") - 50, F.lit(0))
-    snippet = window_text(chunks, low, F.least(F.col("h.e") + 50, F.length("t")))
     return rows.select(
         "article_idx", F.col("h.s").alias("pos"), S.refang(raw, F.lit(name)).alias("ioc_value"),
-        kind(raw).alias("ioc_type"), snippet.alias("snippet"),
+        kind(raw).alias("ioc_type"), F.col("h.around").alias("snippet"),
     )
 
 
