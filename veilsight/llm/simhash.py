@@ -73,7 +73,7 @@ def shared_bytes(x: np.ndarray) -> np.ndarray:
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = np.bitwise_xor(a, b)
+    x = np.bitwise_xor(a, b).view(np.uint64)
     near = np.zeros(len(x), bool)
     counted = np.flatnonzero(shared_bytes(x) >= LEAST_SHARED)
     near[counted] = np.bitwise_count(x[counted]) <= MOST_BITS
