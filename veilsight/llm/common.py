@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,7 @@ def documents_of(docs: DataFrame) -> DataFrame:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch of about `most` bytes in one column, a row at least."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     part = (np.cumsum(sizes) - sizes) // most
     starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.array([], int)
     for a, b in zip(starts, np.r_[starts[1:], len(part)], strict=True):

@@ -147,7 +147,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, most_grams: int = MOST_GRAMS) ->
     return out
 
 
-N_HIT = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+N_HIT = "aggregate(spans, 0L, (n, x) -> n + x.e - x.s) AS n_hit"
 CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
 
 
@@ -166,13 +166,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most_grams: int = MOST_
     found = hits(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), benchmark, most_grams)
     listed = F.concat_ws(",", F.array_sort(F.transform("items", lambda i: i.cast("string"))))
     return found.select(
-        "row.doc_id", "n_words", N_HIT.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256")
+        "row.doc_id", "n_words", F.expr(N_HIT), F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256")
     ).withColumn("contaminated", F.expr(CONTAMINATED))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most_grams: int = MOST_GRAMS) -> DataFrame:
     """The clean documents, with all their columns."""
-    found = hits(docs, benchmark, most_grams).select("row", "n_words", N_HIT.alias("n_hit"))
+    found = hits(docs, benchmark, most_grams).select("row", "n_words", F.expr(N_HIT))
     return found.filter(f"not ({CONTAMINATED})").select("row.*")
 
 
