@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, quality, simhash, substring_dedup
+from . import bpe, decontaminate, exact_dedup, quality, simhash, substring_dedup, token_files
 from .common import read
 
 
@@ -15,6 +15,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digests(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -40,7 +44,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_exact_dedup, op4_simhash, op5_quality, op7_bpe, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_substring_dedup, op3_exact_dedup, op4_simhash, op5_quality, op7_bpe, op10_decontaminate)}
 
 #: ASCII lower case in DuckDB: only A-Z change.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
