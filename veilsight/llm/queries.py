@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, quality, simhash, substring_dedup, token_files
+from ..session import checkpoint_dir
+from . import bpe, decontaminate, exact_dedup, html_layout, line_dedup, quality, simhash, substring_dedup, token_files, warc_audit
 from .common import read
 
 
+AS_OF = "2024-01-31T00:00:00Z"
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -36,20 +42,56 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC files in two replicas. In the second, the last sign of some records has been damaged."""
+    pages = read(spark, sf_dir, "pages")
+    path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+
+    def damage(page_id, record):
+        hit = (F.pmod(page_id, F.lit(97)) == 13) & record.endswith(">")
+        return F.when(hit, F.concat(F.regexp_replace(record, ">$", ""), F.lit("#"))).otherwise(record)
+
+    warc_audit.write_warc(pages, f"{path}/a", AS_OF)
+    warc_audit.write_warc(pages, f"{path}/b", AS_OF, damage)
+    found = warc_audit.audit(spark, f"{path}/a", f"{path}/b")
+    page_id = F.regexp_extract("record_id", r"page:(-?\d+)", 1).cast("long")
+    return found.select(page_id.alias("page_id"), "payload_length", "payload_sha256", "intact")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_similar_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_layout.visible_text(read(spark, sf_dir, "pages"))
+    return out.select("page_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "text")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_substring_dedup, op3_exact_dedup, op4_simhash, op5_quality, op7_bpe, op10_decontaminate)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_files, op2_substring_dedup, op3_exact_dedup, op4_simhash, op5_quality, op6_warc_audit, op7_bpe, op8_line_dedup,
+        op9_html_layout, op10_decontaminate,
+    )
+}
 
 #: ASCII lower case in DuckDB: only A-Z change.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op6_warc_audit": """
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_length, sha256(coalesce(html, '')) AS payload_sha256,
+       NOT (page_id % 97 = 13 AND coalesce(html, '') LIKE '%>') AS intact
+FROM pages""",
     "op2_substring_dedup": """
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 x AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
