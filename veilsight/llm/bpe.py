@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents_of, map_rows
-from .pretokens import Pieces, WordBpe, byte_letters, ids_of, kept, load, lowered
+from .pretokens import Pieces, WordBpe, byte_letters, ids_of, kept, load
 
 
 class Encoder:
@@ -114,7 +114,7 @@ class Encoder:
             parts = [q for p in parts for q in (_between(p, token) if isinstance(p, str) else [p])]
             parts = [self.bpe.special[p[0]] if isinstance(p, tuple) else p for p in parts]
         for p in parts:
-            out.append(np.array([p], "<u4").tobytes() if isinstance(p, int) else b"".join(self.words(self.bpe.split(lowered(p)))))
+            out.append(np.array([p], "<u4").tobytes() if isinstance(p, int) else b"".join(self.words(self.bpe.split(self.bpe.normal(p)))))
         return b"".join(out)
 
 
@@ -127,9 +127,7 @@ def _between(text: str, token: str) -> list:
 
 def _build(file: bytes) -> Pieces:
     encoder = Encoder(file)
-    out = Pieces(encoder.words, encoder.text, encoder.bpe.split, encoder.bpe.mark)
-    out.tokens = encoder.bpe.tokens
-    return out
+    return Pieces(encoder.words, encoder.text, encoder.bpe)
 
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -145,7 +143,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     def make(part: pa.RecordBatch) -> dict:
         pieces = kept("index", file.value, _build)
         ids = pieces.texts(part.column("text").to_pylist())
-        return {"doc_id": part.column("doc_id"), "ids": pa.array(ids, pa.binary()), "decoded": [decode(i, pieces.tokens) for i in ids]}
+        return {"doc_id": part.column("doc_id"), "ids": pa.array(ids, pa.binary()), "decoded": [decode(i, pieces.bpe.tokens) for i in ids]}
 
     return map_rows(documents_of(docs), make, "doc_id long, ids binary, decoded string")
 

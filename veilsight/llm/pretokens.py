@@ -30,8 +30,8 @@ def load(path: str) -> bytes:
 class Pieces:
     """Ids of pieces, as little-endian unsigned 32-bit integers, and of whole texts."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_text: Callable[[str], bytes], split: Callable[[str], list[str]], mark: str):
-        self.encode_words, self.encode_text, self.split, self.mark = encode_words, encode_text, split, mark
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_text: Callable[[str], bytes], bpe: WordBpe):
+        self.encode_words, self.encode_text, self.bpe, self.mark = encode_words, encode_text, bpe, bpe.mark
         self.of: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.old_of: dict[str, bytes] = {}
@@ -55,9 +55,9 @@ class Pieces:
             if known is not None:
                 self.of[piece] = known
                 continue
-            lower = lowered(piece)
-            if lower.isascii() or unicodedata.is_normalized("NFC", lower):
-                split[piece] = self.split(lower)
+            lower = self.bpe.normal(piece)
+            if lower.isascii() or not unknown(piece) and unicodedata.is_normalized("NFC", lower):
+                split[piece] = self.bpe.pattern.findall(lower)
             else:
                 odd.append(piece)
         new = {w for ws in split.values() for w in ws if w not in self.words}
@@ -70,11 +70,9 @@ class Pieces:
         self.of.update((p, self.encode_text(p)) for p in odd)
 
 
-def lowered(text: str) -> str:
-    """NFC, then each character lower-cased by itself (no final sigma)."""
-    if text.isascii():
-        return text.lower()
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+def unknown(text: str) -> bool:
+    """Whether a character may be of another Unicode version than Python's: unassigned here, or a mark beyond the first ones."""
+    return not text.isascii() and any(c > "\u036f" and (unicodedata.combining(c) or unicodedata.category(c) == "Cn") for c in text)
 
 
 class WordBpe:
@@ -93,12 +91,19 @@ class WordBpe:
         self.library = tokenizers.Tokenizer.from_str(file.decode())
         self.mark = "<|" if all(t.startswith("<|") for t in self.special) else ""
 
-    def split(self, lower: str) -> list[str]:
-        """Words of a normalised piece. Where Python's Unicode doesn't know a character, the tokenizer's own engine says what it is."""
-        if lower.isascii() or not any(unicodedata.category(c) == "Cn" for c in lower):
-            return self.pattern.findall(lower)
-        norm = self.library.normalizer.normalize_str(lower)
-        return [_from_letters(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(norm)]
+    def normal(self, text: str) -> str:
+        """NFC, then each character lower-cased by itself (no final sigma)."""
+        if text.isascii():
+            return text.lower()
+        if unknown(text):
+            return self.library.normalizer.normalize_str(text)
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def split(self, normal: str) -> list[str]:
+        """Words of a normalised piece. Of characters that may be of another Unicode version the tokenizer's own engine says what they are."""
+        if not unknown(normal):
+            return self.pattern.findall(normal)
+        return [_from_letters(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
 
 def byte_letters() -> list[str]:

@@ -13,20 +13,23 @@ from .common import map_rows
 from .wordhash import words_of
 
 #: Features are hashed into so many weights.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 22
 #: The model is fitted on at most so many labelled rows, those with the smallest hashes of their ids.
 MOST_RATINGS = 20_000
 #: Ratings: 0 toxic, 1 low quality, 2 good.
 GRADES = 3
 #: Chosen are documents whose rating is good with at least this probability.
 LEAST_TAIL = 0.5
-EPOCHS, RATE, DECAY = 60, 0.05, 3e-4
+#: Features of fewer rated documents have no weight.
+LEAST_ROWS = 3
+#: Steps and their size; decay and price of weights; how far rare grades are weighed up (0 not, 1 fully).
+EPOCHS, RATE, DECAY, PRICE, BALANCE = 150, 0.1, 3e-5, 3e-4, 0.35
 
 #: Words: letters, digits and other characters' bytes, in lower case. Marks: runs of ASCII signs.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 MARKS = bytes(32 if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 or c < 32 or c == 127 else c for c in range(256))
 BLANK = np.array([c == 32 for c in range(256)])
-_WORD, _MARK, _SHAPE = np.uint64(0), np.uint64(0x5851F42D4C957F2D), BUCKETS - 64
+_WORD, _MARK, _SHAPE = np.uint64(0), np.uint64(0x5851F42D4C957F2D), BUCKETS - 128
 
 
 def _shapes(text: bytes) -> list[int]:
@@ -41,17 +44,28 @@ def _shapes(text: bytes) -> list[int]:
     return [_SHAPE + level(capitals / letters), _SHAPE + 10 + level(signs / max(1, len(data))), _SHAPE + 20 + level(again)]
 
 
+def _word_shapes(hashes: np.ndarray, first: np.ndarray, words: bool) -> np.ndarray:
+    """Levels of a text's words or marks: how many, and how many are the one before again."""
+    n = np.diff(first)
+    again = np.r_[0, np.cumsum(np.r_[False, hashes[1:] == hashes[:-1]])] if len(hashes) else np.zeros(1, int)
+    share = 10 * (again[first[1:]] - again[first[:-1]]) // np.maximum(n, 1)
+    length = np.minimum(np.log2(n + 1).astype(np.int64), 19)
+    base = _SHAPE + 30 if words else _SHAPE + 62
+    return np.column_stack([base + length, base + 20 + np.minimum(share, 10)])
+
+
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the features present in each text, and where each text's begin (one more at the end)."""
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    parts, docs = [], []
+    parts, docs, forms = [], [], []
     for table, salt in ((LOWER, _WORD), (MARKS, _MARK)):
         of = words_of([t.translate(table) for t in data], BLANK)
-        parts.append(((of.hashes ^ salt) % np.uint64(BUCKETS - 64)).astype(np.int64))
+        parts.append(((of.hashes ^ salt) % np.uint64(BUCKETS - 128)).astype(np.int64))
         docs.append(np.repeat(np.arange(len(data)), np.diff(of.first)))
-    shapes = [_shapes(t) for t in data]
-    parts.append(np.array([x for s in shapes for x in s], np.int64))
-    docs.append(np.repeat(np.arange(len(data)), 3))
+        forms.append(_word_shapes(of.hashes, of.first, salt == _WORD))
+    shapes = np.column_stack([np.array([_shapes(t) for t in data], np.int64).reshape(len(data), 3), *forms])
+    parts.append(shapes.ravel())
+    docs.append(np.repeat(np.arange(len(data)), shapes.shape[1]))
     both = np.unique(np.concatenate(docs) * BUCKETS + np.concatenate(parts))
     doc, index = both // BUCKETS, both % BUCKETS
     return index, np.searchsorted(doc, np.arange(len(data) + 1))
@@ -78,17 +92,20 @@ class Ordinal:
 
 
 def fit_ordinal(index: np.ndarray, bounds: np.ndarray, grades: np.ndarray) -> Ordinal:
-    """Minimum of the mean negative log likelihood with decayed weights, by Adam over all rows.
+    """Minimum of the weighted negative log likelihood with decayed and priced weights, by Adam over all rows.
 
-    Grades weigh alike, however many rows have them. Without rows all probabilities are a half.
+    The price makes most weights zero. Without rows all probabilities are a half.
     """
     weights, first, gap = np.zeros(BUCKETS), 0.0, np.zeros(GRADES - 2)
     n = len(grades)
     if not n:
         return Ordinal(weights, np.zeros(GRADES - 1))
+    often = np.bincount(index, minlength=BUCKETS) >= LEAST_ROWS
+    bounds = np.r_[0, np.cumsum(often[index])][bounds]
+    index = index[often[index]]
     row = np.repeat(np.arange(n), np.diff(bounds))
     counts = np.bincount(grades, minlength=GRADES)
-    share = 1.0 / np.maximum(counts, 1)[grades]
+    share = 1.0 / np.maximum(counts, 1)[grades] ** BALANCE
     share /= share.sum()
     used, place = np.unique(index, return_inverse=True)
     w = np.zeros(len(used))
@@ -113,7 +130,10 @@ def fit_ordinal(index: np.ndarray, bounds: np.ndarray, grades: np.ndarray) -> Or
         for x, g, m, v in ((w, g_w, state[0], state[1]), (cut, g_cut, state[2], state[3])):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            scale = RATE / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            x -= scale * (m / (1 - 0.9**step))
+            if x is w:  # weights that don't earn their price become zero
+                x[:] = np.sign(x) * np.maximum(np.abs(x) - scale * PRICE, 0)
         first, gap = cut[0], cut[1:]
     weights[used] = w
     return Ordinal(weights, np.cumsum(np.r_[first, np.exp(gap)]))
@@ -146,12 +166,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_RATINGS) -> Ordinal
 
 def rate(docs: DataFrame, model: Ordinal, least_tail: float = LEAST_TAIL) -> DataFrame:
     """(row, text, expected_grade, tail_probability, kept); row has all columns of `docs`."""
-    known = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))  # BUCKETS numbers
+    used = np.flatnonzero(model.weights)  # BUCKETS at most, mostly hundreds
+    known = docs.sparkSession.sparkContext.broadcast((used, model.weights[used], model.thresholds))
     out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
 
     def make(part: pa.RecordBatch) -> dict:
         index, bounds = features(part.column("text").to_pylist())
-        tails = Ordinal(*known.value).tails(index, bounds)
+        at, some, thresholds = known.value
+        weights = np.zeros(BUCKETS, np.float32)
+        weights[at] = some
+        tails = Ordinal(weights, thresholds).tails(index, bounds)
         return {"row": part.column("row"), "expected_grade": tails.sum(axis=1), "tail_probability": tails[:, -1], "kept": tails[:, -1] >= least_tail}
 
     return map_rows(out, make, f"row {out.schema['row'].dataType.simpleString()}, expected_grade double, tail_probability double, kept boolean")

@@ -63,7 +63,7 @@ def _library(file: bytes) -> Pieces:
             out += [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
         return out
 
-    return Pieces(words, lambda t: encode([t])[0], bpe.split, bpe.mark)
+    return Pieces(words, lambda t: encode([t])[0], bpe)
 
 
 def _ids(file: bytes, texts: list[str | None]) -> list[bytes]:
