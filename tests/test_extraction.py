@@ -3,9 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from brute_force import SHAPES, clean, expected_hits
-from veilsight.fixed_values import HARMLESS_PHRASES, WHITELIST
-from veilsight.functions import patterns as P
+from constructed import HARMLESS, build, dirty, random_built, snippet
+from veilsight.functions.textmatch import lexicon_pattern
 from veilsight.operators import extraction as X
 from veilsight.operators.mentions import occurrences_by_join
 from veilsight.operators.reference import Reference, actor_lexicon, whitelist_frame
@@ -13,45 +12,37 @@ from veilsight.operators.reference import Reference, actor_lexicon, whitelist_fr
 TLDS = ("com", "org", "net", "zip", "sh", "py", "de")
 ACTORS = ["APT28", "APT 28", "Fancy Bear", "Lazarus Group", "Lazarus"]
 COUNTRIES = ["North Korea", "Russia", "Korea"]
-ATOMS = [
-    "a", "foo", "evil.com", "evil[.]com", "www.evil(.)org", "bad-site.com", "google.com", "user@evil.com",
-    "user[@]evil[.]com", "x.exe", "evil.zip", ".exe", "/tmp/a.sh", "C:\\x.dll", ",", ";", ".", "-", "@", "[.]", "(.)",
-    "1.2.3.4", "1 2 3 4", "10.0.0.1", "8[.]8[.]4[.]4", "8.8.8.8", "224.0.0.1", "999.1.1.1", "5.6.7.8:80",
-    "hxxp://evil[.]com/a?b", "http://google.com/x.html", "https://a b", "ftp://x.y.z.", "HTTPS://É.com/é", "://",
-    "d41d8cd98f00b204e9800998ecf8427e", "d" * 40, "0123456789abcdef" * 4, "é" + "a" * 32, "CVE-2024-12345", "cve-1999-0001",
-    "CVE-2020-0000", "for example", "like", "e.g.", "APT28", "apt 28", "fancy bear", "Lazarus Group", "lazarus", "north korea",
-    "Russia", "Russian", "“x”", "‘y.txt’", "\u00a0", "\t", "\n", "😀", "é", "²", "_", "a.b.c.d.e", "1.1.1.1.1.1",
-    "x" * 70 + ".com", "foo.com-x.1", "foo.com-x.org", "@foo-bar.com", "@foo.bar.com", "a-.b.com", "-a.b.de", "http://http://x.com/y",
-    "\u0301", "K.com", "\u2028", "\x1c", '"', "'", "=", "(", ")", "a.query", "b.7z,c.tar;d.gz", "f.exe.txt", "README.md",
+# Pieces that make up texts without a known answer: both ways of using reference tables must agree on them.
+PIECES = [
+    "a", "word", "host.example.com", "host[.]com", "a.b.c.d.e", "x.exe", ".exe", ",", ";", ".", "-", "@", "[.]", "1.2.3.4", "1 2 3", "10.0.0.1", "hxxp://h[.]com/a",
+    "APT28", "apt 28", "fancy bear", "FANCY", "bear", "Lazarus Group", "lazarus", "north korea", "Türkiye", "TÜRKİYE", "ſofacy", "SOFACY", "Russia", "Russian", "_", "é",
+    "for example", "google.com", "CVE-2024-1234", "“", "\u00a0", "\n", "K", "x" * 70,
 ]
 
 
 def random_texts(n, seed):
     rng = random.Random(seed)
-    out = []
-    for _ in range(n):
-        out.append("".join(rng.choice(ATOMS) + rng.choice(["", "", " ", " ", " ", ".", "\n"]) for _ in range(rng.randrange(1, 40))))
-    return out
+    return ["".join(rng.choice(PIECES) + rng.choice(["", " ", " ", ". "]) for _ in range(rng.randrange(30))) for _ in range(n)]
 
 
 def frame(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "article_idx long, text string")
 
 
-def reference(spark, max_literals=20_000):
+ALL_TABLES = frozenset(["tlds", "whitelist", "actors", "countries"])
+
+
+def reference(spark, joined=frozenset()):
     lex = [(n, "APT28" if n.lower() in ("apt28", "apt 28", "fancy bear") else "Lazarus Group") for n in ACTORS]
     return Reference(
         tlds=spark.createDataFrame([(t,) for t in TLDS], "tld string"),
         whitelist=whitelist_frame(spark),
         actors=spark.createDataFrame([(n.lower(), c) for n, c in lex], "name string, canonical string"),
         countries=spark.createDataFrame([(c,) for c in COUNTRIES], "name string"),
-        max_literals=max_literals,
+        joined=joined,
     )
 
 
-WHITE = {k: {v if k == "ips" else v.lower() for v in vs} for k, vs in WHITELIST.items()}
-
-
 def actual(spark, texts, ref):
     rows = X.extract(frame(spark, texts), ref).collect()
     got = {i: [] for i in range(len(texts))}
@@ -60,48 +51,53 @@ def actual(spark, texts, ref):
     return [sorted(got[i]) for i in range(len(texts))], rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_candidates_match_plain_patterns(spark, seed):
-    texts = [clean(t) for t in random_texts(300, seed)]
-    df = frame(spark, texts)
-    shapes = {"url": P.URL, "email": P.EMAIL, "file": P.FILE, "domain": P.DOMAIN, "cve": P.CVE, "ipv4": P.IPV4}
-    rows = df.select("article_idx", *[X.hits(F.col("text"), p).alias(n) for n, p in shapes.items()],
-                     X.hits(F.col("text"), P.HASH).alias("hash")).collect()
-    for r in rows:
-        text = texts[r["article_idx"]]
-        for name in shapes:
-            want = [(m.start(), m.end(), m.group()) for m in SHAPES[name].finditer(text)]
-            assert [tuple(h) for h in r[name]] == want, (name, text)
-        want = sorted((m.start(), m.end(), m.group()) for k in ("md5", "sha1", "sha256") for m in SHAPES[k].finditer(text))
-        assert [tuple(h) for h in r["hash"]] == want
-
-
-def test_extract_equals_brute_force(spark):
-    texts = random_texts(400, 7)
-    want = [sorted(expected_hits(t, TLDS, WHITE, HARMLESS_PHRASES, ACTORS, COUNTRIES)) for t in texts]
-    got, rows = actual(spark, texts, reference(spark))
-    for t, w, g in zip(texts, want, got):
-        assert g == w, t
-    assert {r["ioc_type"] for r in rows} >= {"url", "email", "file", "domain", "cve", "ipv4", "md5", "sha1", "sha256"}
+@pytest.mark.parametrize("joined", [frozenset(), ALL_TABLES])
+def test_parts_of_built_texts_are_found(spark, joined):
+    built, rng = random_built(300, 7)
+    got, rows = actual(spark, [dirty(rng, text) for text, _ in built], reference(spark, joined))
+    for (text, hits), found in zip(built, got, strict=True):
+        assert found == [(s, e, kind, value, snippet(text, s, e)) for s, e, kind, value in hits], text
+    kinds = {r["ioc_type"] for r in rows}
+    assert kinds == {"url", "email", "file", "domain", "cve", "ipv4", "md5", "sha1", "sha256", "apt_group_mention", "country_mention"}
     for r in rows:
-        if r["ioc_type"] == "apt_group_mention":
-            assert r["normalized_value"] in ("APT28", "Lazarus Group")
-        else:
-            assert r["normalized_value"] is None
-
-
-def test_large_reference_tables_are_joined(spark):
-    texts = random_texts(120, 11)
-    small, _ = actual(spark, texts, reference(spark))
-    large, _ = actual(spark, texts, reference(spark, max_literals=1))
-    assert large == small
-
-
-def test_mixed_sentence(spark):
-    text = "A malicious IP is 1.2.3.4, a domain is bad-site.com, and a hash is d41d8cd98f00b204e9800998ecf8427e."
-    got, _ = actual(spark, [text], Reference(tlds=spark.createDataFrame([("com",)], "tld string"), phrases=()))
-    assert [(t, v) for _, _, t, v, _ in got[0]] == [
-        ("ipv4", "1.2.3.4"), ("domain", "bad-site.com"), ("md5", "d41d8cd98f00b204e9800998ecf8427e")]
+        named = {"apt28": "APT28", "fancy bear": "APT28", "lazarus group": "Lazarus Group"}
+        assert r["normalized_value"] == (named[r["ioc_value"].lower()] if r["ioc_type"] == "apt_group_mention" else None)
+
+
+def test_harmless_context_drops_what_stands_near(spark):
+    rng = random.Random(2)
+    built = [b for b in (build(rng, 1) for _ in range(160)) if "@" not in b[0]]
+    got, _ = actual(spark, [f"{HARMLESS} {text}" for text, _ in built], reference(spark))
+    shift = len(HARMLESS) + 1
+    for (text, hits), found in zip(built, got, strict=True):
+        kept = [h for h in hits if h[2] not in ("url", "domain", "file", "ipv4", "email") or h[0] + shift - 50 > 0]
+        assert [f[:4] for f in found] == [(s + shift, e + shift, k, v) for s, e, k, v in kept], text
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_joined_tables_give_the_same(spark, seed):
+    texts = random_texts(120, seed) + ["", "nothing here", "in TÜRKİYE and Türkiye", "by ſofacy, Sofacy", "x blank start y"]
+    extra = {"countries": ["Türkiye", " blank start", "Russia"], "actors": [("sofacy", "APT28"), ("apt28", "APT28"), ("fancy bear", "APT28")]}
+    results = []
+    for joined in (frozenset(), ALL_TABLES, frozenset(["countries"])):
+        base = reference(spark, joined)
+        ref = Reference(
+            tlds=base.tlds, whitelist=base.whitelist, joined=joined, countries=spark.createDataFrame([(c,) for c in extra["countries"]], "name string"),
+            actors=spark.createDataFrame(extra["actors"], "name string, canonical string"),
+        )
+        annotated = X.annotate(frame(spark, texts), ref)
+        results.append((actual(spark, texts, ref)[0], annotated.count()))
+    assert results[0] == results[1] == results[2]
+    found = [[h[3] for h in hits] for hits in results[0][0][-4:]]
+    assert found == [[], ["TÜRKİYE", "Türkiye"], ["ſofacy", "Sofacy"], ["blank start"]]
+
+
+def test_a_large_table_must_be_named(spark, monkeypatch):
+    from veilsight.operators import reference as module
+
+    monkeypatch.setattr(module, "MAX_LITERALS", 2)
+    with pytest.raises(ValueError, match="joined"):
+        module.bounded(spark.range(4), 2)
 
 
 def test_named_cases(spark):
@@ -129,12 +125,21 @@ def test_long_runs_do_not_overflow(spark):
 
 
 def test_mentions_by_join(spark):
-    texts = [clean(t) for t in random_texts(100, 13)] + ["", "North Korea", "xNorth Korea north koreas,north korea."]
-    df = frame(spark, texts).withColumnRenamed("text", "_text")
-    lex = spark.createDataFrame([(c,) for c in COUNTRIES], "name string")
-    rows = occurrences_by_join(df, lex).collect()
+    names = [*COUNTRIES, "Korea, Republic of", "a-b", "Türkiye", "-x"]
+    texts = [" ".join(t.split()) for t in random_texts(100, 13)] + ["", "North Korea", "xNorth Korea north koreas,north korea.", "KOREA, Republic of Korea, republic", "a-b a-bc -a-b-x y-x"]
+    df = frame(spark, texts)
+    rows = occurrences_by_join(df.withColumnRenamed("text", "_text"), spark.createDataFrame([(c,) for c in names], "name string")).collect()
     got = sorted((r["article_idx"], r["s"], r["e"], r["raw"], r["snippet"]) for r in rows)
-    from brute_force import words
-    want = sorted((i, m.start(), m.end(), m.group(), t[max(0, m.start() - 50):m.end() + 50])
-                  for i, t in enumerate(texts) for m in words(COUNTRIES).finditer(t))
-    assert got == want
+    one_pattern = df.select("article_idx", "text", F.explode(X.hits(F.col("text"), lexicon_pattern(names))).alias("h")).collect()
+    want = sorted((r["article_idx"], r["h"]["s"], r["h"]["e"], r["h"]["raw"], snippet(r["text"], r["h"]["s"], r["h"]["e"])[3:-3]) for r in one_pattern)
+    assert got == want and len(got) > 20
+
+
+def test_rows_of_the_join_do_not_grow_with_the_longest_name(spark):
+    from veilsight.operators.mentions import places_of
+
+    df = frame(spark, ["some words " * 50]).withColumnRenamed("text", "_text")
+    long = spark.createDataFrame([("words",), ("x" * 5000,)], "name string")
+    assert places_of(df, long).filter("name = 'words'").count() == 50
+    plan = str(places_of(df, long)._jdf.queryExecution().optimizedPlan().toString())
+    assert "snippet" not in plan

@@ -38,10 +38,12 @@ def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_text_is_extracted_without_a_shuffle_of_large_inputs(spark, sf_dir, monkeypatch):
-    from veilsight.operators import spread as module
-    monkeypatch.setattr(module, "SMALL_INPUT", 0)
-    plan = physical(QUERIES["extract_resolved"](spark, sf_dir))
+def test_text_is_extracted_without_a_shuffle(spark, sf_dir):
+    from veilsight.operators import extraction as X
+    from veilsight.plans.queries import _reference
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id AS article_idx", "text")
+    plan = physical(X.extract(docs, _reference(spark)))
     assert "Exchange" not in plan and "Python" not in plan
     # The extraction is evaluated in one place only.
     assert plan.count("hxxps") <= 2 * 2

@@ -15,25 +15,27 @@ from veilsight.sources import dimensions as D
 from veilsight.sources import sinks
 from veilsight.streaming import incremental as I
 
-AS_OF = "2025-06-08 10:18:19"
+AS_OF = "2024-11-30 23:59:58"
 MENTION = ("ioc_value string, ioc_type string, mention_type string, value string, normalized_value string, "
            "seen struct<article_idx:long,ppos:int,place:int,mpos:int>, context_snippet string, iso2_code string, description string")
+SUM = "ab" * 16
 
 
 def sample(spark):
+    """A host of one page, an address of two, a checksum, and an address of a kind that has no object."""
     iocs = spark.createDataFrame(
-        [("evil.com", "domain", 1, "evil.com was used\nby APT-X", (0, 1)), ("192.168.1.101", "ipv4", 2, "The IP", (0, 50)),
-         ("d41d8cd98f00b204e9800998ecf8427e", "md5", 1, "An empty file", (1, 3)), ("u", "url", 1, "x", (2, 1))],
+        [("ferry.test", "domain", 1, "ferry.test sank\ntwice", (4, 1)), ("203.0.114.9", "ipv4", 2, "seen at sea", (4, 70)),
+         (SUM, "md5", 1, "a chart", (5, 3)), ("w", "url", 1, "x", (6, 1))],
         "ioc_value string, ioc_type string, occurrence_count long, first_seen_context_snippet string, first_at struct<article_idx:long,pos:int>")
-    a1, a2 = "http://example.com/article1", "http://example.com/article2"
+    log, chart = "https://harbour.test/log", "https://harbour.test/chart"
     sources = spark.createDataFrame(
-        [("evil.com", "domain", a1), ("192.168.1.101", "ipv4", a2), ("192.168.1.101", "ipv4", a1),
-         ("d41d8cd98f00b204e9800998ecf8427e", "md5", a2), ("u", "url", a2)], "ioc_value string, ioc_type string, url string")
+        [("ferry.test", "domain", log), ("203.0.114.9", "ipv4", log), ("203.0.114.9", "ipv4", chart), (SUM, "md5", chart), ("w", "url", chart)],
+        "ioc_value string, ioc_type string, url string")
     mentions = spark.createDataFrame(
-        [("evil.com", "domain", "cve", "CVE-2025-1111", None, (0, 1, 1, 20), "...", None, None),
-         ("evil.com", "domain", "apt_group_mention", "APT-X", "APT-X", (0, 1, 1, 30), "...", None, "d"),
-         ("192.168.1.101", "ipv4", "country_mention", "russia", None, (0, 50, 50, 60), "...", "RU", None),
-         ("192.168.1.101", "ipv4", "country_mention", "Narnia", None, (0, 50, 50, 70), "...", None, None)], MENTION)
+        [("ferry.test", "domain", "cve", "CVE-2019-20001", None, (4, 1, 1, 20), "...", None, None),
+         ("ferry.test", "domain", "apt_group_mention", "Gull", "Gull", (4, 1, 1, 30), "...", None, "d"),
+         ("203.0.114.9", "ipv4", "country_mention", "russia", None, (4, 70, 70, 90), "...", "RU", None),
+         ("203.0.114.9", "ipv4", "country_mention", "Atlantis", None, (4, 70, 70, 95), "...", None, None)], MENTION)
     return Structured(iocs, sources, mentions)
 
 
@@ -48,6 +50,13 @@ def test_insert_if_absent_and_upsert(spark):
     assert got == [("G1", "a", 1), ("G2", None, 2), ("G3", "c", None)]
 
 
+def test_of_several_new_rows_with_a_key_the_last_counts(spark):
+    old = spark.createDataFrame([("G1", "a", 9)], "mitre_id string, name string, seq long")
+    new = spark.createDataFrame([("G1", "z", 1), ("G1", "b", 2), ("G2", "y", 3), ("G2", None, 4)], "mitre_id string, name string, seq long")
+    got = sorted(tuple(r) for r in T.upsert(old, new, "mitre_id", last_by="seq").collect())
+    assert got == [("G1", "b", 2), ("G2", None, 4)]
+
+
 def test_load_twice(spark):
     batch = sample(spark)
     tables = J.empty_tables(spark)
@@ -56,11 +65,11 @@ def test_load_twice(spark):
     assert fresh.count() == 5 and T.new_iocs(batch, tables["iocs"], AS_OF).count() == 4
     linked = T.bridges(batch, fresh, tables["actors"], countries)
     assert linked["countries"].count() == 2 and linked["cves"].count() == 1 and linked["actors"].count() == 1
-    assert [r["name"] for r in linked["added_actors"].collect()] == ["APT-X"]
+    assert [r["name"] for r in linked["added_actors"].collect()] == ["Gull"]
     iocs = T.new_iocs(batch, tables["iocs"], AS_OF)
     assert T.new_iocs(batch, iocs, AS_OF).count() == 0
     assert T.new_sightings(batch, fresh, AS_OF).count() == 0
-    key = T.ioc_key(F.lit("192.168.1.101"), F.lit("ipv4"))
+    key = T.ioc_key(F.lit("203.0.114.9"), F.lit("ipv4"))
     ids = spark.range(1).select(key.alias("ioc_id"))
     state = {"iocs": iocs, "sightings": fresh, "sighting_countries": linked["countries"], "sighting_cves": linked["cves"]}
     left = T.delete_ioc(ids, state)
@@ -88,16 +97,16 @@ def test_history_update(spark):
 def test_records_csv_json(spark):
     batch = sample(spark)
     rows = {r["ioc_value"]: r for r in R.csv_records(R.records(batch, AS_OF)).collect()}
-    ip = rows["192.168.1.101"]
-    assert ip["source_article_urls"] == "http://example.com/article1|http://example.com/article2"
-    assert ip["associated_countries"] == "russia;Narnia" and ip["associated_cves"] == ""
-    assert rows["evil.com"]["first_seen_context_snippet"] == "evil.com was used by APT-X"
-    assert rows["evil.com"]["normalized_apts"] == "APT-X"
+    ip = rows["203.0.114.9"]
+    assert ip["source_article_urls"] == "https://harbour.test/chart|https://harbour.test/log" and ip["part"] == 0
+    assert ip["associated_countries"] == "russia;Atlantis" and ip["associated_cves"] == ""
+    assert rows["ferry.test"]["first_seen_context_snippet"] == "ferry.test sank twice"
+    assert rows["ferry.test"]["normalized_apts"] == "Gull"
     path = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     counts = sinks.export(batch, path, AS_OF)
     assert counts["json"] == 4 and counts["csv"] == 4
     back = spark.read.json(f"{path}/json")
-    assert {r["file_key"] for r in back.collect()} >= {"domain_evil.com.json"}
+    assert {r["file_key"] for r in back.collect()} >= {"domain_ferry.test.json"}
     csv = spark.read.option("header", True).option("escape", '"').csv(f"{path}/csv")
     assert csv.columns[:4] == ["ioc_value", "ioc_type", "discovery_timestamp", "occurrence_count"] and csv.count() == 4
     kinds = [json.loads(r["value"])["type"] for r in spark.read.text(f"{path}/stix").collect()]
@@ -112,34 +121,38 @@ def test_long_lists_are_split_not_cut(spark):
     sources = spark.range(n).select(F.lit("a.com").alias("ioc_value"), F.lit("domain").alias("ioc_type"), F.concat(F.lit("u"), "id").alias("url"))
     batch = Structured(iocs, sources, spark.createDataFrame([], MENTION))
     rows = R.records(batch, AS_OF, max_items=50).collect()
-    assert len(rows) == 10 and sorted(u for r in rows for u in r["source_article_urls"]) == sorted(f"u{i}" for i in range(n))
+    assert sorted(r["part"] for r in rows) == list(range(10))
+    nested = R.records(batch, AS_OF, max_items=50)
+    assert len({r["file_key"] for r in R.json_records(nested).collect()}) == 10
+    assert len({r["part"] for r in R.csv_records(nested).collect()}) == 10
+    assert sorted(u for r in rows for u in r["source_article_urls"]) == sorted(f"u{i}" for i in range(n))
 
 
 def test_stix_bundle(spark):
     import uuid
     batch = sample(spark)
-    row = X.bundle(X.bundle_objects(batch, AS_OF)).first()
-    data = json.loads(row["json"])
+    lines = X.framed(X.bundle_objects(batch, AS_OF)).orderBy("part", "id").collect()
+    data = json.loads("".join(r["line"] for r in lines))
     assert data["type"] == "bundle" and data["spec_version"] == "2.1" and data["id"].startswith("bundle--")
-    assert len(data["objects"]) == row["object_count"]
+    assert len(data["objects"]) == len(lines) - 2
+    empty = X.framed(X.bundle_objects(batch, AS_OF).limit(0)).orderBy("part", "id").collect()
+    assert json.loads("".join(r["line"] for r in empty))["objects"] == []
     domain = next(o for o in data["objects"] if o["type"] == "domain-name")
     space = uuid.UUID("00abedb4-aa42-466c-9c01-fed23315a9b7")
-    assert domain["value"] == "evil.com" and domain["id"] == f"domain-name--{uuid.uuid5(space, json.dumps({'value': 'evil.com'}, separators=(',', ':')))}"
+    assert domain["value"] == "ferry.test" and domain["id"] == f"domain-name--{uuid.uuid5(space, json.dumps({'value': 'ferry.test'}, separators=(',', ':')))}"
     assert next(o for o in data["objects"] if o["type"] == "location")["name"] == "Russia"
-    assert next(o for o in data["objects"] if o["type"] == "file")["hashes"] == {"MD5": "d41d8cd98f00b204e9800998ecf8427e"}
-    with pytest.raises(ValueError):
-        X.bundle(X.bundle_objects(batch, AS_OF), max_objects=1)
+    assert next(o for o in data["objects"] if o["type"] == "file")["hashes"] == {"MD5": SUM}
 
 
 def test_dimension_pages(spark):
     def page(html):
         return spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
 
-    apts = """<table><tbody><tr><td><a>G0018</a></td><td>admin@338</td><td> a , b,,</td><td>desc</td></tr><tr><td>x</td></tr>
-              <tr><td>G0130</td><td>Ajax</td><td></td><td>d2</td></tr></tbody></table>"""
+    row = "<tr><td><a>{}</a></td><td>{}</td><td>{}</td><td>{}</td></tr>"
+    apts = "<table><tbody>" + row.format("N1", "Gull", " Tern , Auk,,", "seabird") + "<tr><td>odd</td></tr>" + row.format("N2", "Eider", "", "duck") + "</tbody></table>"
     got = D.actors_from_page(page(apts)).orderBy("seq").collect()
     assert [(r["mitre_id"], r["name"], r["aliases"], r["description"]) for r in got] == [
-        ("G0018", "admin@338", ["a", "b"], "desc"), ("G0130", "Ajax", [], "d2")]
+        ("N1", "Gull", ["Tern", "Auk"], "seabird"), ("N2", "Eider", [], "duck")]
     cells = "<td>{}</td><td></td><td>{}</td><td>{}</td><td>{}</td><td></td><td></td><td>{}</td>"
     countries = "<tbody><tr>" + cells.format("AS", "<span>x</span><span style='display:table'>Korea, Republic of</span>", "KR", "KOR", ".kr") + \
         "</tr><tr>" + cells.format("EU", "Moldova, Republic of", "MD", "MDA", ".md") + "</tr></tbody>"
@@ -148,8 +161,12 @@ def test_dimension_pages(spark):
     tlds = "<table id='tld-table'><tr><td><span class='domain tld'><a>.COM</a></span></td></tr></table><span class=domain>.no</span>"
     assert [r["tld"] for r in D.tlds_from_page(page(tlds)).collect()] == ["com"]
     tables = {**J.empty_tables(spark), "actors": D.actors_from_page(page(apts))}
-    after = J.refresh(tables, {"apts": page(apts.replace("Ajax", "Ajax Team"))})
-    assert sorted(r["name"] for r in after["actors"].collect()) == ["Ajax Team", "admin@338"]
+    after = J.refresh(tables, {"apts": page(apts.replace("Eider", "King Eider"))})
+    assert sorted(r["name"] for r in after["actors"].collect()) == ["Gull", "King Eider"]
+    twice = page(apts.replace("</tbody>", row.format("N2", "Scoter", "", "x") + row.format("N3", "B", "", "x") + row.format("N3", "A", "", "x") + "</tbody>"))
+    assert sorted(r["name"] for r in J.refresh(tables, {"apts": twice})["actors"].collect()) == ["A", "Gull", "Scoter"]
+    both = "<tbody><tr>" + cells.format("EU", "Border", "BB", "BBB", ".bb") + "</tr><tr>" + cells.format("AS", "Border", "BB", "BBB", ".bb") + "</tr></tbody>"
+    assert [r["continent_code"] for r in J.refresh(J.empty_tables(spark), {"countries": page(both)})["countries"].collect()] == ["EU"]
 
 
 def test_settings_files(spark):
@@ -162,7 +179,7 @@ def test_settings_files(spark):
     assert sorted(r["tld"] for r in D.tlds_from_json(spark, f"{path}/t.json").collect()) == ["com", "org"]
     assert [r["value"] for r in D.list_from_json(spark, f"{path}/t.json", "tlds").collect()] == ["COM", "Org"]
     log = spark.createDataFrame([("a", "2025-06-01 00:00:00"), ("b", "2025-05-01 00:00:00"), ("c", None), ("d", "x")], "name string, last_run string")
-    assert {r["name"]: r["stale"] for r in J.needs_refresh(log, AS_OF).collect()}["a"] is True
+    assert {r["name"]: r["stale"] for r in J.needs_refresh(log, F.lit("2025-06-20")).collect()}["a"] is True
     assert {r["name"]: r["stale"] for r in J.needs_refresh(log, F.lit("2025-06-05")).collect()} == {"a": False, "b": True, "c": True, "d": True}
 
 
@@ -217,7 +234,11 @@ def test_whole_run(spark):
     pages = spark.createDataFrame([(2, "https://e.com/2024/05/x.html", "<article><p>The bad host evil.com was seen in Russia along with CVE-2024-12345 again.</p></article>"),
                                    (3, "https://e.com/other", "<p>x</p>")], "page_id long, url string, html string")
     tables = {**J.empty_tables(spark), "countries": spark.createDataFrame([("Russia", "EU", "RU", "RUS", ".ru")], J.TABLES["countries"])}
-    out = J.run(listing, None, pages, tables, F.lit("2024-05-02"), reference(spark))
+    target = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    out = J.run(listing, None, pages, tables, F.lit("2024-05-02"), reference(spark), export_to=f"{target}/out", formats=("csv", "stix"))
+    counted = {r["metric"]: r["n"] for r in out.metrics.collect()}
+    assert counted["exported csv"] == 1 and counted["exported stix"] >= 3 and "exported json" not in counted
+    assert spark.read.option("header", True).csv(f"{target}/out/csv").count() == 1
     after = out.applied(tables)
     assert [(r["value"], r["type"]) for r in after["iocs"].collect()] == [("evil.com", "domain")]
     assert after["sighting_countries"].count() == 1 and after["sighting_cves"].count() == 1

@@ -12,7 +12,6 @@ TYPE_ORDER = (
 )
 PRIMARY_TYPES = ("ipv4", "domain", "md5", "sha256", "file", "email")
 ALL_PRIMARY_TYPES = PRIMARY_TYPES + ("sha1", "url")
-HASH_TYPES = ("md5", "sha1", "sha256")
 MENTION_TYPES = ("cve", "country_mention", "apt_group_mention")
 
 # --- file extensions recognised in text ------------------------------------
@@ -92,10 +91,6 @@ LINK_BLACKLIST = (
     "/categories",
 )
 DEFAULT_LINK_KEYWORDS = ("/offer/", "/deals/")
-DEFAULT_SOURCES = (
-    "https://www.bleepingcomputer.com/", "https://thehackernews.com/",
-    "https://blog.talosintelligence.com/",
-)
 MIN_LINK_SCORE = 3
 RESCAN_DAYS = 5
 REFRESH_DAYS = 7

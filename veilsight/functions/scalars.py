@@ -68,10 +68,6 @@ def whole_second(ts: Column) -> Column:
     return F.date_trunc("second", ts)
 
 
-def same_ignoring_case(a: Column, b: Column) -> Column:
-    return F.lower(a) == F.lower(b)
-
-
 def _like_pattern(text: str, literal: bool) -> str:
     if literal:
         for special in ("\\", "%", "_"):
@@ -115,10 +111,6 @@ def join_list(items: Column, separator: str) -> Column:
     return F.array_join(items, separator)
 
 
-def sorted_distinct(items: Column) -> Column:
-    return F.sort_array(F.array_distinct(items))
-
-
 def word_count(text: Column) -> Column:
     cleaned = strip(text)
     words = F.size(F.split(cleaned, rf"[{SPACE}]+"))

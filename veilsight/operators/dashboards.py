@@ -63,11 +63,6 @@ def monthly_series(sightings: DataFrame, as_of: str, months: int = 12) -> DataFr
     )
 
 
-def has_data(series: DataFrame, count: str = "ioc_count") -> DataFrame:
-    """Whether a chart has anything to show."""
-    return series.agg((F.coalesce(F.sum(count), F.lit(0)) > 0).alias("shown"))
-
-
 def _top(counted: DataFrame, name: str, count: str, limit: int) -> DataFrame:
     return counted.orderBy(F.desc(count), F.asc(name)).limit(limit)
 

@@ -21,7 +21,6 @@ from ..functions.textmatch import any_phrase, lexicon_pattern, single_blanks
 from ..functions.windows import text_chunks, window_text
 from .mentions import occurrences_by_join
 from .reference import Reference, one_of
-from .spread import spread
 
 _HIT = "s int, e int, raw string"
 _CANDIDATE = "s int, e int, prio int, raw string, type string, snippet string"
@@ -225,13 +224,13 @@ def _in_row(df: DataFrame, text: Column, ref: Reference, actors, countries, tlds
 
 
 def _by_joins(df, text, ref: Reference, actors, countries, tlds, listed) -> DataFrame:
-    """Same result when some reference table is too large for literals."""
+    """Same result when some reference table is joined."""
     keys = ["article_idx"]
     found = F.explode_outer(candidates(text, actors or (), countries or ())).alias("c")
     rows = df.select(*keys, found).filter(F.col("c").isNotNull()).select(*keys, "c.*")
     for table, name in (("actors", "apt_group_mention"), ("countries", "country_mention")):
         if ref.literals(table, "name") is None:
-            found = occurrences_by_join(df, getattr(ref, table), ref.max_literals)
+            found = occurrences_by_join(df, getattr(ref, table))
             mention = found.select(
                 "article_idx", "s", "e", F.lit(TYPE_ORDER.index(name)).alias("prio"), "raw",
                 F.lit(name).alias("type"), "snippet",
@@ -279,7 +278,7 @@ def annotate(articles: DataFrame, ref: Reference | None = None, keep_text: bool
 
     names = lambda rows, col: None if rows is None else [r[col] for r in rows if r[col]]
     args = (names(actors, "name"), names(countries, "name"), names(tlds, "tld"), listed)
-    df = spread(articles.filter(F.col("text") != ""), "article_idx")
+    df = articles.filter(F.col("text") != "")
     if small:
         done = _in_row(
             df.withColumn("_text", normalize_text(F.col("text"))), F.col("_text"), ref, *args
@@ -288,7 +287,9 @@ def annotate(articles: DataFrame, ref: Reference | None = None, keep_text: bool
     # Only the key travels with the candidates; the article comes back at the end.
     slim = df.select("article_idx", normalize_text(F.col("text")).alias("_text"))
     found = _by_joins(slim, F.col("_text"), ref, *args)
-    return (df if keep_text else df.drop("text")).join(found, "article_idx")
+    # Articles without hits stay, as in the other branch.
+    out = (df if keep_text else df.drop("text")).join(found, "article_idx", "left")
+    return out.withColumn("_hits", F.coalesce("_hits", empty_array(f"struct<{_VALID}>")))
 
 
 def hit_rows(annotated: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:

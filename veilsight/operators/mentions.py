@@ -1,7 +1,15 @@
-"""Mentions of a lexicon that is too large for one pattern, found by joins."""
+"""Mentions of a lexicon that is too large for one pattern, found by joins.
+
+Between word edges a name starts and ends where a piece of text does: a word, or a single
+other character. So each text gives the hash of every run of pieces that is as many long
+as some name is, and those are joined to the hashes of the names. No text travels with
+them, whatever the longest name is, and all pieces of a name are in its key.
+"""
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,96 +17,119 @@ from ..fixed_values import SNIPPET_CHARS
 from ..functions.arrays import empty_array, let, running
 from ..functions.textmatch import WORD
 from ..functions.windows import text_chunks, window_text
-from .reference import MAX_LITERALS, bounded
 
 _SPAN = "s int, e int, raw string, snippet string"
+_PIECE = rf"([{WORD}]+|[^{WORD}])"
 
 
-def _starts(text: Column, longest: int, firsts: list | None) -> Column:
-    """Where words, or other visible characters, start, each with the text around.
+@cache
+def _folds() -> tuple[str, str]:
+    """Characters whose case-insensitive form isn't their lower case: upper-cased first they meet another letter's."""
+    odd = {"İ": "i"}
+    for code in range(128, 0x2FFF):
+        char = chr(code)
+        upper = char.upper() if len(char.upper()) == 1 else char
+        lower = upper.lower() if len(upper.lower()) == 1 else "i"
+        if lower != char.lower() and len(char) == len(lower):
+            odd[char] = lower
+    return "".join(odd), "".join(odd.values())
 
-    Only tokens that begin a name, as far as those are few enough to be listed.
-    """
-    pieces = F.regexp_extract_all(text, F.lit(rf"([{WORD}]+|[^{WORD}])"), F.lit(1))
-    token_ddl = "struct<s:int,token:string>"
 
-    def step(at, piece):
-        token = F.array(F.struct(at.alias("s"), F.lower(piece).alias("token")))
-        wanted = piece != " " if firsts is None else F.lower(piece).isin(firsts)
-        return at + F.length(piece), F.when(wanted, token).otherwise(empty_array(token_ddl))
+def folded(text: Column) -> Column:
+    """Text as patterns see it that ignore case; as many characters as before."""
+    odd, plain = _folds()
+    # the ends of words matter to lower(), so a last sigma is exchanged afterwards
+    return F.translate(F.lower(F.translate(text, odd, plain)), "ς", "σ")
 
-    def attach(chunks):
-        def one(t):
-            low = F.greatest(t["s"] - SNIPPET_CHARS, F.lit(0))
-            return F.struct(
-                t["s"].alias("s"),
-                t["token"].alias("token"),
-                (t["s"] - low).alias("before"),
-                window_text(chunks, low, t["s"] + longest + SNIPPET_CHARS).alias("around"),
-            )
 
-        return F.transform(running(pieces, F.lit(0), token_ddl, step), one)
+def _is_word(char: Column) -> Column:
+    return char.rlike(rf"^[{WORD}]")
 
-    return let(text_chunks(text), attach)
 
+def _runs(text: Column, sizes: list[int]) -> Column:
+    """(s, h): where each run of `sizes` pieces starts, and the hash of its folded text."""
+    ddl = "struct<s:int,p:string>"
 
-def _is_word(char: Column) -> Column:
-    return char.rlike(rf"^[{WORD}]")
+    def step(at, piece):
+        return at + F.length(piece), F.array(F.struct(at.alias("s"), folded(piece).alias("p")))
+
+    def hashes(places):
+        def of(size):
+            n = F.size(places) - size + 1
+            return F.when(
+                n > 0,
+                F.transform(
+                    F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                    lambda i: F.struct(
+                        F.get(places, i - 1)["s"].alias("s"),
+                        F.xxhash64(F.array_join(F.transform(F.slice(places, i, F.lit(size)), lambda x: x["p"]), "")).alias("h"),
+                    ),
+                ),
+            ).otherwise(empty_array("struct<s:int,h:bigint>"))
+
+        return F.flatten(F.array(*[of(size) for size in sizes]))
 
+    return let(running(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(1)), F.lit(0), ddl, step), hashes)
 
-def occurrences_by_join(articles: DataFrame, lexicon: DataFrame, max_literals: int = MAX_LITERALS) -> DataFrame:
+
+def places_of(articles: DataFrame, names: DataFrame, *by: str) -> DataFrame:
+    """(article_idx, s, name): where names(name) stand between word edges; `by` article_idx, each only in its own article.
+
+    Names are compared folded, by a hash here and by their text in the caller.
+    """
+    listed = names.select(*by, folded(F.col("name")).alias("name")).filter("name <> ''").distinct()
+    pieces = F.size(F.regexp_extract_all("name", F.lit(_PIECE), F.lit(1)))
+    sizes = sorted(r[0] for r in listed.select(pieces.alias("n")).distinct().collect())  # lengths of names, in words
+    if not sizes:
+        return articles.select("article_idx", F.lit(0).alias("s"), F.lit("").alias("name")).limit(0)
+    keyed = listed.select(*[F.col(b).alias(f"_{b}") for b in by], "name", F.xxhash64("name").alias("_h"))
+    runs = articles.select("article_idx", F.explode_outer(_runs(F.col("_text"), sizes)).alias("r")).filter("r is not null")
+    match = F.col("r.h") == F.col("_h")
+    for b in by:
+        match = match & (F.col(b) == F.col(f"_{b}"))
+    return runs.join(keyed, match).select("article_idx", F.col("r.s").alias("s"), "name")
+
+
+def occurrences_by_join(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Leftmost-longest mentions: (article_idx, s, e, raw, snippet).
 
-    Each text position that starts a word (or is another visible character) is joined to
-    the names that begin with the same token, then compared in full: between word edges a
-    name cannot start anywhere else. ``articles`` has article_idx and normalised
-    ``_text``; ``lexicon`` has ``name``.
+    ``articles`` has article_idx and normalised ``_text``; ``lexicon`` has ``name``. What
+    the join finds goes back to its article and is verified there.
     """
-    names = lexicon.select(F.lower("name").alias("_name")).filter(F.col("_name") != "").distinct()
-    longest = names.agg(F.max(F.length("_name"))).first()[0] or 0
-    names = names.select(
-        "_name",
-        F.length("_name").alias("_len"),
-        F.regexp_extract("_name", rf"^([{WORD}]+|[^{WORD}])", 1).alias("_token"),
-    )
-    firsts = bounded(names.select("_token").distinct(), max_literals)
-    firsts = None if firsts is None else [r["_token"] for r in firsts]
-    named = (
-        articles.select("article_idx", F.explode_outer(_starts(F.col("_text"), longest, firsts)).alias("t"))
-        .filter(F.col("t").isNotNull())
-        .select("article_idx", "t.*")
-        .join(names, F.col("token") == F.col("_token"))
-    )
-    before, size = F.col("before"), F.col("_len")
-    raw = F.substring("around", before + 1, size)
-    prev = F.when(before > 0, F.substring(F.col("around"), before, F.lit(1))).otherwise("")
-    after = F.substring(F.col("around"), before + size + 1, F.lit(1))
-    last = F.substring(F.col("around"), before + size, F.lit(1))
-    exact = named.filter(
-        (F.lower(raw) == F.col("_name"))
-        & (_is_word(prev) != _is_word(raw))
-        & (_is_word(last) != _is_word(after))
-    )
-    spans = exact.select(
-        "article_idx",
-        F.struct(
-            F.col("s").alias("s"), (F.col("s") + size).alias("e"), raw.alias("raw"),
-            F.substring(F.col("around"), F.lit(1), before + size + SNIPPET_CHARS).alias("snippet"),
-        ).alias("h"),
+    found = places_of(articles, lexicon).groupBy(F.col("article_idx").alias("_a")).agg(
+        F.collect_list(F.struct("s", "name")).alias("_found")  # bounded by the text of one article
     )
-    # Bounded by the text of one article.
-    found = spans.groupBy("article_idx").agg(F.collect_list("h").alias("hs"))
+    joined = articles.select("article_idx", "_text").join(found, F.col("article_idx") == F.col("_a"))
+
+    def verified(chunks):
+        def one(x):
+            size = F.length(x["name"])
+            low = F.greatest(x["s"] - SNIPPET_CHARS, F.lit(0))
+            around = window_text(chunks, low, x["s"] + size + SNIPPET_CHARS)
+            return let(F.struct(around.alias("t"), (x["s"] - low).alias("b"), size.alias("n")), lambda w: F.struct(
+                x["s"].alias("s"), (x["s"] + w["n"]).alias("e"), F.substring(w["t"], w["b"] + 1, w["n"]).alias("raw"), w["t"].alias("snippet"),
+                _edges(w).alias("ok"), x["name"].alias("name"),
+            ))
+
+        return F.filter(F.transform("_found", one), lambda h: h["ok"] & (folded(h["raw"]) == h["name"]))
+
     ordered = F.array_sort(
-        F.col("hs"),
+        let(text_chunks(F.col("_text")), verified),
         lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(b["e"] - a["e"]),
     )
 
     def step(last_end, h):
         free = h["s"] >= last_end
-        return F.when(free, h["e"]).otherwise(last_end), F.when(free, F.array(h)).otherwise(
-            empty_array(f"struct<{_SPAN}>")
-        )
+        kept = F.array(F.struct(h["s"].alias("s"), h["e"].alias("e"), h["raw"].alias("raw"), h["snippet"].alias("snippet")))
+        return F.when(free, h["e"]).otherwise(last_end), F.when(free, kept).otherwise(empty_array(f"struct<{_SPAN}>"))
+
+    hits = running(ordered, F.lit(0), f"struct<{_SPAN}>", step)
+    return joined.select("article_idx", F.explode_outer(hits).alias("h")).filter("h is not null").select("article_idx", "h.*")
+
 
-    return found.select(
-        "article_idx", F.explode(running(ordered, F.lit(0), f"struct<{_SPAN}>", step)).alias("h")
-    ).select("article_idx", "h.*")
+def _edges(w: Column) -> Column:
+    """Whether what stands in a window at b, n long, has word edges on both sides."""
+    first, last = F.substring(w["t"], w["b"] + 1, F.lit(1)), F.substring(w["t"], w["b"] + w["n"], F.lit(1))
+    before = F.when(w["b"] > 0, F.substring(w["t"], w["b"], F.lit(1))).otherwise("")
+    after = F.substring(w["t"], w["b"] + w["n"] + 1, F.lit(1))
+    return (_is_word(before) != _is_word(first)) & (_is_word(last) != _is_word(after))

@@ -29,8 +29,8 @@ def records(batch: Structured, as_of: Column | str, max_items: int = MAX_ITEMS)
     """One record per indicator, with sorted addresses and mentions as first seen.
 
     An indicator with more than ``max_items`` addresses or mentions becomes several records
-    that share its key and differ in ``part``: nothing is dropped, and no list grows with
-    the data.
+    that share its key and differ in ``part``, from 0 on: nothing is dropped, and no list
+    grows with the data. All parts repeat what is said of the whole indicator, its count too.
     """
     parts = _parts(batch, max_items)
 
@@ -64,7 +64,7 @@ def records(batch: Structured, as_of: Column | str, max_items: int = MAX_ITEMS)
         .join(batch.iocs, _KEY)
         .select(
             *_KEY,
-            F.lit(as_of).cast("timestamp").alias("discovery_timestamp"),
+            S.whole_second(F.lit(as_of).cast("timestamp")).alias("discovery_timestamp"),
             "occurrence_count",
             F.coalesce("source_article_urls", F.array().cast("array<string>")).alias("source_article_urls"),
             "first_seen_context_snippet",
@@ -79,13 +79,14 @@ def records(batch: Structured, as_of: Column | str, max_items: int = MAX_ITEMS)
 
 
 def json_records(nested: DataFrame) -> DataFrame:
-    """Records with the name their file would have; absent lists are left out on writing."""
+    """Records with the name their file would have, one for each part; absent lists are left out on writing."""
     key = F.concat_ws("_", F.col("ioc_type"), S.file_name(F.col("ioc_value")))
-    return nested.withColumn("file_key", F.concat(key, F.lit(".json")))
+    part = F.when(F.col("part") > 0, F.concat(F.lit(".part"), F.col("part").cast("string"))).otherwise("")
+    return nested.withColumn("file_key", F.concat(key, part, F.lit(".json")))
 
 
 def csv_records(nested: DataFrame) -> DataFrame:
-    """The flat columns, in order, all as text but the count."""
+    """The flat columns, in order, all as text but the count, and the part of the indicator's lists."""
 
     def joined(items, field):
         return F.coalesce(F.array_join(F.transform(F.col(items), field), ";"), F.lit(""))
@@ -101,4 +102,4 @@ def csv_records(nested: DataFrame) -> DataFrame:
             "associated_apts", lambda m: F.coalesce(m["normalized_value"], m["value"])
         ),
     }
-    return nested.select(*[values.get(c, F.col(c if c in nested.columns else "ioc_value")).alias(c) for c in CSV_COLUMNS])
+    return nested.select(*[values.get(c, F.col(c if c in nested.columns else "ioc_value")).alias(c) for c in CSV_COLUMNS], "part")

@@ -11,15 +11,16 @@ from ..fixed_values import HARMLESS_PHRASES, WHITELIST
 from ..functions import scalars as S
 from ..functions.textmatch import strip
 
-# Up to this many entries a table becomes literals inside the extraction expression;
-# larger ones are joined.
+# A table of literals may have so many entries; larger ones must be named in `joined`.
 MAX_LITERALS = 20_000
 
 
-def bounded(df: DataFrame, limit: int = MAX_LITERALS) -> list | None:
-    """Rows of a table that is proven small, otherwise None."""
+def bounded(df: DataFrame, limit: int = MAX_LITERALS) -> list:
+    """Rows of a table that must be small."""
     rows = df.limit(limit + 1).collect()
-    return None if len(rows) > limit else rows
+    if len(rows) > limit:
+        raise ValueError(f"a table of more than {limit} entries cannot become literals: name it in Reference.joined")
+    return rows
 
 
 def whitelist_frame(spark: SparkSession, entries=WHITELIST) -> DataFrame:
@@ -68,23 +69,28 @@ def actor_lexicon(actors: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Reference:
-    """What extraction needs to know; every table may be absent."""
+    """What extraction needs to know; every table may be absent.
+
+    Tables are literals of the extraction expression, or joined if the caller names them in
+    ``joined`` (tlds, whitelist, actors, countries). The result is the same.
+    """
 
     tlds: DataFrame | None = None  # (tld), lower case
     whitelist: DataFrame | None = None  # (kind, value), normalised
     actors: DataFrame | None = None  # (name, canonical), name in lower case
     countries: DataFrame | None = None  # (name, ...)
     phrases: tuple = HARMLESS_PHRASES
-    max_literals: int = MAX_LITERALS
+    joined: frozenset = frozenset()
     _cache: dict = field(default_factory=dict, compare=False, repr=False)
 
     def literals(self, table: str, *columns: str) -> list | None:
-        """Entries of a table when it is small; an absent table is an empty one."""
+        """Entries of a table, or None if it is joined; an absent table is an empty one."""
         if table not in self._cache:
             df = getattr(self, table)
-            self._cache[table] = [] if df is None else bounded(
-                df.select(*columns).distinct(), self.max_literals
-            )
+            if df is None:
+                self._cache[table] = []
+            else:
+                self._cache[table] = None if table in self.joined else bounded(df.select(*columns).distinct())
         return self._cache[table]
 
 

@@ -31,8 +31,18 @@ def insert_if_absent(existing: DataFrame, new: DataFrame, *keys: str, first_by=N
     return existing.unionByName(rows.select(new.columns), allowMissingColumns=True)
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """New rows replace those with the same key, column by column; others stay."""
+def upsert(existing: DataFrame, new: DataFrame, key: str, last_by: str | None = None) -> DataFrame:
+    """New rows replace those with the same key, column by column; others stay.
+
+    Of several new rows with a key the last counts, by ``last_by`` or else by all columns.
+    """
+    others = [c for c in new.columns if c != key]
+    if others:
+        order = F.struct(last_by) if last_by else F.struct(*others)
+        one = new.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_row"))
+        new = one.select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
+    else:
+        new = new.distinct()
     changed = [c for c in new.columns if c != key]
     e, n = existing.alias("e"), new.withColumn("_new", F.lit(True)).alias("n")
     joined = e.join(n, F.col(f"e.{key}") == F.col(f"n.{key}"), "full_outer")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from ..session import written
 from ..sources import dimensions as D
 from ..sources.feeds import feed_links
 from ..sources.pages import flatten
+from ..sources.sinks import FORMATS, export
 
 
 @dataclass(frozen=True)
@@ -55,13 +56,15 @@ def select_links(listings: DataFrame, feeds: DataFrame | None, history: DataFram
 
 
 def articles_of(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """(article_idx, url, text, status) of the stored pages of the links.
+    """(article_idx, url, text, status) of the stored pages of the links, of each address the page with the largest id.
 
     The index is a hash of the address: it is the same on every run and needs no global
     order.
     """
     stored = pages.join(links.select("url"), "url", "left_semi").select("page_id", "url", "html")
-    return A.article_text(flatten(stored)).select(
+    newest = stored.groupBy("url").agg(F.max("page_id").alias("page_id"))
+    stored = stored.join(newest, ["url", "page_id"], "left_semi").select("page_id", "url", "html")
+    return A.article_text(flatten(stored), dedupe_nested=True).select(
         F.xxhash64("url").alias("article_idx"), "url", "text", "status"
     ).dropDuplicates(["url"])
 
@@ -85,7 +88,10 @@ def run_articles(articles: DataFrame, links: DataFrame, tables: dict, as_of: Col
     fresh = written(T.new_sightings(batch, tables["sightings"], as_of), "sightings")
     linked = T.bridges(batch, fresh, tables["actors"], tables["countries"])
     # A batch without any indicator does not count as scanned.
-    scanned = links if hits.take(1) or not keep_history_if_empty else links.limit(0)
+    scanned = links
+    if keep_history_if_empty:
+        some = done.select(F.max(F.size("_hits") > 0).alias("some")).filter("some")
+        scanned = links.join(F.broadcast(some), how="left_semi")  # one row at most
     delta = {
         "iocs": T.new_iocs(batch, tables["iocs"], as_of),
         "sightings": fresh,
@@ -106,10 +112,15 @@ def run_articles(articles: DataFrame, links: DataFrame, tables: dict, as_of: Col
 
 
 def run(listings: DataFrame, feeds: DataFrame | None, pages: DataFrame, tables: dict, as_of: Column | str,
-        ref: Reference) -> Run:
-    """Links, texts, indicators, enrichment, tables and scan history."""
+        ref: Reference, export_to: str | None = None, formats=FORMATS) -> Run:
+    """Links, texts, indicators, enrichment, tables, scan history, and exports below `export_to` in the chosen formats."""
     links = written(select_links(listings, feeds, tables["history"], as_of), "links")
-    return run_articles(articles_of(links, pages), links, tables, as_of, ref)
+    out = run_articles(articles_of(links, pages), links, tables, as_of, ref)
+    if export_to is None:
+        return out
+    counts = export(out.batch, export_to, as_of, formats)
+    rows = links.sparkSession.createDataFrame([(f"exported {k}", n) for k, n in sorted(counts.items())], "metric string, n long")
+    return replace(out, metrics=out.metrics.unionByName(rows))
 
 
 TABLES = {
@@ -139,10 +150,10 @@ def refresh(tables: dict, pages: dict, only: str | None = None) -> dict:
         out["tlds"] = D.tlds_from_page(pages["tlds"])
     if "countries" in chosen and "countries" in pages:
         out["countries"] = T.insert_if_absent(
-            tables["countries"], D.countries_from_page(pages["countries"]), "iso2_code"
-        )
+            tables["countries"], D.countries_from_page(pages["countries"], with_seq=True), "iso2_code", first_by=["seq"]
+        ).select(tables["countries"].columns)
     if "apts" in chosen and "apts" in pages:
-        out["actors"] = T.upsert(tables["actors"], D.actors_from_page(pages["apts"]), "mitre_id")
+        out["actors"] = T.upsert(tables["actors"], D.actors_from_page(pages["apts"]), "mitre_id", last_by="seq")
     return out
 
 

@@ -274,7 +274,7 @@ UNION ALL SELECT 'domains', min({_HOST.format('url')}) FROM pages WHERE lower({_
     "csv_flat": f"""WITH {_BATCH} SELECT ioc_value, ioc_type, occurrence_count,
   (SELECT string_agg(url, '|' ORDER BY url) FROM sources s WHERE s.ioc_value = i.ioc_value AND s.ioc_type = i.ioc_type) AS source_article_urls,
   snippet AS first_seen_context_snippet, {_joined('cve')} AS associated_cves, {_joined('country_mention')} AS associated_countries,
-  {_joined('apt_group_mention')} AS associated_apts, {_joined('apt_group_mention', 'upper(value)')} AS normalized_apts FROM iocs i""",
+  {_joined('apt_group_mention')} AS associated_apts, {_joined('apt_group_mention', 'upper(value)')} AS normalized_apts, CAST(0 AS INTEGER) AS part FROM iocs i""",
     "json_flat": f"""WITH {_BATCH} SELECT ioc_type || '_' || replace(ioc_value, ' ', '_') || '.json' AS file_key, occurrence_count,
   CAST((SELECT count(*) FROM sources s WHERE s.ioc_value = i.ioc_value AND s.ioc_type = i.ioc_type) AS INTEGER) AS urls,
   CAST({_of_ioc('apt_group_mention')} AS INTEGER) AS apts, CAST({_of_ioc('cve')} AS INTEGER) AS cves FROM iocs i""",

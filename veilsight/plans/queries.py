@@ -25,7 +25,6 @@ from ..operators import stix
 from ..operators import store as T
 from ..operators.mentions import occurrences_by_join
 from ..operators.reference import Reference, actor_lexicon, whitelist_frame
-from ..operators.spread import spread
 from ..session import checkpoint_dir, written
 from ..sources import dimensions as D
 from ..sources.feeds import feed_links
@@ -43,10 +42,16 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """An input of fewer splits than the session has cores, as a single file that cannot be split, is dealt to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _articles(spark, sf_dir) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     url = F.concat(F.lit("https://"), "source", F.lit(".example.com/post/"), F.col("doc_id").cast("string"))
-    return docs.select(F.col("doc_id").alias("article_idx"), url.alias("url"), "text")
+    return _dealt(docs.select(F.col("doc_id").alias("article_idx"), url.alias("url"), "text"), "article_idx")
 
 
 def _reference(spark) -> Reference:
@@ -100,7 +105,7 @@ def _history(spark, sf_dir) -> DataFrame:
 def _stand_in_batch(spark, sf_dir) -> E.Structured:
     """Structured indicators: parts with the suppliers, nations and line numbers of their items."""
     part = _read(spark, sf_dir, "part")
-    item = spread(
+    item = _dealt(
         _read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_orderkey", "l_returnflag"),
         "l_partkey",
     )
@@ -148,7 +153,7 @@ def _stand_in_batch(spark, sf_dir) -> E.Structured:
 
 def _found(spark, sf_dir, pattern: str, hint: str, name: str, kind) -> DataFrame:
     """Matches of one pattern with the text around, cut while the text is at hand."""
-    docs = spread(_articles(spark, sf_dir), "article_idx").select(
+    docs = _articles(spark, sf_dir).select(
         "article_idx", X.normalize_text(F.col("text")).alias("t")
     )
     t = F.col("t")
@@ -216,7 +221,7 @@ def mention_proximity(spark, sf_dir):
 
 def mentions_of_large_lexicon(spark, sf_dir):
     """Openings of documents looked up in all documents; the lexicon grows with the data."""
-    docs = spread(_articles(spark, sf_dir), "article_idx").select("article_idx", X.normalize_text(F.col("text")).alias("_text"))
+    docs = _articles(spark, sf_dir).select("article_idx", X.normalize_text(F.col("text")).alias("_text"))
     opening = F.regexp_extract(F.col("_text"), r"^([A-Za-z]{4,})", 1)
     lexicon = written(docs.select(F.lower(opening).alias("name")).filter(F.col("name") != "").distinct(), "lexicon")
     found = occurrences_by_join(docs, lexicon)

@@ -56,8 +56,8 @@ def tlds_from_json(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("tlds").alias("tld")).select(F.lower("tld").alias("tld")).distinct()
 
 
-def countries_from_page(pages: DataFrame) -> DataFrame:
-    """(name, continent_code, iso2_code, iso3_code, tld)."""
+def countries_from_page(pages: DataFrame, with_seq: bool = False) -> DataFrame:
+    """(name, continent_code, iso2_code, iso3_code, tld), and seq, the row of the page, if asked for."""
     rows = table_rows(pages, 8)
     cells = F.col("cells")
     shown = F.get(
@@ -74,6 +74,7 @@ def countries_from_page(pages: DataFrame) -> DataFrame:
         _text(cells[3]).alias("iso2_code"),
         _text(cells[4]).alias("iso3_code"),
         _text(cells[7]).alias("tld"),
+        *([F.col("seq").cast("long").alias("seq")] if with_seq else []),
     )
 
 

@@ -22,7 +22,7 @@ from ..fixed_values import (
     SEMANTIC_CONTAINERS,
     TEXT_BLOCKS,
 )
-from ..operators.spread import spread
+from ..session import ship_code
 
 NODE = (
     "id int, last int, tag string, elem_id string, classes array<string>, href string, style string, "
@@ -152,10 +152,10 @@ def flatten(pages: DataFrame, keep=PAGE_TAGS, boilerplate=BOILERPLATE, areas=LIN
         parsed = [_parse(h, keep, boiler, area) for h in html]
         return pd.DataFrame({"nodes": [p[0] for p in parsed], "texts": [p[1] for p in parsed]})
 
+    ship_code(pages.sparkSession)
     parse = F.pandas_udf(parse_batch, StructType.fromDDL(PAGE_PARTS))
-    key = pages.columns[0]
     return (
-        spread(pages, key)
+        pages
         .withColumn("_page", parse("html"))
         .drop("html")
         .select("*", "_page.nodes", "_page.texts")

@@ -60,7 +60,10 @@ def process_batch(batch: DataFrame, batch_id: int, state: str, as_of: str, ref:
     spark = batch.sparkSession
     if batch_id in _finished(spark, state):
         return
-    articles = written(batch.dropDuplicates(["url"]), "batch")
+    # of an address given twice the article with the largest index, then text, counts
+    others = [c for c in batch.columns if c != "url"]
+    last = batch.groupBy("url").agg(F.max_by(F.struct(*others), F.struct("article_idx", "text")).alias("a"))
+    articles = written(last.select(*[F.col(f"a.{c}").alias(c) if c != "url" else F.col("url") for c in batch.columns]), "batch")
     done = run_articles(articles, articles.select("url"), load_state(spark, state, batch_id), F.lit(as_of), ref)
     # An untouched table still gets its (empty) partition.
     _add({**{k: v for k, v in empty_tables(spark).items() if k not in done.delta}, **done.delta}, state, batch_id)
