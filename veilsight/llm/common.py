@@ -17,7 +17,7 @@ __all__ = ["ascii_lower", "documents_of", "keep_rows", "map_rows", "read", "sort
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows of one Arrow batch that are handled at once; a row is never split, so long texts go one by one.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,9 +34,22 @@ def documents_of(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
 
 
+def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column, or with `row.` a field of the row that goes along."""
+    if name.startswith("row."):
+        row = batch.column("row")
+        return pc.struct_field(row, name[4:])
+    return batch.column(name)
+
+
+def texts_of(batch: pa.RecordBatch, name: str = "row.text") -> list[str]:
+    """Texts; null is empty."""
+    return [t or "" for t in column_of(batch, name).cast(pa.string()).to_pylist()]
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch of about `most` bytes in one column, a row at least."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column_of(batch, column).cast(pa.string())), 0)).astype(np.int64)
     part = (np.cumsum(sizes) - sizes) // most
     starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.array([], int)
     for a, b in zip(starts, np.r_[starts[1:], len(part)], strict=True):
@@ -53,6 +66,8 @@ def map_rows(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str,
             for part in slices(batch, text):
                 columns = make(part)
                 yield pa.RecordBatch.from_arrays([as_array(columns[n]) for n in names], names=names)
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

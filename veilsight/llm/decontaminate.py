@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, ship_code, written
+from .common import map_rows, ship_code, texts_of, written
 from .wordhash import covered, window_hashes, words_of
 
 WINDOW = 13
@@ -102,7 +102,7 @@ _SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("from", pa.i
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, most_grams: int = MOST_GRAMS) -> DataFrame:
-    """(row, text, n_words, spans, items): row has all columns of `docs`; a span of hit words has word and byte bounds.
+    """(row, n_words, spans, items): row has all columns of `docs`; a span of hit words has word and byte bounds.
 
     The benchmark's grams are broadcast up to `most_grams` at a time. A larger benchmark is
     held against the documents in blocks, one after another; what is found is united.
@@ -112,8 +112,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, most_grams: int = MOST_GRAMS) ->
     found = written(grams(benchmark), "grams")
     blocks = max(1, -(-found.count() // most_grams))
     row = F.struct(*[docs[c] for c in docs.columns])
-    out = docs.select(row.alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    fields = f"row {out.schema['row'].dataType.simpleString()}, text string, {_SCHEMA}"
+    out = docs.select(row.alias("row"))
+    fields = f"row {out.schema['row'].dataType.simpleString()}, {_SCHEMA}"
     for k in range(blocks):
         part = found if blocks == 1 else found.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == k)
         known = spark.sparkContext.broadcast([(bytes(g), s, i) for g, s, i in part.collect()])
@@ -123,7 +123,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, most_grams: int = MOST_GRAMS) ->
                 _SETS.clear()
                 _SETS[key] = GramSet(known.value)
             grams_of = _SETS[key]
-            texts = [normal(t) for t in batch.column("text").to_pylist()]
+            texts = [normal(t) for t in texts_of(batch)]
             words, hit, items = grams_of.scan(texts)
             offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
             has = "spans" in batch.schema.names
@@ -137,11 +137,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, most_grams: int = MOST_GRAMS) ->
                     items[d].update(batch.column("items")[d].as_py())
                 spans.append([{"s": s, "e": e, "from": int(words.starts[a + s] - offsets[d]), "to": int(words.ends[a + e - 1] - offsets[d])} for s, e in runs])
             return {
-                "row": batch.column("row"), "text": batch.column("text"), "n_words": np.diff(words.first).astype(np.int64),
+                "row": batch.column("row"), "n_words": np.diff(words.first).astype(np.int64),
                 "spans": pa.array(spans, _SPANS), "items": pa.array([sorted(i) for i in items], pa.list_(pa.int64())),
             }
 
-        out = map_rows(out, make, fields)
+        out = map_rows(out, make, fields, "row.text")
         if k + 1 < blocks:
             out = written(out, "hits")
     return out
@@ -190,5 +190,5 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, most_grams: int = MOST_G
             out.append(b"".join([*kept, data[at:]]).decode("utf-8", "surrogatepass"))
         return {"doc_id": part.column("doc_id"), "text": pa.array(out, pa.string())}
 
-    return map_rows(found.select("row.doc_id", "text", "spans"), make, "doc_id long, text string")
+    return map_rows(found.select("row.doc_id", F.coalesce("row.text", F.lit("")).alias("text"), "spans"), make, "doc_id long, text string")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, texts_of
 from .wordhash import words_of
 
 #: Features are hashed into so many weights.
@@ -103,11 +103,15 @@ def fit_ordinal(index: np.ndarray, bounds: np.ndarray, grades: np.ndarray) -> Or
     often = np.bincount(index, minlength=BUCKETS) >= LEAST_ROWS
     bounds = np.r_[0, np.cumsum(often[index])][bounds]
     index = index[often[index]]
-    row = np.repeat(np.arange(n), np.diff(bounds))
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
     counts = np.bincount(grades, minlength=GRADES)
     share = 1.0 / np.maximum(counts, 1)[grades] ** BALANCE
     share /= share.sum()
-    used, place = np.unique(index, return_inverse=True)
+    used = np.flatnonzero(np.bincount(index, minlength=BUCKETS))
+    of = np.zeros(BUCKETS, np.int32)
+    of[used] = np.arange(len(used))
+    place = of[index]
+    del index, of, often
     w = np.zeros(len(used))
     state = [np.zeros(len(used)), np.zeros(len(used)), np.zeros(GRADES - 1), np.zeros(GRADES - 1)]
     for step in range(1, EPOCHS + 1):
@@ -161,24 +165,24 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_RATINGS) -> Ordinal
     rows = map_rows(rated, make, "doc_id long, grade int, found binary").toPandas().sort_values("doc_id")
     each = [np.frombuffer(x, "<i4") for x in rows["found"]]
     bounds = np.cumsum([0, *map(len, each)])
-    return fit_ordinal(np.concatenate(each).astype(np.int64) if each else np.empty(0, np.int64), bounds, rows["grade"].to_numpy(np.int64))
+    return fit_ordinal(np.concatenate(each) if each else np.empty(0, np.int32), bounds, rows["grade"].to_numpy(np.int64))
 
 
 def rate(docs: DataFrame, model: Ordinal, least_tail: float = LEAST_TAIL) -> DataFrame:
-    """(row, text, expected_grade, tail_probability, kept); row has all columns of `docs`."""
+    """(row, expected_grade, tail_probability, kept); row has all columns of `docs`."""
     used = np.flatnonzero(model.weights)  # BUCKETS at most, mostly hundreds
     known = docs.sparkSession.sparkContext.broadcast((used, model.weights[used], model.thresholds))
-    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
     def make(part: pa.RecordBatch) -> dict:
-        index, bounds = features(part.column("text").to_pylist())
+        index, bounds = features(texts_of(part))
         at, some, thresholds = known.value
         weights = np.zeros(BUCKETS, np.float32)
         weights[at] = some
         tails = Ordinal(weights, thresholds).tails(index, bounds)
         return {"row": part.column("row"), "expected_grade": tails.sum(axis=1), "tail_probability": tails[:, -1], "kept": tails[:, -1] >= least_tail}
 
-    return map_rows(out, make, f"row {out.schema['row'].dataType.simpleString()}, expected_grade double, tail_probability double, kept boolean")
+    return map_rows(out, make, f"row {out.schema['row'].dataType.simpleString()}, expected_grade double, tail_probability double, kept boolean", "row.text")
 
 
 def quality(docs: DataFrame, labels: DataFrame, most: int = MOST_RATINGS, least_tail: float = LEAST_TAIL) -> DataFrame:

@@ -14,7 +14,7 @@ _PI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _Q = np.uint64(0xD6E8FEB86659FD93)
 _QI = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 #: Bytes hashed at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
