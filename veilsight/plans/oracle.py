@@ -191,6 +191,12 @@ FROM area JOIN ment USING (doc_id) WHERE regexp_matches(near, '(?i)\\b' || regex
 lexicon AS (SELECT DISTINCT lower(regexp_extract(t, '^([A-Za-z]{{4,}})', 1)) AS name FROM norm),
 tokens AS (SELECT doc_id, lower(unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+'))) AS name FROM norm)
 SELECT name, count(*) AS mentions, count(DISTINCT doc_id) AS articles FROM tokens JOIN lexicon USING (name) WHERE name <> '' GROUP BY name""",
+    "indicator_mix": """WITH c AS (SELECT c_custkey AS k, lower(replace(c_name, '#', '-')) AS n, (c_custkey % 256) || '.' || ((c_custkey // 256) % 256) || '.7' AS o FROM customer),
+v AS (SELECT k, unnest([
+  {'t': 'domain', 'v': 'host.' || n || '.com'}, {'t': 'domain', 'v': 'cdn.' || n || '.org'}, {'t': 'url', 'v': 'https://' || n || '.net/a/' || k},
+  {'t': 'url', 'v': 'http://' || n || '.net/b'}, {'t': 'file', 'v': n || '.exe'}, {'t': 'email', 'v': n || '@mail.example.org'}, {'t': 'cve', 'v': 'CVE-2021-' || (10000 + k)},
+  {'t': 'md5', 'v': md5(n)}, {'t': 'sha1', 'v': sha1(n)}, {'t': 'sha256', 'v': upper(sha256(n))}, {'t': 'ipv4', 'v': '11.' || o}]) AS x FROM c)
+SELECT k AS article_idx, x.t AS ioc_type, x.v AS ioc_value FROM v""",
     "refang_cases": f"""WITH m AS (SELECT page_id, (['url', 'domain', 'email', 'ipv4', 'file'])[page_id % 5 + 1] AS kind,
   replace(replace(replace(url, '.', '[.]'), 'http', 'hxxp'), '://', '[:]//') || '[@]x y.' AS raw FROM pages),
 p AS (SELECT page_id, kind, {_PLAIN} AS v FROM m)
@@ -228,7 +234,7 @@ WHERE url ILIKE '%EXAMPLE.com%' AND url ILIKE '%/en/%'""",
     "link_filter": f"WITH {_ANCHORS} SELECT page_id, url, link_text, score FROM scored",
     "link_score": f"WITH {_ANCHORS} SELECT DISTINCT source_url, url FROM scored WHERE score >= 1",
     "link_areas": """SELECT page_id, source_url, regexp_extract(a, 'href="([^"]*)"', 1) AS href, regexp_extract(a, '>([^<]*)<', 1) AS link_text FROM (
-  SELECT page_id, url AS source_url, unnest(regexp_extract_all(CASE WHEN html LIKE '%<article>%' THEN regexp_extract(html, '(?s)<article>(.*)</article>', 1) ELSE html END,
+  SELECT page_id, url AS source_url, unnest(regexp_extract_all(CASE WHEN html LIKE '%<nav>%' THEN regexp_extract(html, '(?s)<nav>(.*)</nav>', 1) ELSE html END,
     '<a href="[^"]*">[^<]*</a>')) AS a FROM pages)""",
     "feed_or_page_links": f"""WITH {_ANCHORS}, f AS (SELECT DISTINCT url FROM pages WHERE url LIKE 'https:%')
 SELECT url FROM f UNION SELECT url || '/2' FROM f UNION SELECT url FROM scored WHERE score >= 1 AND source_url NOT LIKE 'https:%'""",

@@ -196,6 +196,25 @@ def extract_resolved(spark, sf_dir):
     return hits.select("article_idx", "pos", "end_pos", "ioc_value", "ioc_type", "context_snippet")
 
 
+def indicator_mix(spark, sf_dir):
+    """Texts made of customers: each has every kind of indicator, written plainly and defanged, and some that every filter drops."""
+    n = F.lower(F.replace("c_name", F.lit("#"), F.lit("-")))
+    k = F.col("c_custkey")
+    octets = F.concat_ws(".", (k % 256).cast("string"), (F.floor(k / 256) % 256).cast("string"), F.lit("7"))
+    gap = F.lit(" , " + "between " * 9)
+    parts = [
+        F.concat(F.lit("host."), n, F.lit(".com")), F.concat(F.lit("cdn[.]"), n, F.lit("[.]org")), F.concat(F.lit("https://"), n, F.lit(".net/a/"), k.cast("string")),
+        F.concat(F.lit("hxxp://"), n, F.lit("[.]net/b")), F.concat(n, F.lit(".exe")), F.concat(n, F.lit("@mail.example.org")),
+        F.concat(F.lit("CVE-2021-"), (10000 + k).cast("string")), F.md5(n), F.sha1(n), F.upper(F.sha2(n, 256)), F.concat(F.lit("11."), octets),
+        F.concat(F.lit("10."), octets), F.lit("google.com"), F.lit("https://google.com/search"), F.concat(F.lit("for example 12."), octets), F.concat(n, F.lit(".nosuchtld")),
+    ]
+    texts = _read(spark, sf_dir, "customer").select(
+        k.alias("article_idx"), F.concat(F.lit("https://e.example.com/"), k.cast("string")).alias("url"),
+        F.concat_ws(" ", *[x for p in parts for x in (p, gap)]).alias("text"),
+    )
+    return X.extract(_dealt(texts, "article_idx"), _reference(spark)).select("article_idx", "ioc_type", "ioc_value")
+
+
 def ioc_dedup(spark, sf_dir):
     hits = X.extract(_articles(spark, sf_dir), _reference(spark))
     types = ("ipv4", "domain", "md5", "sha1", "sha256", "file", "email")
@@ -375,7 +394,9 @@ def link_score(spark, sf_dir):
 
 
 def link_areas(spark, sf_dir):
-    return L.page_anchors(_flat_pages(spark, sf_dir))
+    """Pages whose navigation is marked up as an article, so that anchors lie inside an area."""
+    inside = F.replace(F.replace("html", F.lit("article>"), F.lit("section>")), F.lit("nav>"), F.lit("article>"))
+    return L.page_anchors(flatten(read_pages(spark, f"{sf_dir}/pages.parquet").withColumn("html", inside)))
 
 
 def feed_or_page_links(spark, sf_dir):
@@ -645,7 +666,7 @@ def stream_incremental(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        extract_ipv4, extract_email, extract_hash, extract_resolved, ioc_dedup, ioc_sources, ioc_types_in_text,
+        extract_ipv4, extract_email, extract_hash, extract_resolved, ioc_dedup, ioc_sources, ioc_types_in_text, indicator_mix,
         mention_proximity, mentions_of_large_lexicon, refang_cases, name_normalize, filename_sanitize, url_host,
         country_name_cases, actor_alias_match, actor_lexicon_keys, country_match, rescan_filter, scan_history_upsert,
         scan_history_search, scan_history_sorted, scan_history_prefix, scanned_domains, known_and_new_urls, link_filter,
