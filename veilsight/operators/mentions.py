@@ -46,8 +46,13 @@ def _is_word(char: Column) -> Column:
     return char.rlike(rf"^[{WORD}]")
 
 
-def _runs(text: Column, sizes: list[int]) -> Column:
-    """(s, h): where each run of `sizes` pieces starts, and the hash of its folded text."""
+def pieces_in(text: Column) -> Column:
+    """Of how many pieces a text is."""
+    return F.size(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(1)))
+
+
+def runs_of(text: Column, sizes: Column) -> Column:
+    """(s, h): where each run of so many pieces (an array of numbers) starts, and the hash of its folded text."""
     ddl = "struct<s:int,p:string>"
 
     def step(at, piece):
@@ -62,12 +67,12 @@ def _runs(text: Column, sizes: list[int]) -> Column:
                     F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
                     lambda i: F.struct(
                         F.get(places, i - 1)["s"].alias("s"),
-                        F.xxhash64(F.array_join(F.transform(F.slice(places, i, F.lit(size)), lambda x: x["p"]), "")).alias("h"),
+                        F.xxhash64(F.array_join(F.transform(F.slice(places, i, size), lambda x: x["p"]), "")).alias("h"),
                     ),
                 ),
             ).otherwise(empty_array("struct<s:int,h:bigint>"))
 
-        return F.flatten(F.array(*[of(size) for size in sizes]))
+        return F.flatten(F.transform(sizes, of))
 
     return let(running(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(1)), F.lit(0), ddl, step), hashes)
 
@@ -78,12 +83,11 @@ def places_of(articles: DataFrame, names: DataFrame, *by: str) -> DataFrame:
     Names are compared folded, by a hash here and by their text in the caller.
     """
     listed = names.select(*by, folded(F.col("name")).alias("name")).filter("name <> ''").distinct()
-    pieces = F.size(F.regexp_extract_all("name", F.lit(_PIECE), F.lit(1)))
-    sizes = sorted(r[0] for r in listed.select(pieces.alias("n")).distinct().collect())  # lengths of names, in words
+    sizes = sorted(r[0] for r in listed.select(pieces_in(F.col("name")).alias("n")).distinct().collect())  # lengths of names, in words
     if not sizes:
         return articles.select("article_idx", F.lit(0).alias("s"), F.lit("").alias("name")).limit(0)
     keyed = listed.select(*[F.col(b).alias(f"_{b}") for b in by], "name", F.xxhash64("name").alias("_h"))
-    runs = articles.select("article_idx", F.explode_outer(_runs(F.col("_text"), sizes)).alias("r")).filter("r is not null")
+    runs = articles.select("article_idx", F.explode_outer(runs_of(F.col("_text"), F.array(*[F.lit(n) for n in sizes]))).alias("r")).filter("r is not null")
     match = F.col("r.h") == F.col("_h")
     for b in by:
         match = match & (F.col(b) == F.col(f"_{b}"))
@@ -108,7 +112,7 @@ def occurrences_by_join(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
             around = window_text(chunks, low, x["s"] + size + SNIPPET_CHARS)
             return let(F.struct(around.alias("t"), (x["s"] - low).alias("b"), size.alias("n")), lambda w: F.struct(
                 x["s"].alias("s"), (x["s"] + w["n"]).alias("e"), F.substring(w["t"], w["b"] + 1, w["n"]).alias("raw"), w["t"].alias("snippet"),
-                _edges(w).alias("ok"), x["name"].alias("name"),
+                edges(w).alias("ok"), x["name"].alias("name"),
             ))
 
         return F.filter(F.transform("_found", one), lambda h: h["ok"] & (folded(h["raw"]) == h["name"]))
@@ -127,7 +131,7 @@ def occurrences_by_join(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
     return joined.select("article_idx", F.explode_outer(hits).alias("h")).filter("h is not null").select("article_idx", "h.*")
 
 
-def _edges(w: Column) -> Column:
+def edges(w: Column) -> Column:
     """Whether what stands in a window at b, n long, has word edges on both sides."""
     first, last = F.substring(w["t"], w["b"] + 1, F.lit(1)), F.substring(w["t"], w["b"] + w["n"], F.lit(1))
     before = F.when(w["b"] > 0, F.substring(w["t"], w["b"], F.lit(1))).otherwise("")
