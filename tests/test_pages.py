@@ -143,3 +143,22 @@ def test_random_and_given_pages_equal_tree_walk(spark, sf_dir):
     for i, html in enumerate(htmls):
         assert sorted(anchors.get(i, [])) == expected_anchors(html), html[:2000]
     assert sum(v is not None for v in got.values()) > 100
+
+
+def test_code_reaches_workers_from_another_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from veilsight.session import local_session
+from veilsight.sources.pages import flatten
+spark = local_session("elsewhere", 1)
+print("NODES", flatten(spark.createDataFrame([(1, "u", "<p>a</p>")], "page_id long, url string, html string")).selectExpr("size(nodes)").first()[0])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "NODES 1" in done.stdout, done.stderr[-2000:]

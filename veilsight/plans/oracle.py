@@ -133,7 +133,7 @@ _BATCH = f"""named AS (SELECT p_partkey, p_name || '-' || p_partkey AS ioc_value
 item_of AS (SELECT * FROM named JOIN lineitem ON l_partkey = p_partkey),
 iocs AS (SELECT ioc_value, ioc_type, count(*) AS occurrence_count, 'first order ' || min(l_orderkey) AS snippet FROM item_of GROUP BY ALL),
 sources AS (SELECT DISTINCT ioc_value, ioc_type, 'https://s' || l_suppkey || '.example.com/feed' AS url FROM item_of),
-sold AS (SELECT * FROM item_of JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_returnflag = 'R'),
+sold AS (SELECT * FROM item_of JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
 mentions AS (
   SELECT ioc_value, ioc_type, 'apt_group_mention' AS mention_type, s_name AS value, min(l_orderkey) AS seen FROM sold GROUP BY ALL
   UNION ALL SELECT ioc_value, ioc_type, 'country_mention', n_name, min(l_orderkey) FROM sold GROUP BY ALL
@@ -169,14 +169,14 @@ ORACLE = {
 SELECT doc_id AS article_idx, CAST(s AS INTEGER) AS pos, CAST(e AS INTEGER) AS end_pos, value AS ioc_value, type AS ioc_type, snippet AS context_snippet FROM hits""",
     "ioc_dedup": _resolved() + f""", ranked AS (SELECT {_NORM_VALUE} AS ioc_value, type, snippet,
   row_number() OVER (PARTITION BY {_NORM_VALUE}, type ORDER BY doc_id, s) AS k, count(*) OVER (PARTITION BY {_NORM_VALUE}, type) AS n
-  FROM hits WHERE type NOT IN ('url', 'cve'))
+  FROM hits WHERE type <> 'cve')
 SELECT ioc_value, type AS ioc_type, n AS occurrence_count, snippet AS first_seen_context_snippet FROM ranked WHERE k = 1""",
     "ioc_sources": _resolved() + f"""
-SELECT DISTINCT {_NORM_VALUE} AS ioc_value, type AS ioc_type, url FROM hits JOIN norm USING (doc_id) WHERE type IN ('ipv4', 'domain', 'sha1', 'email')""",
+SELECT DISTINCT {_NORM_VALUE} AS ioc_value, type AS ioc_type, url FROM hits JOIN norm USING (doc_id) WHERE type <> 'cve'""",
     "ioc_types_in_text": _resolved() + """
 SELECT type, count(*) AS ioc_count FROM hits GROUP BY type ORDER BY ioc_count DESC, type LIMIT 7""",
     "mention_proximity": _resolved(_WORDS) + f""",
-prim AS (SELECT DISTINCT doc_id, value, type FROM hits WHERE type IN ('ipv4', 'email', 'sha1')),
+prim AS (SELECT DISTINCT doc_id, value, type FROM hits WHERE type NOT IN ('country_mention', 'apt_group_mention', 'cve')),
 ment AS (SELECT DISTINCT doc_id, value, type FROM hits WHERE type IN ('country_mention', 'apt_group_mention', 'cve')),
 cut AS (SELECT doc_id, value, type, text, p, regexp_extract_all(text, p) AS ms, string_split_regex(text, p) AS gs FROM (
   SELECT DISTINCT doc_id, prim.value, prim.type, text, '(?i)\\b' || regexp_escape(prim.value) || '\\b' AS p FROM prim JOIN norm USING (doc_id))),
@@ -184,7 +184,7 @@ place AS (SELECT doc_id, value, type, text, unnest(list_transform(range(1, len(m
     list_sum(list_transform(gs[1:i], lambda g: length(g))) + (i - 1) * length(value))) AS s FROM cut),
 area AS (SELECT doc_id, value, type, substring(text, CAST(greatest(s - 250, 0) + 1 AS BIGINT),
     CAST(least(s + length(value) + 250, length(text)) - greatest(s - 250, 0) AS BIGINT)) AS near FROM place)
-SELECT DISTINCT CASE WHEN area.type = 'email' THEN lower(area.value) ELSE area.value END AS ioc_value, area.type AS ioc_type,
+SELECT DISTINCT CASE WHEN area.type IN ('domain', 'email') THEN lower(area.value) ELSE area.value END AS ioc_value, area.type AS ioc_type,
   ment.type AS mention_type, ment.value AS value, CASE WHEN ment.type = 'apt_group_mention' THEN upper(ment.value) END AS normalized_value
 FROM area JOIN ment USING (doc_id) WHERE regexp_matches(near, '(?i)\\b' || regexp_escape(ment.value) || '\\b')""",
     "mentions_of_large_lexicon": f"""WITH {_NORM},

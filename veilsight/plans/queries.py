@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..fixed_values import ALL_PRIMARY_TYPES
 from ..functions import patterns as P
 from ..functions import scalars as S
 from ..functions import urls as U
@@ -106,7 +107,7 @@ def _stand_in_batch(spark, sf_dir) -> E.Structured:
     """Structured indicators: parts with the suppliers, nations and line numbers of their items."""
     part = _read(spark, sf_dir, "part")
     item = _dealt(
-        _read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_orderkey", "l_returnflag"),
+        _read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_orderkey"),
         "l_partkey",
     )
     supplier = _read(spark, sf_dir, "supplier")
@@ -117,7 +118,7 @@ def _stand_in_batch(spark, sf_dir) -> E.Structured:
         F.col("p_partkey"), F.concat_ws("-", "p_name", F.col("p_partkey").cast("string")).alias("ioc_value"), kind.alias("ioc_type")
     )
     item_of = item.join(named, item.l_partkey == named.p_partkey).select(
-        "ioc_value", "ioc_type", "p_partkey", "l_suppkey", "l_linenumber", "l_orderkey", "l_returnflag"
+        "ioc_value", "ioc_type", "p_partkey", "l_suppkey", "l_linenumber", "l_orderkey"
     )
     iocs = item_of.groupBy("ioc_value", "ioc_type").agg(
         F.count("*").alias("occurrence_count"),
@@ -125,7 +126,7 @@ def _stand_in_batch(spark, sf_dir) -> E.Structured:
         F.struct(F.min("p_partkey").alias("article_idx"), F.lit(0).alias("pos")).alias("first_at"),
     )
     sources = item_of.select("ioc_value", "ioc_type", _source_url(F.col("l_suppkey")).alias("url")).distinct()
-    sold = item_of.filter(F.col("l_returnflag") == "R").join(supplier, item_of.l_suppkey == supplier.s_suppkey)
+    sold = item_of.join(supplier, item_of.l_suppkey == supplier.s_suppkey)
     placed = sold.join(nation, sold.s_nationkey == nation.n_nationkey)
     of = lambda kind, value, iso2: F.struct(
         F.lit(kind).alias("mention_type"), value.alias("value"), iso2.alias("iso2_code")
@@ -217,15 +218,14 @@ def indicator_mix(spark, sf_dir):
 
 def ioc_dedup(spark, sf_dir):
     hits = X.extract(_articles(spark, sf_dir), _reference(spark))
-    types = ("ipv4", "domain", "md5", "sha1", "sha256", "file", "email")
-    return E.deduplicate(hits, types).select(
+    return E.deduplicate(hits, ALL_PRIMARY_TYPES).select(
         "ioc_value", "ioc_type", "occurrence_count", "first_seen_context_snippet"
     )
 
 
 def ioc_sources(spark, sf_dir):
     hits = X.extract(_articles(spark, sf_dir), _reference(spark))
-    return E.sources_of(hits, ("ipv4", "domain", "sha1", "email"))
+    return E.sources_of(hits, ALL_PRIMARY_TYPES)
 
 
 def ioc_types_in_text(spark, sf_dir):
@@ -234,7 +234,7 @@ def ioc_types_in_text(spark, sf_dir):
 
 
 def mention_proximity(spark, sf_dir):
-    done = E.structure(_articles(spark, sf_dir), _reference_with_mentions(spark), primary_types=("ipv4", "email", "sha1"))
+    done = E.structure(_articles(spark, sf_dir), _reference_with_mentions(spark), primary_types=ALL_PRIMARY_TYPES)
     return done.mentions.select("ioc_value", "ioc_type", "mention_type", "value", "normalized_value")
 
 
