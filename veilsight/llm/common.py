@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,7 +118,5 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     )
     ids = kept.select(F.col("keep_id").alias("k")).distinct()
     found = rows.join(ids, rows["id"].eqNullSafe(ids["k"]), "left_semi")
-    from pyspark.sql import Window
-
     first = F.row_number().over(Window.partitionBy("id", "h").orderBy("h"))
     return found.withColumn("n", first).filter("n = 1").select("row.*")

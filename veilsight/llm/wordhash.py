@@ -94,12 +94,6 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix((sums[size:] - sums[: n - size + 1]) * powers(_QI, n)[: n - size + 1] + np.uint64(size))
 
 
-def within(first: np.ndarray, n: int, size: int) -> np.ndarray:
-    """Which of the n - size + 1 windows lie in one text."""
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    return doc[: n - size + 1] == doc[size - 1 :] if n >= size else np.empty(0, bool)
-
-
 def covered(n: int, starts: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
     """Which of n words lie in one of the windows."""
     change = np.zeros(n + 1, np.int32)
