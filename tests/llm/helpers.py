@@ -6,12 +6,12 @@ import re
 
 import xxhash
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words string, row string, k string, key string, fp string, h string, n string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words string, row string, k string, key string, fp string, h string, n string, `odd name` string"
 
 
 def frame(spark, rows):
     """Documents with extra columns whose names the operators use themselves."""
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *"abcdefgh") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *"abcdefghi") for i, t in rows], SCHEMA)
 
 
 def awkward():

@@ -24,6 +24,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def row_and(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of the row that goes along, whatever its columns are called, and of new columns."""
+    return T.StructType([df.schema["row"], *T.StructType.fromDDL(ddl).fields])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, UPPER.lower())
@@ -56,10 +61,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Itera
         yield batch.slice(int(a), int(b - a))
 
 
-def map_rows(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str, text: str = "text") -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str | T.StructType, text: str = "text") -> DataFrame:
     """`make` turns a few rows into columns of `schema`, in Arrow batches bounded by bytes of `text`."""
     ship_code(df.sparkSession)
-    names = T.StructType.fromDDL(schema).names
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, ship_code, texts_of, written
+from .common import map_rows, row_and, ship_code, texts_of, written
 from .wordhash import covered, window_hashes, words_of
 
 WINDOW = 13
@@ -113,7 +113,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, most_grams: int = MOST_GRAMS) ->
     blocks = max(1, -(-found.count() // most_grams))
     row = F.struct(*[docs[c] for c in docs.columns])
     out = docs.select(row.alias("row"))
-    fields = f"row {out.schema['row'].dataType.simpleString()}, {_SCHEMA}"
+    fields = row_and(out, _SCHEMA)
     for k in range(blocks):
         part = found if blocks == 1 else found.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == k)
         known = spark.sparkContext.broadcast([(bytes(g), s, i) for g, s, i in part.collect()])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts_of
+from .common import map_rows, row_and, texts_of
 from .wordhash import words_of
 
 #: Features are hashed into so many weights.
@@ -182,7 +182,7 @@ def rate(docs: DataFrame, model: Ordinal, least_tail: float = LEAST_TAIL) -> Dat
         tails = Ordinal(weights, thresholds).tails(index, bounds)
         return {"row": part.column("row"), "expected_grade": tails.sum(axis=1), "tail_probability": tails[:, -1], "kept": tails[:, -1] >= least_tail}
 
-    return map_rows(out, make, f"row {out.schema['row'].dataType.simpleString()}, expected_grade double, tail_probability double, kept boolean", "row.text")
+    return map_rows(out, make, row_and(out, "expected_grade double, tail_probability double, kept boolean"), "row.text")
 
 
 def quality(docs: DataFrame, labels: DataFrame, most: int = MOST_RATINGS, least_tail: float = LEAST_TAIL) -> DataFrame:
