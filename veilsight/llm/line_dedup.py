@@ -92,14 +92,21 @@ def _band_rows(part: pa.RecordBatch) -> dict:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and id: those of keys with two ids or more, once each."""
+    """Rows sorted by key and id: the ids of keys with two or more, under a name of that set of ids.
+
+    Near lines share several bands and mostly meet in the same company; it is verified once.
+    """
     for starts, ends, c in sorted_runs(batches, "key"):
         new = np.r_[True, (c["key"][1:] != c["key"][:-1]) | (c["id"][1:] != c["id"][:-1])]
-        several = np.zeros(len(new), bool)
+        ids = mix(c["id"].view(np.uint64)) * new
+        groups, members = [], []
         for s, e in zip(starts, ends, strict=True):
-            several[s:e] = c["id"][s] != c["id"][e - 1]
-        rows = several & new
-        yield pa.RecordBatch.from_arrays([pa.array(c["key"][rows]), pa.array(c["id"][rows])], names=["key", "id"])
+            if c["id"][s] != c["id"][e - 1]:
+                some = c["id"][s:e][new[s:e]]
+                groups.append(np.full(len(some), mix(ids[s:e].sum(dtype=np.uint64, keepdims=True) + np.uint64(len(some))).view(np.int64)[0]))
+                members.append(some)
+        none = [np.empty(0, np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups or none)), pa.array(np.concatenate(members or none))], names=["key", "id"])
 
 
 def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> Iterator[tuple[int, int]]:
@@ -130,29 +137,37 @@ def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> Iterator[tuple
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines sorted by key and id, to verified links."""
-    known: set[tuple[int, int]] = set()
     for starts, ends, c in sorted_runs(batches, "key"):
-        a, b = [], []
-        for s, e in zip(starts, ends, strict=True):
-            ids = c["id"][s:e].tolist()
-            if len(ids) == 2 and (ids[0], ids[1]) in known:
-                continue
-            hashed, bounds = shingles(c["line"][s:e].tolist())
-            for i, j in similar([np.unique(hashed[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]):
-                a.append(ids[i])
-                b.append(ids[j])
-            if len(ids) == 2 and len(known) < 1_000_000:
-                known.add((ids[0], ids[1]))
+        a, b, ids = [], [], c["id"]
+        for at in range(0, len(starts), 2_000):
+            some = list(zip(starts[at : at + 2_000].tolist(), ends[at : at + 2_000].tolist(), strict=True))
+            rows = [i for s, e in some for i in range(s, e)]
+            hashed, bounds = shingles(c["line"][rows].tolist())
+            sets, k = [np.unique(hashed[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], 0
+            for s, e in some:
+                own = sets[k : k + e - s]
+                k += e - s
+                pairs = similar(own) if e - s > 2 else [(0, 1)] if _near(*own) else []
+                for i, j in pairs:
+                    a.append(ids[s + i])
+                    b.append(ids[s + j])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _near(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
+    if min(len(x), len(y)) < least * max(len(x), len(y)) - 1e-9:
+        return False
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return common >= least * (len(x) + len(y) - common) - 1e-9
+
+
 def similar_lines(own: DataFrame) -> DataFrame:
     """(node, component): ids of lines that are near to others, over all documents own(k, text)."""
     spark = own.sparkSession
     ship_code(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bands = map_rows(own.select("text"), _band_rows, "key long, id long")
-    shared = written(bands.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long"), "bands")
+    shared = written(bands.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long").distinct(), "bands")
 
     def texts(part: pa.RecordBatch) -> dict:
         found = _lines(part)
