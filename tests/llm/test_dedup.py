@@ -136,14 +136,16 @@ def test_components_of_random_graphs(spark):
 # --- substring
 
 
-def test_repeated_passages_match(spark):
+@pytest.mark.parametrize("hot", [1_000, 2])
+def test_repeated_passages_match(spark, hot):
     rng = random.Random(6)
     rows = awkward()
     few = ["a", "b", "c"]
     rows += [(300 + i, words(rng, rng.randint(1, 120), few)) for i in range(25)]
     base = [f"v{i}" for i in range(90)]
+    rows += [(390, " ".join(base)), (390, " ".join(base)), (390, " ".join(base[:40] + ["other"] + base[40:])), (390, "shift " + " ".join(base)), (None, " ".join(base[10:70]))]
     rows += [(400 + i, " ".join(base[rng.randint(0, 40) : rng.randint(50, 90)] + [f"own{i}"] + base[5:30])) for i in range(25)]
-    out = substring_dedup.remove_repeats(frame(spark, rows))
+    out = substring_dedup.remove_repeats(frame(spark, rows), hot)
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept.decode()) for r in out.collect()), key=repr)
     assert got == sorted(repeated_words(rows), key=repr)
 

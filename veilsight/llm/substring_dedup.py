@@ -23,6 +23,8 @@ from .wordhash import Words, covered, mix, powers, window_hashes, words_of
 WINDOW, GRAM = 20, 8
 #: White space of words: blank and \t \n \v \f \r.
 SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
+#: Different segments of one minimizer that go to one shard; those of a hotter one go window by window.
+HOT = 1_000
 #: Stands for a null doc_id: the smallest.
 NO_ID = -(1 << 63)
 
@@ -86,8 +88,8 @@ def _found(kind: int, c: dict, rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kinds), *[pa.array(c[x][rows]) for x in ("key", "ctx", "k", "pos", "n")]], names=["kind", "key", "ctx", "k", "pos", "n"])
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by route, hash and place: repeats of a segment (kind 0), and segments whose minimizer has several (kind 1)."""
+def _shards(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by route, hash and place: repeats of a segment (kind 0), and segments whose minimizer has several (kind 1) or very many (2)."""
     def fresh():
         for batch in batches:
             again = batch.column("again").to_numpy(zero_copy_only=False)
@@ -108,12 +110,13 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = np.r_[False, (c["k"][1:] == c["k"][:-1]) & (c["pos"][1:] == c["pos"][:-1])] if len(inside) else inside
         # a place given twice (rows that share an id) is no repeat of itself
         yield _found(0, c, inside & ~first & ~(same & ~first))
-        several = np.zeros(len(inside), bool)
+        several = np.zeros(len(inside), np.int8)
         if len(starts):
             firsts = np.add.reduceat(np.r_[first, False].astype(np.int64), np.c_[starts, ends].ravel())[::2]
-            for s, e in zip(starts[firsts > 1], ends[firsts > 1], strict=True):
-                several[s:e] = True
-        yield _found(1, c, several & first)
+            for s, e, n in zip(starts[firsts > 1], ends[firsts > 1], firsts[firsts > 1], strict=True):
+                several[s:e] = 2 if n > hot else 1
+        yield _found(1, c, (several == 1) & first)
+        yield _found(2, c, (several == 2) & first)
     yield from seen
 
 
@@ -178,8 +181,18 @@ class Automaton:
         return out
 
 
-def repeats(contexts: list[bytes], window: int = WINDOW) -> list[int]:
-    """Of each context, in order, a mask of the windows that an earlier one has."""
+def repeats(contexts: list[bytes], places: list[tuple[int, int]], window: int = WINDOW) -> list[int]:
+    """Of each context, in order, a mask of the windows that an earlier one has.
+
+    Rows that share an id may have a window at the same place. It is no repeat of itself.
+    """
+    ends = [p + c.count(b" ") + 2 - window for (_, p), c in zip(places, contexts, strict=True)]
+    furthest: dict[int, int] = {}
+    shared = False
+    for (k, p), e in zip(places, ends, strict=True):
+        shared = shared or furthest.get(k, p) > p
+        furthest[k] = max(e, furthest.get(k, e))
+    first: dict[bytes, tuple[int, int]] = {}
     if len(contexts) > 8:  # contexts without any window that occurs twice need no automaton
         of = words_of(contexts, np.array([c == 32 for c in range(256)]))
         hashes = window_hashes(of.hashes, window)
@@ -194,50 +207,87 @@ def repeats(contexts: list[bytes], window: int = WINDOW) -> list[int]:
         mask = 0
         if k in some:
             words = context.split(b" ")
+            at, (doc_id, place) = 0, places[k]
             for end, length in enumerate(automaton.statistics(words)):
+                at = end - window + 1
+                if shared and at >= 0:
+                    own = doc_id, place + at
+                    length *= first.setdefault(b" ".join(words[at : end + 1]), own) < own
                 if length >= window:
-                    mask |= 1 << (end - window + 1)
+                    mask |= 1 << at
             automaton.add(words)
         out.append(mask)
     return out
 
 
+_CONTEXT = "key long, ctx long, k long, pos int, n int, place int, again boolean, context binary"
+
+
 def _texts(part: pa.RecordBatch) -> dict:
-    """Words of the asked segments of each document; rows that share an id answer for their own text only."""
+    """Words of the asked segments of each document; rows that share an id answer for their own text only.
+
+    Segments of a hot minimizer go window by window to shards of their own. Of equal windows
+    in a slice the first goes there; the others are known to be repeats.
+    """
     words = words_of([t.encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()], SPACE)
-    out: dict[str, list] = {n: [] for n in ("key", "ctx", "k", "pos", "n", "context")}
+    rows: list[tuple] = []
+    split: list[tuple] = []
     for d, (k, asked) in enumerate(zip(part.column("k").to_pylist(), part.column("asked").to_pylist(), strict=True)):
         first, size = int(words.first[d]), int(words.first[d + 1] - words.first[d])
         asked = [a for a in asked if a["pos"] + a["n"] + WINDOW - 1 <= size]
         if not asked:
             continue
+        own = words.hashes[first : first + size]
         starts = np.array([a["pos"] for a in asked])
         ends = starts + np.array([a["n"] for a in asked]) + WINDOW - 1
-        hashes = stretch_hashes(words.hashes[first : first + size], starts, ends).view(np.int64).tolist()
+        hashes = stretch_hashes(own, starts, ends).view(np.int64).tolist()
         for a, h, e in zip(asked, hashes, ends.tolist(), strict=True):
-            if h == a["ctx"]:
-                for n in ("key", "ctx", "pos", "n"):
-                    out[n].append(a[n])
-                out["k"].append(k)
-                out["context"].append(words.window(first + a["pos"], e - a["pos"]))
-    types = {"pos": pa.int32(), "n": pa.int32(), "context": pa.binary()}
-    return {n: pa.array(v, types.get(n, pa.int64())) for n, v in out.items()}
+            if h != a["ctx"]:
+                continue
+            if a["kind"] == 1:
+                rows.append((a["key"], a["ctx"], k, a["pos"], a["n"], a["pos"], False, words.window(first + a["pos"], e - a["pos"])))
+                continue
+            places = np.arange(a["pos"], a["pos"] + a["n"])
+            for place, key in zip(places.tolist(), stretch_hashes(own, places, places + WINDOW).view(np.int64).tolist(), strict=True):
+                split.append((k, place, key, a, words.window(first + place, WINDOW)))
+    seen: dict[bytes, tuple] = {}
+    for k, place, key, a, window in sorted(split, key=lambda x: x[:2]):
+        again = seen.setdefault(window, (k, place)) != (k, place)
+        route = hash((k, place)) if again else key
+        rows.append((route, a["ctx"], k, a["pos"], a["n"], place, again, b"" if again else window))
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+    names = ("key", "ctx", "k", "pos", "n", "place", "again", "context")
+    return {n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, types, strict=True))}
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments sorted by minimizer and place: the masks of windows that start earlier elsewhere."""
-    for starts, ends, c in sorted_runs(batches, "key"):
-        ctx, k, pos, mask, n = [], [], [], [], []
+    """Segments sorted by shard and place: the masks of windows that start earlier elsewhere."""
+    known: list[pa.RecordBatch] = []
+
+    def result(c: dict, rows, masks: list[int]) -> pa.RecordBatch:
+        columns = [pa.array(c["ctx"][rows], pa.int64()), pa.array(c["k"][rows], pa.int64()), pa.array(c["pos"][rows], pa.int32()), pa.array(masks, pa.int32()), pa.array(c["n"][rows], pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=["ctx", "k", "pos", "mask", "n"])
+
+    def fresh():
+        for batch in batches:
+            again = batch.column("again").to_numpy(zero_copy_only=False)
+            if again.any():
+                c = {x: batch.column(x).to_numpy()[again] for x in ("ctx", "k", "pos", "n", "place")}
+                known.append(result(c, slice(None), (1 << (c["place"] - c["pos"]).astype(np.int64)).tolist()))
+            yield batch.filter(pa.array(~again)).drop_columns(["again"])
+
+    for starts, ends, c in sorted_runs(fresh(), "key"):
+        yield from known
+        known.clear()
+        rows, masks = [], []
         for s, e in zip(starts, ends, strict=True):
-            for i, m in zip(range(s, e), repeats(c["context"][s:e].tolist()), strict=True):
+            places = list(zip(c["k"][s:e].tolist(), c["place"][s:e].tolist(), strict=True))
+            for i, m in zip(range(s, e), repeats(c["context"][s:e].tolist(), places), strict=True):
                 if m:
-                    ctx.append(c["ctx"][i])
-                    k.append(c["k"][i])
-                    pos.append(c["pos"][i])
-                    mask.append(m)
-                    n.append(c["n"][i])
-        columns = [pa.array(ctx, pa.int64()), pa.array(k, pa.int64()), *[pa.array(x, pa.int32()) for x in (pos, mask, n)]]
-        yield pa.RecordBatch.from_arrays(columns, names=["ctx", "k", "pos", "mask", "n"])
+                    rows.append(i)
+                    masks.append(m << int(c["place"][i] - c["pos"][i]))
+        yield result(c, np.array(rows, np.int64), masks)
+    yield from known
 
 
 def _cut(part: pa.RecordBatch) -> dict:
@@ -271,7 +321,7 @@ def _cut(part: pa.RecordBatch) -> dict:
     }
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (binary, the words left, joined by one blank, in UTF-8).
 
     Words are `[^\\x20\\x09-\\x0D]+`. A window is 20 consecutive words; each word is removed that
@@ -288,10 +338,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = documents_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "doc_id", "text")
     rows = map_rows(own.select("k", "text"), _segment_rows, _SEGMENT)
-    found = written(rows.repartition(parts, "route").sortWithinPartitions("route", "ctx", "k", "pos").mapInArrow(_shards, _FOUND), "segments")
-    asked = found.filter("kind = 1").groupBy(F.col("k").alias("k1")).agg(F.collect_list(F.struct("key", "ctx", "pos", "n")).alias("asked"))
-    contexts = map_rows(own.join(asked, F.col("k") == F.col("k1")).select("k", "text", "asked"), _texts, "key long, ctx long, k long, pos int, n int, context binary")
-    sorted_contexts = contexts.repartition(parts, "key").sortWithinPartitions("key", "k", "pos")
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _shards(batches, hot)
+
+    found = written(rows.repartition(parts, "route").sortWithinPartitions("route", "ctx", "k", "pos").mapInArrow(shards, _FOUND), "segments")
+    asked = found.filter("kind > 0").groupBy(F.col("k").alias("k1")).agg(F.collect_list(F.struct("kind", "key", "ctx", "pos", "n")).alias("asked"))
+    contexts = map_rows(own.join(asked, F.col("k") == F.col("k1")).select("k", "text", "asked"), _texts, _CONTEXT)
+    sorted_contexts = contexts.repartition(parts, "key").sortWithinPartitions("key", "k", "place")
     matched = sorted_contexts.mapInArrow(_matched, "ctx long, k long, pos int, mask int, n int")
     return _finish(own, found, matched)
 
