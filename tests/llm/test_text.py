@@ -89,8 +89,8 @@ PAGES = [(i, f"http://h/{i}", f"<p>page {i}</p>" * (i % 7)) for i in range(300)]
 
 
 def replicas(spark, tmp_path, monkeypatch, rows=PAGES):
-    monkeypatch.setattr(warc_audit, "FILE_BYTES", 20_000)
-    pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, file string")
+    monkeypatch.setattr(warc_audit, "FILE_RECORDS", 25)
+    pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, file string").coalesce(2)
     out = [str(tmp_path / x) for x in "ab"]
     for path in out:
         warc_audit.write_warc(pages, path, "2024-01-31T00:00:00Z")
@@ -114,25 +114,32 @@ def test_damage_is_located(spark, tmp_path, monkeypatch):
     c = tmp_path / "c"
     c.mkdir()
     names = [os.path.basename(p) for p in parts(b)]
-    last = len(names) - 1
     listed = warc_audit.catalogue(spark, a).collect()
+    ids = sorted({r.file for r in listed})
+    last, tail = ids[-1], ids[2]
+    assert len(ids) == len(names) > 5
     change = {last: {r.offset for r in listed if r.file == last}}
-    for file, name in enumerate(names[:-1]):  # the last file is missing
+    for k, name in enumerate(names[:-1]):  # the last file is missing
         with open(f"{b}/{name}", "rb") as f:
-            data = bytearray(f.read())
-        records = [r for r in listed if r.file == file]
-        if file == 0:
+            packed = f.read()
+        data = bytearray(warc_audit.inflate(packed))
+        records = [r for r in listed if r.file == ids[k]]
+        if k == 0:
             data[records[5].offset + 3] ^= 1
-            change[0] = {records[5].offset}
-        elif file == 1:
+            change[ids[0]] = {records[5].offset}
+        elif k == 1:
             del data[-2:]
-            change[1] = {records[-1].offset}
-        elif file == 2:
+            change[ids[1]] = {records[-1].offset}
+        elif k == 2:
             data += b"tail"
+        elif k == 3:  # in the packed bytes; what is behind is lost
+            data = packed[: len(packed) // 2]
+            whole = len(warc_audit.inflate(data))
+            change[ids[3]] = {r.offset for r in records if r.offset + r.length > whole}
         (c / name).write_bytes(data)
     got = {(r.file, r.first) for r in warc_audit.damaged_ranges(spark, a, str(c), warc_audit.catalogue(spark, a)).collect()}
     sizes = {r.file: max(x.offset + x.length for x in listed if x.file == r.file) for r in listed}
-    assert got == {(f, o) for f, at in change.items() for o in at} | {(2, sizes[2]), (last, sizes[last])}
+    assert got == {(f, o) for f, at in change.items() for o in at} | {(tail, sizes[tail]), (last, sizes[last])}
     bad = {(r.file, r.offset) for r in warc_audit.audit(spark, a, str(c)).collect() if not r.intact}
     assert bad == {(f, o) for f, at in change.items() for o in at}
 

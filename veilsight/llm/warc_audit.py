@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -13,17 +14,20 @@ from pyspark.sql import functions as F
 from .common import ship_code, written
 
 END = "\r\n\r\n"
-#: Bytes of a WARC file, about; a file is hashed by one task.
-FILE_BYTES, MOST_FILES = 8 << 20, 1_000_000
+#: Records of a WARC file; a file is hashed by one task.
+FILE_RECORDS = 2_000
+#: Files that one task may write.
+TASK_FILES = 10_000
 #: Children of a node.
 FAN = 16
 LEAF, NODE = b"\x00", b"\x01"
 
 
 def write_warc(pages: DataFrame, path: str, as_of: str, change: Callable[[Column, Column], Column] | None = None) -> None:
-    """Write pages(page_id, url, html) as WARC 1.0 resource records, in the order of page_id.
+    """Write pages(page_id, url, html) as gzipped WARC 1.0 resource records.
 
-    Files are of about FILE_BYTES. Null html is an empty record, a null page_id or url is
+    Each split of the table gives files of FILE_RECORDS, in the order of page_id, so that
+    nothing is shuffled and replicas of one table have the same files. Null html is an empty record, a null page_id or url is
     written as `-`; blanks of a url are escaped. Repeated rows are records each. `change` gets
     the page_id and a record's text and gives what is written, for replicas with known damage.
     """
@@ -31,25 +35,41 @@ def write_warc(pages: DataFrame, path: str, as_of: str, change: Callable[[Column
         pages["page_id"].cast("long").alias("page_id"), F.coalesce(pages["url"].cast("string"), F.lit("-")).alias("url"),
         F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"),
     )
-    total = own.agg(F.sum(F.octet_length("html").cast("long") + F.octet_length("url") + 300)).first()[0] or 0
     head = F.concat_ws(
         "\r\n", F.lit("WARC/1.0"), F.lit("WARC-Type: resource"), F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit(">")),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"\s", "%20")), F.lit(f"WARC-Date: {as_of}"),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.sha2("html", 256)), F.lit("Content-Type: text/html"),
         F.concat(F.lit("Content-Length: "), F.octet_length("html").cast("string")),
     )
-    files = int(min(MOST_FILES, max(1, -(-total // FILE_BYTES))))
     order = [F.col("page_id").asc_nulls_first(), F.xxhash64("url", "html")]
-    records = own.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    records = own.sortWithinPartitions(*order)
     # the writer puts the two line breaks that end a record behind each
     record = F.concat(head, F.lit(END), F.col("html"))
-    records.select((change(F.col("page_id"), record) if change else record).alias("value")).write.option("lineSep", END).text(path)
+    records.select((change(F.col("page_id"), record) if change else record).alias("value")).write.option("lineSep", END).option(
+        "maxRecordsPerFile", FILE_RECORDS
+    ).option("compression", "gzip").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     """(file, content): WARC files, named by their place, which is the same in all replicas."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return found.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("file"), "content")
+    part, more = (F.regexp_extract("path", r"part-(\d+)-.*-c(\d+)", k).cast("long") for k in (1, 2))
+    return found.select((part * TASK_FILES + more).alias("file"), "content")
+
+
+def inflate(data: bytes) -> bytes:
+    """Content of a file, gzipped or not; of a damaged one as far as it goes."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        stream, at = zlib.decompressobj(31), 0
+        try:
+            while at < len(data) and not stream.eof:
+                out.append(stream.decompress(data[at : at + 65536]))
+                at += 65536
+        except zlib.error:
+            return b"".join(out)
+        data = stream.unused_data + data[at:]
+    return b"".join(out) if out else data
 
 
 def records_of(data: bytes) -> list[tuple[int, int, int, int]]:
@@ -89,7 +109,7 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches):
         for batch in batches:
             for file, data in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
-                data = data.as_py()
+                data = inflate(data.as_py())
                 rows = [
                     {"file": file, "at": k, "offset": s, "length": e - s, "record_id": header(data[s:p], b"warc-record-id"), "payload_length": q - p,
                      "payload_sha256": hashlib.sha256(data[p:q]).hexdigest()}
@@ -135,7 +155,7 @@ def trees(spark: SparkSession, path: str, ranges: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)
-                file, data = one.column("file")[0].as_py(), one.column("content")[0].as_py()
+                file, data = one.column("file")[0].as_py(), inflate(one.column("content")[0].as_py())
                 bounds = [(r["offset"], r["offset"] + r["length"]) for r in one.column("ranges")[0].as_py()]
                 rows = [
                     {"file": file, "level": level, "at": at, "first": a, "end": b, "hash": h}
