@@ -64,6 +64,7 @@ def test_old_pieces_are_kept(monkeypatch, library):
     from veilsight.llm import pretokens
 
     monkeypatch.setattr(pretokens, "KEPT_PIECES", 3)
+    monkeypatch.setattr(pretokens, "KEPT_WORDS", 2)
     pieces = bpe._build(load(tokenizer_path()))
     for text in ["one two three four five", "one six seven", "eight one nine ten", "two one"]:
         assert ids_of(pieces.texts([text])[0]).tolist() == ids(library, text)

@@ -17,7 +17,7 @@ import regex
 import tokenizers
 
 #: Entries of a worker's tables; when full they become the old ones, from which what is met again moves on.
-KEPT_PIECES = 400_000
+KEPT_PIECES, KEPT_WORDS = 200_000, 300_000
 #: White space for str.split() but not for the tokenizer.
 _ODD = regex.compile("[\x1c-\x1f]")
 
@@ -41,7 +41,7 @@ class Pieces:
         cut = [None if t and (self.mark in t or _ODD.search(t)) else (t or "").split() for t in texts]
         if len(self.of) > KEPT_PIECES:
             self.of, self.old_of = {}, self.of
-        if len(self.words) > KEPT_PIECES:
+        if len(self.words) > KEPT_WORDS:
             self.words, self.old_words = {}, self.words
         self._learn({p for c in cut if c for p in c if p not in self.of})
         of = self.of
@@ -131,5 +131,10 @@ def kept(kind: str, file: bytes, build: Callable[[bytes], Pieces]) -> Pieces:
     return _BUILT[key]
 
 
+def forget() -> None:
+    """Free this worker's tables; they are built again when needed."""
+    _BUILT.clear()
+
+
 def ids_of(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4")

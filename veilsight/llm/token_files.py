@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 from .common import documents_of, map_rows, ship_code, written
-from .pretokens import Pieces, WordBpe, kept, load
+from .pretokens import Pieces, WordBpe, forget, kept, load
 
 MAGIC, VERSION = b"VTOK", 1
 HEADER = struct.Struct("<4sH32sI")
@@ -35,7 +35,9 @@ END_ID, LEVEL = 2, 3
 #: The dictionary is trained on the ids of at most so many documents, those with the smallest hashes of their ids, of at most so many characters.
 SAMPLE_DOCUMENTS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_000, 20_000, 64 << 10
 #: Frames of a block; a longer frame is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: Row groups of a file: no reader holds more than one and a task's split.
+GROUP_BYTES = 8 << 20
 #: Files of a table: one for so many compressed bytes, and no more than so many.
 SHARD_BYTES, MOST_SHARDS = 64 << 20, 10_000
 
@@ -174,7 +176,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
 
     ordered.select("shard", "doc_id", "n_tokens", "frame").mapInArrow(
         blocks, "shard int, block int, doc_ids array<long>, starts array<long>, sizes array<long>, bytes binary"
-    ).write.option("compression", "none").parquet(f"{path}/blocks")
+    ).write.option("compression", "none").option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/blocks")
     totals = dealt.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()  # MOST_SHARDS rows
     before, rows = 0, []
     for t in totals:
@@ -195,6 +197,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.parquet(f"{path}/blocks").join(F.broadcast(shards), "shard")  # MOST_SHARDS rows
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # what a worker knew for encoding
         press = decompressor(shared.value)
         for batch in batches:
             for row in range(batch.num_rows):
