@@ -182,6 +182,21 @@ def test_layout(page, text):
     assert html_layout.render(page) == text
 
 
+TABLES = ["<table><tr><td>x<td>y</table>", "<table><td>x</table>", "<table><caption>c</caption><thead><tr><th>x<tbody><tr><td>y<table><td>z</table></table>"]
+
+
+@pytest.mark.parametrize("table", TABLES)
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [("<div hidden>", "</div>"), ("<div style='display:none'>", "</div>"), ("<template>", "</template>"), ("<details><summary>s</summary>", "</details>"), ("<dialog>", "</dialog>"),
+     ("<object>", "</object>"), ("<table hidden><tr><td>", "</table>"), ("<table><tr hidden><td>", "</table>"), ("<canvas>", "</canvas>"), ("<video>", "</video>")],
+)
+def test_unrendered_tables(table, before, after):
+    seen = "s\n\n" if "summary" in before else ""
+    assert html_layout.render(before + table + after + "<p>a</p><p>b</p>") == seen + "a\n\nb"
+    assert html_layout.render(table.replace("<table>", "<table hidden>", 1) + "a") == "a"
+
+
 class Words(HTMLParser):
     """Words in the body that are not in an unseen element; the pages here hide nothing by style."""
 

@@ -279,7 +279,8 @@ class Renderer:
             self.start("tr", {})
         if name == "tr" and self.open_names(("table",), ()) is not None:
             table = self.stack[self.open_names(("table",), ())].table
-            table.rows.append([])
+            if table is not None:  # an unrendered one has no rows
+                table.rows.append([])
         element = Element(name, attributes, self.stack[-1])
         self.see(element)
         if not element.hidden:
