@@ -173,6 +173,15 @@ CASES = [
     ("<table><caption>c</caption><tbody><tr><td colspan=2>ab<td>c<tr><td>d<td>e<td>f</table>", "c\nab     c\nd   e  f"),
     ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<table><td>x</table>after", "x\n\nafter"),
     ("<table><tr><td><table><tr><td>i<td>j</table><td>k</table>", "i  j  k"), ("<blockquote>q</blockquote>x", "  q\n\nx"), ("<img alt='pic'> <img alt=''>", "pic"),
+    ("a <math><semantics><mrow><mi>x</mi> <mo>=</mo>\n<mn>1</mn></mrow><annotation encoding='application/x-tex'>no</annotation></semantics></math>b", "a x=1b"),
+    ("<math><msup><mn>2</mn><mn>10</mn></msup><mo>&lt;</mo><mfrac><mi>a</mi><mi>b</mi></mfrac><mtext>if <b>so</b></mtext></math>", "2 10< a b if so"),
+    ("<math display=block><mi>x</mi><annotation-xml encoding='MathML-Content'><ci>no</ci></annotation-xml></math>y", "x\ny"), ("<p><math><mi>x</mi><p>y", "x\n\ny"),
+    ("<p>a<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><metadata>no</metadata><style>no</style>no<text x=1>one <tspan>two</tspan></text><g><text>three</text></g></svg>b", "a one two three b"),
+    ("<svg><title/><defs/><path d='M0'/><a href=/x/><text>label</text></a></svg>", "label"), ("<svg><script/><text display=none>no</text><text/><text>yes</text></svg>", "yes"),
+    ("<svg><switch><foreignObject><div>html</div></foreignObject><text>no</text></switch></svg>", "html"), ("<svg><path><p>x</p>", "x"), ("<div hidden><svg><text>no</text></svg><math><mi>no</mi></math></div>x", "x"),
+    ("<table><tr><td><svg><text>a</text></svg><td><math><mn>1</mn></math></table>", "a  1"), ("<svg><text>a</text><text visibility=hidden>no</text></svg>", "a"),
+    ("<form><input type=submit value=Go><input type=RESET value='Clear all'><input type=button value=More>x<input type=text value=no><input type=hidden value=no></form>", "Go Clear all More x"),
+    ("<input type=submit><input type=submit value=no hidden><input type=image alt=Find><input type=submit value=no style='visibility:hidden'>", "Find"),
     ("<!-- a > b --><p>x<!-- open", "x"), ("<p title='a>b'>x", "x"), ("a<b", "a"), ("1 < 2", "1 < 2"), ("<select><option>a<option>b</select>", "a\nb"),
 ]
 

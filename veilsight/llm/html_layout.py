@@ -32,7 +32,7 @@ BLOCKS = frozenset(
 )
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr listing menu ol p pre table ul dir".split())
 UNSEEN = frozenset(
-    "area base basefont datalist head iframe link meta noembed noframes noscript param rp script style template title audio video canvas object svg math".split()
+    "area base basefont datalist head iframe link meta noembed noframes noscript param rp script style template title audio video canvas object".split()
 )
 LISTS = ("ul", "ol", "menu", "dir")
 CLOSES_P = BLOCKS - {"body", "html", "option", "optgroup", "caption", "legend", "summary"}
@@ -59,6 +59,18 @@ P_WALLS = WALLS | {"button"}
 END_WALLS = {"table": frozenset()} | dict.fromkeys(("tr", "thead", "tbody", "tfoot", "td", "th", "caption"), frozenset(["table"]))
 INLINE_IN_HEAD = frozenset("base link meta script style title template noscript html head".split())
 
+#: Drawings and formulas: what is not rendered where it stands, whose content is HTML again, and of whose children only the first is rendered.
+FOREIGN = {"svg": frozenset("title desc defs metadata symbol clippath mask pattern marker filter lineargradient radialgradient".split()), "math": frozenset("annotation annotation-xml mphantom".split())}
+HTML_INSIDE = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mn mo ms mtext".split())}
+FIRST_ONLY = frozenset("switch semantics maction".split())
+#: HTML start tags that end a drawing or formula.
+ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span "
+    "strong strike sub sup table tt u ul var".split()
+)
+#: Inputs that show their value.
+BUTTONS = frozenset("submit reset button".split())
+
 #: Cells are padded to the widest of their column up to so many characters; longer ones stand as they are.
 WIDEST_PADDING = 60
 INDENT = "  "
@@ -209,7 +221,7 @@ class Table:
 
 
 class Element:
-    __slots__ = ("attributes", "count", "flow", "hidden", "name", "pre", "shown", "step", "table")
+    __slots__ = ("attributes", "count", "flow", "foreign", "hidden", "inner", "lit", "name", "pre", "shown", "step", "table")
 
     def __init__(self, name: str, attributes: dict, parent: Element | None):
         self.name, self.attributes = name, attributes
@@ -218,6 +230,11 @@ class Element:
         self.pre = parent is not None and parent.pre
         self.flow = self.table = None
         self.count, self.step = 0, 1
+        self.foreign = name if name in FOREIGN else parent.inner if parent is not None else ""  # svg, math or (HTML) empty
+        html_inside = name in HTML_INSIDE.get(self.foreign, ()) or name == "annotation-xml" and "html" in attributes.get("encoding", "").lower()
+        self.inner = "" if html_inside else self.foreign  # of the children
+        # of a drawing, only what stands in its texts is rendered
+        self.lit = self.foreign != "svg" or name in ("text", "foreignobject") or name != "svg" and parent is not None and parent.foreign == "svg" and parent.lit
 
 
 def number(text: str | None, least: int, most: int, otherwise: int) -> int:
@@ -260,11 +277,15 @@ class Renderer:
                 return None
         return None
 
-    def start(self, name: str, attributes: dict) -> None:
+    def start(self, name: str, attributes: dict, closed: bool = False) -> None:
+        """`closed`: the tag ends in a slash, which counts in drawings and formulas."""
         if name in ("html", "#root"):
             return
         if name == "body" and self.open_names(("body",), ()) is not None:
             return
+        if self.stack[-1].inner and (name in ENDS_FOREIGN or name == "font" and not {"color", "face", "size"}.isdisjoint(attributes)):
+            while self.stack[-1].inner:
+                self.close(len(self.stack) - 1)
         if name not in INLINE_IN_HEAD and (at := self.open_names(("head",), ())) is not None:
             self.close(at)
         if name in IMPLIED_END:
@@ -289,6 +310,8 @@ class Renderer:
             return
         self.stack.append(element)
         self.open[name] += 1
+        if closed and element.foreign:
+            self.close(len(self.stack) - 1)
 
     def end(self, name: str) -> None:
         if name == "br":
@@ -313,6 +336,14 @@ class Renderer:
 
     def see(self, e: Element) -> None:
         style = _style(e.attributes) if "style" in e.attributes else {}
+        if e.foreign:
+            parent = self.stack[-1]
+            if parent.foreign and parent.name in FIRST_ONLY:
+                parent.count += 1
+            if e.name in FOREIGN[e.foreign] or parent.foreign and parent.name in FIRST_ONLY and parent.count > 1:
+                e.hidden = True
+            if e.foreign == "svg":
+                style = {k: e.attributes[k].lower().strip() for k in ("display", "visibility") if k in e.attributes} | style
         if e.name in UNSEEN or "hidden" in e.attributes or style.get("display") == "none":
             e.hidden = True
         elif e.name == "dialog" and "open" not in e.attributes or e.name == "input" and e.attributes.get("type", "").lower() == "hidden":
@@ -333,10 +364,19 @@ class Renderer:
 
     def enter(self, e: Element) -> None:
         flow, name = self.flow(), e.name
+        if e.foreign:
+            self.bound(e)
         if name == "br":
             flow.new_line()
         elif name == "img" and e.shown and e.attributes.get("alt", "").strip():
             flow.text(e.attributes["alt"])
+        elif name == "input" and e.shown:
+            kind = e.attributes.get("type", "").lower().strip()
+            label = e.attributes.get("value", "") if kind in BUTTONS else e.attributes.get("alt", "") if kind == "image" else ""
+            if label.strip():
+                flow.space = True
+                flow.text(label)
+                flow.space = True
         elif name == "table":
             e.table = Table()
         elif name in ("td", "th", "caption"):
@@ -361,8 +401,18 @@ class Renderer:
             elif name in ("blockquote", "dd"):
                 flow.prefix.append(INDENT)
 
+    def bound(self, e: Element) -> None:
+        """Labels of a drawing, and parts of a formula that stand above one another or in columns, are words of their own."""
+        name, flow = e.name, self.flow()
+        if name == "foreignobject" or name == "math" and e.attributes.get("display", "").lower() == "block":
+            flow.block(False)
+        elif name in ("text", "mtr", "mtd", "mspace") or self.stack[-1].name == "mfrac" or name == "tspan" and not {"x", "y", "dy"}.isdisjoint(e.attributes):
+            flow.space = True
+
     def leave(self, e: Element) -> None:
         name = e.name
+        if e.foreign:
+            self.bound(e)
         if e.table is not None:
             flow = self.flow()
             flow.block(True)
@@ -399,12 +449,27 @@ class Renderer:
             return
         if e.name in ("table", "tr", "tbody", "thead", "tfoot", "colgroup", "select") and not text.strip():
             return
+        if e.foreign:
+            if not e.lit or e.inner == "math" and not text.strip():
+                return
+            if e.name == "mn" and self.flow().parts and self.flow().parts[-1][-1].isdigit():
+                self.flow().space = True  # an exponent is no further digit
+            if e.foreign == "math" and e.name != "mtext":
+                text = _SPACE.sub(" ", text).strip(" ")
         if e.pre:
             self.flow().raw(text)
         else:
             self.flow().text(text)
 
 
+def self_closed(attributes: str) -> bool:
+    """Whether a tag ends in a slash that is no part of an unquoted value."""
+    if not attributes.endswith("/"):
+        return False
+    cut = max(attributes.rfind(c) for c in "\"' \t\n\r\f") + 1
+    return "=" not in attributes[cut:] and not attributes[:cut].rstrip().endswith("=")
+
+
 def render(page: str | None) -> str:
     """Visible text of a page. Broken markup is read as far as it goes; null and empty pages give an empty text."""
     if not page:
@@ -424,8 +489,8 @@ def render(page: str | None) -> str:
             attributes: dict[str, str] = {}
             for k, a, b, c in _ATTRIBUTE.findall(m["attributes"]) if m["attributes"] else ():
                 attributes.setdefault(k.lower(), html.unescape(a or b or c))
-            r.start(name, attributes)
-            if name in RAW or name in ESCAPABLE:
+            r.start(name, attributes, self_closed(m["attributes"]))
+            if (name in RAW or name in ESCAPABLE) and r.stack[-1].name == name:  # none that a slash has closed
                 close = re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.IGNORECASE).search(page, at)
                 if name in ESCAPABLE:
                     r.data(html.unescape(page[at : close.start()]))
@@ -447,6 +512,13 @@ def visible_text(pages: DataFrame) -> DataFrame:
     Blocks stand on lines of their own, with a blank line where browsers leave a margin;
     list items get a dash or number and an indent; cells of a table stand in columns.
 
+    Of drawings the texts and foreign objects are seen, not titles, descriptions, definitions
+    (what <use> draws of them is not repeated) and metadata; of formulas all but annotations.
+    Labels, stacked parts and cells in them are parted by a blank. Buttons made by `input`
+    show their value, image buttons their alt text; a label that only the browser would give
+    is none. What stands in other fields is the user's and not text of the page. Not rendered
+    here are what stands in for frames, audio, video, canvas and objects.
+
     Null and empty pages give empty text. Repeated rows give a row each. Other columns are not
     read; very long pages go one at a time. An empty table gives no rows.
     """
