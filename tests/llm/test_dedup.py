@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from helpers import Union, awkward, frame, lower, near_groups, order, repeated_words, rows_of, sha
 from veilsight.llm import components, exact_dedup, line_dedup, simhash, substring_dedup
+from veilsight.llm.common import sorted_runs
 from veilsight.llm.queries import QUERIES
 
 
@@ -210,6 +212,45 @@ def test_similar_lines_match(spark):
     assert wrong <= 2  # banding may miss a pair just above the threshold
 
 
+def test_large_companies_keep_every_link(spark):
+    rng = random.Random(12)
+    rows = [(i, f"this is line number {rng.randrange(1000)} of the same frame, which is long enough that one number more or less is a small part of its shingles") for i in range(80)]
+    own = spark.createDataFrame([(d, d, t) for d, t in rows], "k long, doc_id long, text string")
+    one, two = (sorted(map(tuple, line_dedup.similar_lines(own, most).collect())) for most in (20_000, 4))
+    assert one == two and len({c for _, c in one}) < 10 and len(one) > 60
+
+
+def test_large_companies_go_in_pairs_of_blocks(spark):
+    rows = [(1, i, True) for i in range(300)] + [(2, i, False) for i in range(3)] + [(3, i, True) for i in range(5)] + [(4, 9, True)]
+    groups = {}
+    for r in line_dedup.companies(spark.createDataFrame(rows, "key long, id long, large boolean"), 100).collect():
+        groups.setdefault(r.key, set()).add(r.id)
+    assert max(map(len, groups.values())) < 150  # two blocks of 50 by hash
+    met = {(a, b) for g in groups.values() for a in g for b in g}
+    assert met == {(a, b) for a in range(300) for b in range(300)}
+    assert {0, 1, 2} in groups.values() and {0, 1, 2, 3, 4} in groups.values()
+
+
+def test_long_runs_come_in_pieces():
+    keys = np.repeat([1, 2, 3, 4], [3, 50, 2, 1])
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + 7]), pa.array(np.arange(len(keys))[k : k + 7])], names=["key", "id"]) for k in range(0, len(keys), 7)]
+    whole, pieces = [], []
+    for starts, ends, c in sorted_runs(iter(batches), "key", 20):
+        if starts is None:
+            assert set(c["key"]) == {2} and len(c["id"]) < 35
+            pieces += c["id"].tolist()
+        else:
+            whole += [c["id"][s:e].tolist() for s, e in zip(starts, ends, strict=True)]
+    assert whole == [[0, 1, 2], [53, 54]] and pieces == list(range(3, 53))
+    assert max(len(c["id"][s:e]) for starts, ends, c in sorted_runs(iter(batches), "key") for s, e in zip(starts, ends, strict=True)) == 50
+
+
+def test_companies_hashed_at_once_are_bounded_by_characters(monkeypatch):
+    monkeypatch.setattr(line_dedup, "LETTERS", 100)
+    got = list(line_dedup.at_once(np.array([0, 2, 5, 7]), np.array([2, 4, 7, 9]), np.array([40, 10, 20, 20, 999, 500, 1, 30, 30])))
+    assert got == [(0, 2), (2, 3), (3, 4)]
+
+
 def test_band_recall_at_the_threshold():
     rng = random.Random(10)
     found = n = 0

@@ -82,11 +82,13 @@ def as_array(values) -> pa.Array:
     return values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values if isinstance(values, pa.Array) else pa.array(values)
 
 
-def sorted_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+def sorted_runs(batches: Iterator[pa.RecordBatch], key: str, most: int | None = None) -> Iterator[tuple[np.ndarray | None, np.ndarray | None, dict[str, np.ndarray]]]:
     """Of rows sorted by a long key: starts and ends of whole runs with two rows or more, and the columns.
 
-    Rows of a key that goes on in the next batch wait for it.
+    Rows of a key that goes on in the next batch wait for it. A run of which over `most` rows
+    wait comes in pieces instead, without starts and ends.
     """
+    cut = None
     rest: dict[str, np.ndarray] | None = None
     waiting: list[dict[str, np.ndarray]] = []
 
@@ -101,8 +103,20 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[n
         if not batch.num_rows:
             continue
         now = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+        if cut is not None:
+            head = int(np.searchsorted(now[key], cut, side="right"))
+            if head:
+                yield None, None, {n: v[:head] for n, v in now.items()}
+            now = {n: v[head:] for n, v in now.items()}
+            if not len(now[key]):
+                continue
+            cut = None
         if waiting and now[key][-1] == waiting[0][key][0]:
             waiting.append(now)
+            if most is not None and sum(len(w[key]) for w in waiting) > most:
+                cut = waiting[0][key][0]
+                yield None, None, {n: np.concatenate([w[n] for w in waiting]) for n in now}
+                waiting = []
             continue
         if waiting:
             now = {n: np.concatenate([*(w[n] for w in waiting), now[n]]) for n in now}

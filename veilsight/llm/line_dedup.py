@@ -20,6 +20,10 @@ BANDS, ROWS = 12, 5
 NO_ID = -(1 << 63)
 #: Shingles hashed at once.
 BLOCK = 1 << 18
+#: Lines of a company that one task verifies; larger ones go in pairs of blocks.
+MOST_MEMBERS = 20_000
+#: Band rows of a key that are held at once; characters of companies that are hashed at once.
+RUN, LETTERS = 1 << 20, 1 << 20
 
 _RNG = np.random.default_rng(7)
 _A = (_RNG.integers(1, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)).astype(np.uint32)
@@ -91,22 +95,44 @@ def _band_rows(part: pa.RecordBatch) -> dict:
     return {"key": keys.ravel(), "id": np.repeat(np.fromiter(found.values(), np.int64, len(found)), BANDS)}
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and id: the ids of keys with two or more, under a name of that set of ids.
+def _shared(most: int):
+    """Rows sorted by key and id: the ids of keys with two or more, under a name of that set of ids, and whether there are over `most`.
 
     Near lines share several bands and mostly meet in the same company; it is verified once.
+    A company too long to wait for is named by its key and comes in pieces.
     """
-    for starts, ends, c in sorted_runs(batches, "key"):
-        new = np.r_[True, (c["key"][1:] != c["key"][:-1]) | (c["id"][1:] != c["id"][:-1])]
-        ids = mix(c["id"].view(np.uint64)) * new
-        groups, members = [], []
-        for s, e in zip(starts, ends, strict=True):
-            if c["id"][s] != c["id"][e - 1]:
-                some = c["id"][s:e][new[s:e]]
-                groups.append(np.full(len(some), mix(ids[s:e].sum(dtype=np.uint64, keepdims=True) + np.uint64(len(some))).view(np.int64)[0]))
-                members.append(some)
-        none = [np.empty(0, np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups or none)), pa.array(np.concatenate(members or none))], names=["key", "id"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for starts, ends, c in sorted_runs(batches, "key", RUN):
+            new = np.r_[True, (c["key"][1:] != c["key"][:-1]) | (c["id"][1:] != c["id"][:-1])]
+            groups, members, large = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+            if starts is None:
+                members.append(c["id"][new])
+                groups.append(mix(c["key"][new].view(np.uint64)).view(np.int64))
+                large.append(np.ones(len(members[-1]), bool))
+            else:
+                ids = mix(c["id"].view(np.uint64)) * new
+                for s, e in zip(starts, ends, strict=True):
+                    if c["id"][s] != c["id"][e - 1]:
+                        some = c["id"][s:e][new[s:e]]
+                        groups.append(np.full(len(some), mix(ids[s:e].sum(dtype=np.uint64, keepdims=True) + np.uint64(len(some))).view(np.int64)[0]))
+                        members.append(some)
+                        large.append(np.full(len(some), len(some) > most))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (groups, members, large)], names=["key", "id", "large"])
+
+    return run
+
+
+def companies(shared: DataFrame, most: int) -> DataFrame:
+    """shared(key, id, large) -> (key, id): what is verified together. Large companies are dealt into blocks of half of `most`, and
+    each two blocks are verified by themselves, so that all pairs still meet and no task holds a whole company."""
+    small, large = shared.filter("not large").select("key", "id"), shared.filter("large").select("key", "id")
+    if large.isEmpty():
+        return small
+    n = large.groupBy(F.col("key").alias("c")).agg(F.count("*").alias("n")).filter("n > 1")
+    block = F.when(F.col("n") <= most, 1).otherwise(F.ceil(F.col("n") / max(1, most // 2))).cast("long")
+    dealt = large.join(n, F.col("key") == F.col("c")).withColumn("blocks", block).withColumn("b", F.pmod(F.xxhash64("id"), "blocks"))
+    pairs = F.expr("transform(filter(sequence(0L, blocks - 1), j -> j <> b or blocks = 1), j -> xxhash64(key, least(j, b), greatest(j, b)))")
+    return small.unionByName(dealt.select(F.explode(pairs).alias("key"), "id"))
 
 
 def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> Iterator[tuple[int, int]]:
@@ -135,12 +161,22 @@ def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> Iterator[tuple
             front.extend(near.tolist())
 
 
+def at_once(starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of companies that are hashed together: 2,000 and LETTERS characters at most, a company at least."""
+    sums = np.r_[0, np.cumsum(sizes)]
+    before, at = np.r_[0, np.cumsum(sums[ends] - sums[starts])], 0
+    while at < len(starts):
+        to = max(at + 1, min(at + 2_000, int(np.searchsorted(before, before[at] + LETTERS, side="right")) - 1))
+        yield at, to
+        at = to
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines sorted by key and id, to verified links."""
     for starts, ends, c in sorted_runs(batches, "key"):
         a, b, ids = [], [], c["id"]
-        for at in range(0, len(starts), 2_000):
-            some = list(zip(starts[at : at + 2_000].tolist(), ends[at : at + 2_000].tolist(), strict=True))
+        for at, to in at_once(starts, ends, np.fromiter(map(len, c["line"]), np.int64, len(ids))):
+            some = list(zip(starts[at:to].tolist(), ends[at:to].tolist(), strict=True))
             rows = [i for s, e in some for i in range(s, e)]
             hashed, bounds = shingles(c["line"][rows].tolist())
             sets, k = [np.unique(hashed[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], 0
@@ -161,13 +197,13 @@ def _near(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
     return common >= least * (len(x) + len(y) - common) - 1e-9
 
 
-def similar_lines(own: DataFrame) -> DataFrame:
+def similar_lines(own: DataFrame, most: int = MOST_MEMBERS) -> DataFrame:
     """(node, component): ids of lines that are near to others, over all documents own(k, text)."""
     spark = own.sparkSession
     ship_code(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bands = map_rows(own.select("text"), _band_rows, "key long, id long")
-    shared = written(bands.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long").distinct(), "bands")
+    shared = written(bands.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_shared(most), "key long, id long, large boolean").distinct(), "bands")
 
     def texts(part: pa.RecordBatch) -> dict:
         found = _lines(part)
@@ -176,7 +212,7 @@ def similar_lines(own: DataFrame) -> DataFrame:
     wanted = shared.select(F.col("id").alias("w")).distinct()
     lines = map_rows(own.select("text"), texts, "line_id long, line string")
     lines = lines.join(wanted, F.col("line_id") == F.col("w"), "left_semi").dropDuplicates(["line_id"])
-    members = shared.join(lines, F.col("id") == F.col("line_id")).select("key", "id", "line")
+    members = companies(shared, most).join(lines, F.col("id") == F.col("line_id")).select("key", "id", "line")
     links = members.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_links, "a long, b long")
     return components(links, "lines")
 
@@ -203,14 +239,15 @@ def _cut(part: pa.RecordBatch) -> dict:
     return {"doc_id": part.column("doc_id"), "n_lines": np.array(n_lines, np.int64), "n_removed": np.array(n_removed, np.int64), "kept": pa.array(kept, pa.string())}
 
 
-def remove_similar_lines(docs: DataFrame) -> DataFrame:
+def remove_similar_lines(docs: DataFrame, most: int = MOST_MEMBERS) -> DataFrame:
     """One row per document: doc_id, n_lines (not blank), n_removed, kept (the text left).
 
     Lines are compared by their words joined by one blank, whatever the document. Equal lines,
     and lines whose sets of five-character shingles have a Jaccard similarity of 0.8 or more,
     are linked; of each component the first line stays, by doc_id and place. Candidates share
     a band of MinHash values (recall 0.991 at 0.8, more above); all are verified exactly.
-    Lines are named by 64-bit hashes.
+    Lines are named by 64-bit hashes. Over `most` different lines that share a band are verified
+    in pairs of blocks, so that no task holds them all and no link is lost.
 
     Blank lines stay and aren't counted. Lines under five characters are equal or not. Null
     and empty texts have no lines. A null doc_id is the smallest. Rows that share an id and
@@ -218,7 +255,7 @@ def remove_similar_lines(docs: DataFrame) -> DataFrame:
     gives no rows.
     """
     own = documents_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "doc_id", "text")
-    near = similar_lines(own)
+    near = similar_lines(own, most)
     at = map_rows(own.select("k", "text"), _occurrences, "k long, at int, id long")
     first = at.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("k", "at")).alias("first"))
     grouped = first.join(near, F.col("id") == F.col("node"), "left").filter("n > 1 or node is not null").select(
