@@ -70,6 +70,16 @@ def test_contamination_matches(spark, most_grams):
     assert rows_of(clean, "doc_id") == sorted(((w[0],) for w in want if not w[-1]), key=repr)
 
 
+def test_grams_of_many_items_are_spread_over_blocks(spark):
+    frame_ = " ".join(f"w{i}" for i in range(13))
+    benchmark = spark.createDataFrame([(i, frame_) for i in range(600)] + [(None, frame_)], "item_id long, text string")
+    found = decontaminate.grams(benchmark)
+    sizes = [r["count"] for r in found.groupBy(decontaminate.block_of(6).alias("b")).count().collect()]
+    assert sum(sizes) == 601 and len(sizes) == 6 and max(sizes) < 200
+    one, more = (decontaminate.contamination(frame(spark, [(1, frame_), (2, "clean")]), benchmark, n).collect() for n in (400_000, 100))
+    assert sorted(one) == sorted(more) and {r.doc_id: (r.n_hit, r.n_items) for r in one} == {1: (13, 600), 2: (0, 0)}
+
+
 def test_spans_are_removed(spark):
     item = "the quick brown fox jumps over the lazy dog while nobody looks at"
     rows = [(1, f"Before. {item.title()}! After."), (2, "clean"), (3, None)]

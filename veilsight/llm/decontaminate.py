@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, row_and, ship_code, texts_of, written
@@ -101,6 +101,11 @@ _SCHEMA = "n_words long, spans array<struct<s:long,e:long,from:long,to:long>>, i
 _SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("from", pa.int64()), ("to", pa.int64())]))
 
 
+def block_of(blocks: int) -> Column:
+    """The block of a gram and item. Items count, so that a gram of very many items is spread over all blocks."""
+    return F.pmod(F.xxhash64("gram", "item_id"), F.lit(blocks))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, most_grams: int = MOST_GRAMS) -> DataFrame:
     """(row, n_words, spans, items): row has all columns of `docs`; a span of hit words has word and byte bounds.
 
@@ -115,7 +120,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, most_grams: int = MOST_GRAMS) ->
     out = docs.select(row.alias("row"))
     fields = row_and(out, _SCHEMA)
     for k in range(blocks):
-        part = found if blocks == 1 else found.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == k)
+        part = found if blocks == 1 else found.filter(block_of(blocks) == k)
         known = spark.sparkContext.broadcast([(bytes(g), s, i) for g, s, i in part.collect()])
 
         def make(batch: pa.RecordBatch, known=known, key=uuid.uuid4().hex) -> dict:
