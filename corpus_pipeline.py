@@ -10,8 +10,8 @@ from veilsight.llm.queries import tokenizer_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
+    """Documents that the classifier rejects go; it is fitted on the labelled documents of `sf_dir`, whatever `docs` are."""
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"), labelled=read(spark, sf_dir, "documents"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

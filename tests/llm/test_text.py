@@ -49,6 +49,23 @@ def test_quality_of_awkward_rows(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in out.collect())
 
 
+def test_labels_of_unknown_documents_use_up_no_sample(spark):
+    docs = frame(spark, [(i, ("good words here " if i % 2 else "bad stuff there ") * 3) for i in range(40)])
+    known = [(i, i % 2, 0) for i in range(40)]
+    labels = spark.createDataFrame(known + [(1000 + i, 0, 1) for i in range(2000)], "doc_id long, quality int, toxic int")
+    one, two = quality.fit(docs, labels, 40), quality.fit(docs, spark.createDataFrame(known, labels.schema), 40)
+    assert (one.weights == two.weights).all() and one.weights.any()
+
+
+def test_stage_rates_documents_without_labels(spark, sf_dir):
+    import corpus_pipeline as P
+
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    bad = docs.join(labels.filter("toxic = 1"), "doc_id", "left_semi").withColumn("doc_id", docs["doc_id"] + 10**9)
+    n = bad.count()
+    assert n > 0 and P.quality_classifier(spark, bad, sf_dir).count() < 0.2 * n
+
+
 # --- decontamination
 
 

@@ -152,7 +152,8 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_RATINGS) -> Ordinal:
     """Fit on at most `most` labelled documents: their features, not their texts, go to the driver."""
-    chosen = graded(labels).orderBy(F.xxhash64("id"), "id").limit(most)
+    ids = docs.select(docs["doc_id"].cast("long").alias("known")).distinct()
+    chosen = graded(labels).join(ids, F.col("id") == F.col("known"), "left_semi").orderBy(F.xxhash64("id"), "id").limit(most)
     rated = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(
         F.broadcast(chosen), F.col("doc_id") == F.col("id")  # `most` rows of two numbers
     ).dropDuplicates(["doc_id"]).select("doc_id", "text", "grade")
@@ -202,6 +203,6 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = MOST_RATINGS, least_
     return rated.select("row.doc_id", "expected_grade", "tail_probability", "kept")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, most: int = MOST_RATINGS, least_tail: float = LEAST_TAIL) -> DataFrame:
-    """The documents that are kept, with all their columns."""
-    return rate(docs, fit(docs, labels, most), least_tail).filter("kept").select("row.*")
+def keep_good(docs: DataFrame, labels: DataFrame, most: int = MOST_RATINGS, least_tail: float = LEAST_TAIL, labelled: DataFrame | None = None) -> DataFrame:
+    """The documents that are kept, with all their columns. The model is fitted on `labelled` documents, or on `docs`."""
+    return rate(docs, fit(docs if labelled is None else labelled, labels, most), least_tail).filter("kept").select("row.*")
