@@ -123,6 +123,16 @@ def test_near_stage_keeps_one_of_each_component(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted({c for _, _, c in near_groups(rows)})
 
 
+def test_stages_with_ids_that_clash_across_groups(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (9, b), (5, a.upper()), (7, None), (7, ""), (3, c), (None, "x y z"), (None, "other words of no id at all")]
+    got = sorted(((r.doc_id, lower(r.text)) for r in exact_dedup.drop_duplicates(frame(spark, rows)).collect()), key=repr)
+    assert got == sorted([(5, a), (9, b), (7, ""), (3, c), (None, "x y z"), (None, "other words of no id at all")], key=repr)
+    near = [(5, a), (5, b), (2, b), (5, c), (8, c), (6, None), (6, ""), (None, "x y z"), (None, "other words of no id at all"), (None, "X Y Z")]
+    got = sorted(((r.doc_id, lower(r.text)) for r in simhash.drop_near_duplicates(frame(spark, near)).collect()), key=repr)
+    assert got == sorted([(5, a), (2, b), (5, c), (6, ""), (None, "x y z"), (None, "other words of no id at all")], key=repr)
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000 + i, 2001 + i) for i in range(60)] + [(5, 5), (None, 3)]

@@ -128,15 +128,15 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], key: str, most: int | None =
         yield whole({n: np.concatenate([w[n] for w in waiting]) for n in waiting[0]})
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of `docs` named by kept(keep_id), one row for each, with the columns of `docs`.
+def keep_rows(docs: DataFrame, kept: DataFrame, norm: Callable[[Column], Column] = lambda text: text) -> DataFrame:
+    """The rows of `docs` named by kept(keep_id, keep_sha256), one row for each, with the columns of `docs`.
 
-    Ids are compared null-safely. Of rows that share a kept id and a text, one stays.
+    keep_sha256 is that of norm(text), a null text being empty. Ids are compared null-safely.
+    Of rows that share a kept id and such a text, one stays.
     """
-    rows = docs.select(
-        docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"].cast("string")).alias("h"), F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    )
-    ids = kept.select(F.col("keep_id").alias("k")).distinct()
-    found = rows.join(ids, rows["id"].eqNullSafe(ids["k"]), "left_semi")
+    text = norm(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    rows = docs.select(docs["doc_id"].cast("long").alias("id"), F.sha2(text, 256).alias("h"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    ids = kept.select(F.col("keep_id").alias("k"), F.col("keep_sha256").alias("kh")).distinct()
+    found = rows.join(ids, (rows["h"] == ids["kh"]) & rows["id"].eqNullSafe(ids["k"]), "left_semi")
     first = F.row_number().over(Window.partitionBy("id", "h").orderBy("h"))
     return found.withColumn("n", first).filter("n = 1").select("row.*")

@@ -75,4 +75,4 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns."""
-    return keep_rows(docs, exact_duplicates(docs).filter("kept"))
+    return keep_rows(docs, exact_duplicates(docs).filter("kept").select("keep_id", F.col("text_sha256").alias("keep_sha256")), ascii_lower)

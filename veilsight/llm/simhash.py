@@ -41,13 +41,14 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, named: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed long. If `named`, with the text's sha256."""
     def make(part: pa.RecordBatch) -> dict:
         fps = np.array([fingerprint(t) for t in part.column("text").to_pylist()], np.uint64)
-        return {"doc_id": part.column("doc_id"), "fp": fps.view(np.int64)}
+        return {"doc_id": part.column("doc_id"), "fp": fps.view(np.int64)} | ({"sha256": part.column("sha256")} if named else {})
 
-    return map_rows(documents_of(docs), make, "doc_id long, fp long")
+    own = documents_of(docs)
+    return map_rows(own.withColumn("sha256", F.sha2("text", 256)) if named else own, make, "doc_id long, fp long" + (", sha256 string" if named else ""))
 
 
 #: Byte places of an index entry: any two fingerprints that share LEAST_SHARED places meet in one.
@@ -163,20 +164,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     and ids give a row each. A null doc_id is never a component's id unless all are null.
     Other columns are not read. An empty table gives no rows.
     """
-    fps = written(fingerprints(docs), "simhash")
+    return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def grouped(docs: DataFrame, named: bool = False) -> DataFrame:
+    """fingerprints() with component, a fingerprint, which no two components share, and component_id, which repeated ids may share."""
+    fps = written(fingerprints(docs, named), "simhash")
     first = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     comps = components(near_links(first), "simhash")
     of = first.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select(
         F.col("fp").alias("f"), "first", F.coalesce("component", "fp").alias("component")
     )
     ids = of.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = of.join(ids, "component").select("f", "component_id")
-    return fps.join(of, fps["fp"] == of["f"]).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    of = of.join(ids, "component").select("f", "component", "component_id")
+    return fps.join(of, fps["fp"] == of["f"]).drop("f")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with its smallest doc_id, with all columns."""
-    kept = near_duplicates(docs).groupBy("component_id").agg(F.min("component_id").alias("keep_id"))
-    return keep_rows(docs, kept)
+    """One document of each component, the one with its smallest doc_id (of those the one with the smallest fingerprint), with all columns."""
+    least = grouped(docs, named=True).filter("doc_id <=> component_id").groupBy("component").agg(F.min(F.struct("fp", "doc_id", "sha256")).alias("least"))
+    return keep_rows(docs, least.select(F.col("least.doc_id").alias("keep_id"), F.col("least.sha256").alias("keep_sha256")))
