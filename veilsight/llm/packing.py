@@ -1,8 +1,9 @@
 """Vector bin packing of examples into training sequences.
 
 A sequence has room for so many tokens, segments and loss-bearing tokens at once. Of the
-examples that fit, the one whose demand has the largest dot product with the room left goes
-in next. Each task packs the examples it reads, some thousands at a time; what makes no full
+examples that fit, the one whose demand has the largest dot product with the room goes in
+first, then the one whose demand, scaled to length one, has the largest with the room left:
+what points where room is left over, so that no limit is used up before the others. Each task packs the examples it reads, some thousands at a time; what makes no full
 sequence waits for the next ones.
 """
 
@@ -148,10 +149,12 @@ class Packer:
             # dimensions count by what they are short of
             weight = need[live].sum(0) / caps
             weight = weight / max(weight.sum(), 1e-9) / caps**2
+            size = np.sqrt(need**2 @ weight)
             room, own = caps.copy(), []
             while left:
                 fits = live & (need[:, 0] <= room[0]) & (need[:, 2] <= room[2])
-                score = np.where(fits, need @ (weight * room), -1.0)
+                dot = need @ (weight * room)
+                score = np.where(fits, dot / size if own else dot, -1.0)
                 k = int(score.argmax())
                 if fits[k]:
                     own.append(pool[k])
@@ -168,6 +171,7 @@ class Packer:
                     used = np.array([n, 1, part.loss.sum()], float)
                     room -= used
                     need[k] -= used * (1, 0, 1)
+                    size[k] = np.sqrt(need[k] ** 2 @ weight)
                 else:
                     break
                 if room[0] < 1 or room[1] < 1:
