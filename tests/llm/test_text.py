@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import time
 from html.parser import HTMLParser
 
 import numpy as np
@@ -213,6 +214,26 @@ CASES = [
 ]
 
 
+DEEP = {
+    "quotes": "<blockquote>x" * 10_000, "lists": "<ul><li>x" * 5_000, "wide cells": "<table>" + "<tr><td colspan=1000>x" * 8_000, "wide and high": "<table>" + "<tr><td colspan=1000 rowspan=9>x<td>x" * 2_000,
+    "high cells": "<table>" + "<tr><td rowspan=65534>x" * 2_000, "spans": "<span>" * 8_000 + "<li>x</span>" * 8_000, "tables": "<table><tr><td>x<td>" * 3_000, "one column": "<table><tr><td>x" * 3_000,
+    "tables in quotes": "<blockquote><table><tr><td>x<td>" * 2_000, "headings": "<div><h1>x" * 4_000,
+}
+
+
+@pytest.mark.parametrize("name", DEEP)
+def test_deep_pages_grow_in_proportion(name):
+    page, start = DEEP[name], time.process_time()
+    text = html_layout.render(page)
+    assert time.process_time() - start < 2
+    assert text.count("x") == page.count("x") and len(text) < 30 * len(page)
+
+
+def test_columns_without_cells_take_no_room():
+    assert html_layout.render("<table><tr><td colspan=1000>a<td>b<tr><td colspan=1000>cc<td>d</table>") == "a   b\ncc  d"
+    assert html_layout.render("<table><tr><td rowspan=2 colspan=2>a<td>b<tr><td>c</table>") == "a  b\n   c"
+
+
 @pytest.mark.parametrize(("page", "text"), CASES)
 def test_layout(page, text):
     assert html_layout.render(page) == text

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,13 +73,19 @@ BUTTONS = frozenset("submit reset button".split())
 
 #: Cells are padded to the widest of their column up to so many characters; longer ones stand as they are.
 WIDEST_PADDING = 60
+#: Blanks between two cells of a line, at most.
+WIDEST_GAP = 240
+#: Levels that are indented, and tables in tables that are laid out in columns; what lies deeper stands as deep as these.
+DEEPEST = 32
 INDENT = "  "
 
 
 class Flow:
     """Lines of a block container. White space collapses; blank lines are kept between, not at the edges."""
 
-    def __init__(self):
+    def __init__(self, above: int = 0):
+        """`above`: levels around this container."""
+        self.above = above
         self.lines: list[str] = []
         self.parts: list[str] = []
         self.space = False
@@ -129,10 +135,15 @@ class Flow:
             self.parts = []
         self.space = False
 
+    def _indent(self) -> str:
+        return "".join(self.prefix[: max(0, DEEPEST - self.above)])
+
     def _lead(self) -> str:
-        lead = "".join(self.prefix)
+        lead = self._indent()
         if self.marker is not None:
-            lead = lead[: -len(self.marker)] + self.marker if self.prefix else self.marker
+            if 0 < len(self.prefix) <= DEEPEST - self.above:
+                lead = lead[: -len(self.marker)]
+            lead += self.marker
             self.marker = None
         return lead
 
@@ -156,7 +167,7 @@ class Flow:
         if lines:
             self._begin()
             self._end_line()
-            lead, rest = self._lead(), "".join(self.prefix)
+            lead, rest = self._lead(), self._indent()
             self.lines += [(rest if k else lead) + line if line else "" for k, line in enumerate(lines)]
 
     def done(self) -> list[str]:
@@ -179,44 +190,52 @@ class Table:
             self.rows.append([])
         self.rows[-1].append((lines, across, down))
 
-    def lines(self) -> list[str]:
-        """Columns side by side. Spanned places stay empty."""
-        grid: list[list[list[str]]] = []
-        held: dict[int, int] = {}
-        for row in self.rows:
-            if not row:
-                continue
-            out: list[list[str]] = []
-            at = 0
-
-            def free(at: int) -> int:
-                while held.get(at, 0) > 0:
-                    held[at] -= 1
-                    out.append([])
-                    at += 1
-                return at
-
+    def _places(self) -> list[list[tuple[int, list[str]]]]:
+        """Cells of each row with the columns they begin in."""
+        rows = [row for row in self.rows if row]
+        grid: list[list[tuple[int, list[str]]]] = []
+        held: list[tuple[int, int, int]] = []  # columns from and to, and the row before which a cell ends
+        for row in rows:
+            held = [h for h in held if h[2] > len(grid)]
+            out, begun, at, k = [], [], 0, 0
             for lines, across, down in row:
-                at = free(at)
-                for k in range(across):
-                    out.append(lines if k == 0 else [])
-                    if down > 1:
-                        held[at + k] = down - 1
+                while k < len(held) and held[k][0] <= at:
+                    at = max(at, held[k][1])
+                    k += 1
+                out.append((at, lines))
+                if down > 1:
+                    begun.append((at, at + across, min(len(rows), len(grid) + down)))
                 at += across
-            free(at)
+            if begun:
+                held = sorted(held + begun)
             grid.append(out)
-        widths: list[int] = []
+        return grid
+
+    def lines(self) -> list[str]:
+        """Columns side by side. Spanned places stay empty; a column in which no cell begins takes no room."""
+        grid = self._places()
+        widths: dict[int, int] = {}
         for row in grid:
-            for k, lines in enumerate(row):
+            for column, lines in row:
                 wide = max((len(x) for x in lines), default=0)
-                if k == len(widths):
-                    widths.append(0)
-                widths[k] = max(widths[k], wide if wide <= WIDEST_PADDING else 0)
+                widths[column] = max(widths.get(column, 0), wide if wide <= WIDEST_PADDING else 0)
+        begins, at = {}, 0
+        for column in sorted(widths):
+            begins[column] = at
+            at += widths[column] + 2
         out = list(self.caption)
         for row in grid:
-            for i in range(max((len(x) for x in row), default=0)):
-                cells = [x[i] if i < len(x) else "" for x in row]
-                out.append("  ".join(c.ljust(w) for c, w in zip(cells, widths, strict=False)).rstrip(" "))
+            made: list[list[str]] = []
+            ends: list[int] = []  # where the line ends if no cell is wider than its column
+            for column, lines in row:
+                for i, text in enumerate(lines):
+                    if i == len(made):
+                        made.append([])
+                        ends.append(0)
+                    if text:
+                        made[i].append(" " * min(WIDEST_GAP, begins[column] - ends[i]) + text)
+                        ends[i] = begins[column] + min(len(text), widths[column])
+            out += ["".join(parts).rstrip(" ") for parts in made]
         return out
 
 
@@ -258,7 +277,7 @@ class Renderer:
         self.stack = [root]
         self.body = root.flow
         self.flows = [root.flow]
-        self.open: Counter[str] = Counter()
+        self.places: dict[str, list[int]] = defaultdict(list)  # of open elements in the stack, by name
 
     # --- tree
 
@@ -267,15 +286,10 @@ class Renderer:
 
     def open_names(self, names, walls) -> int | None:
         """The innermost open element of these names, if none of the walls is nearer."""
-        if not any(self.open[n] for n in names):
+        at = max((self.places[n][-1] for n in names if self.places[n]), default=None)
+        if at is None or any(self.places[w] and self.places[w][-1] > at for w in walls):
             return None
-        for k in range(len(self.stack) - 1, 0, -1):
-            name = self.stack[k].name
-            if name in names:
-                return k
-            if name in walls:
-                return None
-        return None
+        return at
 
     def start(self, name: str, attributes: dict, closed: bool = False) -> None:
         """`closed`: the tag ends in a slash, which counts in drawings and formulas."""
@@ -308,8 +322,8 @@ class Renderer:
             self.enter(element)
         if name in VOID:
             return
+        self.places[name].append(len(self.stack))
         self.stack.append(element)
-        self.open[name] += 1
         if closed and element.foreign:
             self.close(len(self.stack) - 1)
 
@@ -326,7 +340,7 @@ class Renderer:
     def close(self, at: int) -> None:
         while len(self.stack) > at:
             element = self.stack.pop()
-            self.open[element.name] -= 1
+            self.places[element.name].pop()
             if element.flow is not None:
                 self.flows.pop()
             if not element.hidden:
@@ -378,10 +392,17 @@ class Renderer:
                 flow.text(label)
                 flow.space = True
         elif name == "table":
-            e.table = Table()
+            if len(self.places["table"]) < DEEPEST:
+                e.table = Table()
+            else:
+                flow.block(True)
         elif name in ("td", "th", "caption"):
-            e.flow = Flow()
-            self.flows.append(e.flow)
+            at = self.open_names(("table",), ())
+            if at is None or self.stack[at].table is not None:
+                e.flow = Flow(flow.above + len(flow.prefix))
+                self.flows.append(e.flow)
+            else:
+                flow.block(False)
         elif name in BLOCKS:
             flow.block(name in SPACED and not (name in LISTS and self.open_names(("li",), WALLS) is not None))
             if name in LISTS:
@@ -437,6 +458,8 @@ class Renderer:
                 flow.marker = None
             nested = name in LISTS and self.open_names(("li",), WALLS) is not None
             flow.block(name in SPACED and not nested)
+        elif name in ("td", "th"):
+            self.flow().block(False)
 
     def data(self, text: str) -> None:
         e = self.stack[-1]
@@ -510,7 +533,9 @@ def visible_text(pages: DataFrame) -> DataFrame:
     tags without a start are passed over. Unseen are scripts, styles, the head, `hidden`,
     display:none, visibility:hidden unless changed back below, closed details and dialogs.
     Blocks stand on lines of their own, with a blank line where browsers leave a margin;
-    list items get a dash or number and an indent; cells of a table stand in columns.
+    list items get a dash or number and an indent; cells of a table stand in columns. Beyond
+    DEEPEST levels nothing is indented further, and cells of a table in so many tables stand
+    one below another; at most WIDEST_GAP blanks stand between two cells. No text is dropped.
 
     Of drawings the texts and foreign objects are seen, not titles, descriptions, definitions
     (what <use> draws of them is not repeated) and metadata; of formulas all but annotations.
