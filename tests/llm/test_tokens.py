@@ -122,3 +122,17 @@ def test_another_dictionary_is_refused():
         token_files.frame(block, 0, b"other")
     with pytest.raises(ValueError, match="version"):
         token_files.index(b"x" * 100, b"")
+
+
+def test_documents_are_read_in_bounded_stretches():
+    assert list(token_files.reads([])) == []
+    assert list(token_files.reads([1, 2, 3], 12)) == [(0, 2), (2, 3)]
+    assert list(token_files.reads([100, 1, 100, 1, 1], 12)) == [(0, 1), (1, 2), (2, 3), (3, 5)]
+
+
+def test_very_repetitive_documents_come_back(spark, tmp_path):
+    """A block of very small frames holds far more ids than bytes."""
+    rows = [(i, "so " * 400_000) for i in range(12)]
+    path = str(tmp_path / "t")
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, tokenizer_path())
+    assert sorted((r.doc_id, r.start, r.n_tokens) for r in token_files.read_tokens(spark, path).drop("ids").collect()) == [(i, i * 400_001, 400_001) for i in range(12)]

@@ -36,6 +36,8 @@ END_ID, LEVEL = 2, 3
 SAMPLE_DOCUMENTS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_000, 20_000, 64 << 10
 #: Frames of a block; a longer frame is a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Bytes of ids that a reader decompresses at once; a longer document comes alone.
+READ_BYTES = 4 << 20
 #: Row groups of a file: no reader holds more than one and a task's split.
 GROUP_BYTES = 8 << 20
 #: Files of a table: one for so many compressed bytes, and no more than so many.
@@ -48,6 +50,7 @@ def _library(file: bytes) -> Pieces:
     bpe = WordBpe(file)
     tokenizer = bpe.library
     ends = np.array([t.endswith(bpe.end) for t in bpe.tokens])
+    bpe.vocabulary, bpe.tokens, bpe.pairs = {}, [], []  # the library has its own
 
     def encode(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -185,6 +188,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     spark.createDataFrame(rows, "shard int, first long").coalesce(1).write.parquet(f"{path}/shards")
 
 
+def reads(sizes: list[int], most: int = READ_BYTES) -> Iterator[tuple[int, int]]:
+    """Stretches of documents of so many ids that are decompressed at once: `most` bytes, a document at least."""
+    at = held = 0
+    for k, n in enumerate(sizes):
+        if k > at and held + 4 * n > most:
+            yield at, k
+            at, held = k, 0
+        held += 4 * n
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of the token files: doc_id, start, n_tokens, ids (binary).
 
@@ -203,11 +218,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1).to_pylist()[0]
                 offsets, base = index(one["bytes"], shared.value)
-                for at in range(0, len(one["sizes"]), 256):
-                    ids = [press.decompress(one["bytes"][base + int(a) : base + int(b)]) for a, b in zip(offsets[at : at + 256], offsets[at + 1 : at + 257], strict=False)]
+                for at, to in reads(one["sizes"]):
+                    ids = [press.decompress(one["bytes"][base + int(a) : base + int(b)]) for a, b in zip(offsets[at:to], offsets[at + 1 : to + 1], strict=True)]
                     first = one["first"]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(one["doc_ids"][at : at + 256], pa.int64()), pa.array([first + s for s in one["starts"][at : at + 256]], pa.int64()),
+                        [pa.array(one["doc_ids"][at:to], pa.int64()), pa.array([first + s for s in one["starts"][at:to]], pa.int64()),
                          pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
