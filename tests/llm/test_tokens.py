@@ -107,6 +107,15 @@ def test_token_files_query(spark, sf_dir, library):
     assert [tuple(r)[1:] for r in got] == expected(library, list(zip(table["doc_id"], table["text"], strict=True)))
 
 
+def test_pieces_are_met_again_in_either_table(monkeypatch, library):
+    monkeypatch.setattr(token_files, "KEPT_PIECES", 3)
+    pieces = token_files.LibraryPieces(load(tokenizer_path()))
+    texts = ["one Two three't four, five", "one six İstanbul ΣΑΣ 7a8", "e\u0301 \u00e9 e\u0301\u0323x \U0001fae8a", "one\x1ctwo <|endoftext|> x", "", None, "two ... one"]
+    for text in [*texts, *texts]:
+        assert ids_of(pieces.texts([text])[0]).tolist() == ids(library, text)
+    assert [ids_of(i).tolist() for i in pieces.texts(texts)] == [ids(library, t) for t in texts]
+
+
 def test_one_document_is_read_by_its_frame(spark, tmp_path, library):
     docs = spark.createDataFrame([(i, f"some text number {i} with words") for i in range(200)] + [(500, "long " * 30000)], "doc_id long, text string")
     token_files.write_tokens(docs, str(tmp_path / "t"), tokenizer_path())

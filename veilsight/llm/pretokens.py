@@ -27,6 +27,11 @@ def load(path: str) -> bytes:
     return Path(path).read_bytes()
 
 
+def plain_spaces(text: str, mark: str) -> bool:
+    """Whether a text may be cut by str.split(): no special token, no white space that the tokenizer sees otherwise."""
+    return mark not in text and not _ODD.search(text)
+
+
 class Pieces:
     """Ids of pieces, as little-endian unsigned 32-bit integers, and of whole texts."""
 

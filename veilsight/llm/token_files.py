@@ -16,8 +16,10 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
+import unicodedata
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,11 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 from .common import documents_of, map_rows, ship_code, written
-from .pretokens import Pieces, WordBpe, forget, kept, load
+from .pretokens import WordBpe, forget, kept, load, plain_spaces, unknown
 
 MAGIC, VERSION = b"VTOK", 1
+#: Pieces a worker knows; when full the table becomes the old one, from which what is met again moves on.
+KEPT_PIECES = 200_000
 HEADER = struct.Struct("<4sH32sI")
 END_ID, LEVEL = 2, 3
 #: The dictionary is trained on the ids of at most so many documents, those with the smallest hashes of their ids, of at most so many characters.
@@ -44,36 +48,61 @@ GROUP_BYTES = 8 << 20
 SHARD_BYTES, MOST_SHARDS = 64 << 20, 10_000
 
 
-def _library(file: bytes) -> Pieces:
-    """The tokenizers library, which gets each distinct word once. Words go in rows of many, cut again at ids that end a word."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    bpe = WordBpe(file)
-    tokenizer = bpe.library
-    ends = np.array([t.endswith(bpe.end) for t in bpe.tokens])
-    bpe.vocabulary, bpe.tokens, bpe.pairs = {}, [], []  # the library has its own
-
-    def encode(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words(words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
-            ids = np.frombuffer(encode([" ".join(some)])[0], "<u4")
-            stops = np.flatnonzero(ends[ids]) + 1
-            if len(stops) != len(some):
-                out += encode(some)
+class LibraryPieces:
+    """The tokenizers library, which gets each distinct piece (a run without white space) once.
+
+    New pieces go to it in rows of many; its ids are cut again at those that end a word, by
+    the number of words of each piece. No table of words is kept beside that of pieces.
+    """
+
+    def __init__(self, file: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        bpe = WordBpe(file)
+        self.library, self.pattern, self.mark = bpe.library, bpe.pattern, bpe.mark
+        self.ends = np.array([t.endswith(bpe.end) for t in bpe.tokens])
+        self.of: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        cut = [None if t and not plain_spaces(t, self.mark) else (t or "").split() for t in texts]
+        if len(self.of) > KEPT_PIECES:
+            self.of, self.old = {}, self.of
+        of, old = self.of, self.old
+        new = [p for p in set(chain.from_iterable(c for c in cut if c)) if p not in of]
+        of.update((p, old[p]) for p in new if p in old)
+        self._learn([p for p in new if p not in old])
+        return [self._whole([t])[0] if c is None else b"".join(map(of.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        odd = {c for c in set().union(*pieces) if unknown(c)}
+        if odd:
+            strange = [p for p in pieces if not odd.isdisjoint(p)]
+            self.of.update(zip(strange, self._whole(strange), strict=True))
+            pieces = [p for p in pieces if odd.isdisjoint(p)]
+        for at in range(0, len(pieces), 2000):
+            some = pieces[at : at + 2000]
+            row = " ".join(some)
+            words = self._words(row)
+            ids = np.frombuffer(self._whole([row])[0], "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != sum(words):  # the library sees other words in one of them
+                self.of.update(zip(some, self._whole(some), strict=True))
                 continue
-            data, stops = ids.tobytes(), (stops * 4).tolist()
-            out += [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
-        return out
+            data, last = ids.tobytes(), (stops[np.cumsum(words) - 1] * 4).tolist()
+            self.of.update((p, data[a:b]) for p, a, b in zip(some, [0, *last[:-1]], last, strict=True))
 
-    return Pieces(words, lambda t: encode([t])[0], bpe)
+    def _words(self, row: str) -> list[int]:
+        """Of how many words each piece of a row is; a piece of letters is one."""
+        lower = row.lower() if row.isascii() else unicodedata.normalize("NFC", row).lower()
+        return [1 if p.isalpha() else len(self.pattern.findall(p)) for p in lower.split(" ")]
 
 
 def _ids(file: bytes, texts: list[str | None]) -> list[bytes]:
     end = struct.pack("<I", END_ID)
-    return [x + end for x in kept("library", file, _library).texts(texts)]
+    return [x + end for x in kept("library", file, LibraryPieces).texts(texts)]
 
 
 def train_dictionary(docs: DataFrame, file: bytes) -> bytes:
