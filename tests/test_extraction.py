@@ -135,11 +135,34 @@ def test_mentions_by_join(spark):
     assert got == want and len(got) > 20
 
 
-def test_rows_of_the_join_do_not_grow_with_the_longest_name(spark):
-    from veilsight.operators.mentions import places_of
-
-    df = frame(spark, ["some words " * 50]).withColumnRenamed("text", "_text")
-    long = spark.createDataFrame([("words",), ("x" * 5000,)], "name string")
-    assert places_of(df, long).filter("name = 'words'").count() == 50
-    plan = str(places_of(df, long)._jdf.queryExecution().optimizedPlan().toString())
-    assert "snippet" not in plan
+def test_long_names_and_repeated_ones(spark):
+    df = frame(spark, ["some words " * 50, "x" * 5000, None]).withColumnRenamed("text", "_text")
+    names = spark.createDataFrame([("words",), ("WORDS",), ("x" * 5000,), ("",), (None,)], "name string")
+    got = occurrences_by_join(df, names).groupBy("article_idx").count().collect()
+    assert sorted(r["count"] for r in got) == [1, 50]
+    assert occurrences_by_join(df, names.limit(0)).count() == 0
+
+
+def test_what_a_full_bitmap_lets_through_is_no_mention(spark, monkeypatch):
+    """With far too few bits nearly every run is let through; the names decide."""
+    from veilsight.operators import mentions
+
+    texts = [" ".join(f"w{(i * k) % 997}" for i in range(300)) for k in range(1, 20)]
+    names = [f"w{i}" for i in range(0, 997, 5)] + [f"w{i} w{2 * i}" for i in range(1, 90)]
+    df = frame(spark, texts).withColumnRenamed("text", "_text")
+    listed = spark.createDataFrame([(n,) for n in names], "name string")
+    exact = sorted(map(tuple, occurrences_by_join(df, listed).collect()))
+    monkeypatch.setattr(mentions, "MOST_BITS", 64)
+    assert sorted(map(tuple, occurrences_by_join(df, listed).collect())) == exact and len(exact) > 500
+
+
+def test_only_likely_runs_leave_their_row(spark):
+    from veilsight.operators import mentions
+
+    df = frame(spark, [" ".join(f"word{i}" for i in range(k, k + 2000)) for k in range(0, 20000, 2000)]).withColumnRenamed("text", "_text")
+    names = spark.createDataFrame([(f"word{i}",) for i in range(0, 20000, 100)], "name string")
+    bits = 1 << 13
+    likely = df.select("_text", mentions.name_bitmap(names, bits).alias("b")).select(F.explode(mentions.candidates(F.col("_text"), [1, 2], F.col("b"), bits)))
+    assert 200 <= likely.count() < 400  # of 40,000 runs of one or two words
+
+

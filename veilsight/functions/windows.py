@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 CHUNK = 1024
 
 
-def text_chunks(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"(?s)(.{{1,{CHUNK}}})"), F.lit(1))
+def text_chunks(text: Column, chunk: int = CHUNK) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(.{{1,{chunk}}})"), F.lit(1))
 
 
-def window_text(chunks: Column, start: Column, end: Column) -> Column:
+def window_text(chunks: Column, start: Column, end: Column, chunk: int = CHUNK) -> Column:
     """Characters start..end of the text behind ``chunks``."""
-    first = F.floor(start / CHUNK).cast("int")
-    last = F.floor(F.greatest(end - 1, start) / CHUNK).cast("int")
+    first = F.floor(start / chunk).cast("int")
+    last = F.floor(F.greatest(end - 1, start) / chunk).cast("int")
     part = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
-    return F.substring(part, (start - first * CHUNK + 1).cast("int"), (end - start).cast("int"))
+    return F.substring(part, (start - first * chunk + 1).cast("int"), (end - start).cast("int"))

@@ -1,9 +1,10 @@
-"""Mentions of a lexicon that is too large for one pattern, found by joins.
+"""Mentions of a lexicon that is too large for one pattern.
 
 Between word edges a name starts and ends where a piece of text does: a word, or a single
-other character. So each text gives the hash of every run of pieces that is as many long
-as some name is, and those are joined to the hashes of the names. No text travels with
-them, whatever the longest name is, and all pieces of a name are in its key.
+other character. A bitmap of bounded size holds the hashes of all names and of their first
+pieces. Runs of pieces that it rejects are no names and never leave their row; the others
+are joined to the names by their text, so nothing the bitmap lets through by chance
+remains. A text is read once, and what is shuffled is about as much as there are mentions.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from ..functions.textmatch import WORD
 from ..functions.windows import text_chunks, window_text
 
 _SPAN = "s int, e int, raw string, snippet string"
+#: A bitmap has about so many bits a name, and no more than 8 MB in all; a larger lexicon lets more through to the join.
+BITS_A_NAME, MOST_BITS = 32, 1 << 26
+#: Pieces whose lengths are added up at once, and characters of a chunk that snippets are cut from.
+_BLOCK, _CHUNK = 16, 128
 _PIECE = rf"([{WORD}]+|[^{WORD}])"
 
 
@@ -77,58 +82,100 @@ def runs_of(text: Column, sizes: Column) -> Column:
     return let(running(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(1)), F.lit(0), ddl, step), hashes)
 
 
-def places_of(articles: DataFrame, names: DataFrame, *by: str) -> DataFrame:
-    """(article_idx, s, name): where names(name) stand between word edges; `by` article_idx, each only in its own article.
+def name_bitmap(names: DataFrame, bits: int) -> Column:
+    """One value, an array of longs: two bits set for each name and for its first piece, `bits` (a power of two) in all."""
+    first = F.regexp_extract("name", rf"^{_PIECE}", 1)
+    hashes = names.select(F.explode(F.array(F.xxhash64("name"), F.xxhash64(first))).alias("h"))
+    ones = hashes.select(F.explode(F.array(*_bits_of(F.col("h"), bits))).alias("at"))
+    set_words = ones.select(F.shiftright("at", 6).alias("k"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int")).alias("w"))
+    clear = names.sparkSession.range(bits // 64).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("w"))
+    words = set_words.union(clear).groupBy("k").agg(F.bit_or("w").alias("w"))  # MOST_BITS / 64 rows
+    return words.agg(F.sort_array(F.collect_list(F.struct("k", "w")))["w"].alias("words")).scalar()
 
-    Names are compared folded, by a hash here and by their text in the caller.
-    """
-    listed = names.select(*by, folded(F.col("name")).alias("name")).filter("name <> ''").distinct()
-    sizes = sorted(r[0] for r in listed.select(pieces_in(F.col("name")).alias("n")).distinct().collect())  # lengths of names, in words
-    if not sizes:
-        return articles.select("article_idx", F.lit(0).alias("s"), F.lit("").alias("name")).limit(0)
-    keyed = listed.select(*[F.col(b).alias(f"_{b}") for b in by], "name", F.xxhash64("name").alias("_h"))
-    runs = articles.select("article_idx", F.explode_outer(runs_of(F.col("_text"), F.array(*[F.lit(n) for n in sizes]))).alias("r")).filter("r is not null")
-    match = F.col("r.h") == F.col("_h")
-    for b in by:
-        match = match & (F.col(b) == F.col(f"_{b}"))
-    return runs.join(keyed, match).select("article_idx", F.col("r.s").alias("s"), "name")
 
+def _bits_of(h: Column, bits: int) -> list[Column]:
+    return [h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))]
 
-def occurrences_by_join(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Leftmost-longest mentions: (article_idx, s, e, raw, snippet).
 
-    ``articles`` has article_idx and normalised ``_text``; ``lexicon`` has ``name``. What
-    the join finds goes back to its article and is verified there.
-    """
-    found = places_of(articles, lexicon).groupBy(F.col("article_idx").alias("_a")).agg(
-        F.collect_list(F.struct("s", "name")).alias("_found")  # bounded by the text of one article
-    )
-    joined = articles.select("article_idx", "_text").join(found, F.col("article_idx") == F.col("_a"))
-
-    def verified(chunks):
-        def one(x):
-            size = F.length(x["name"])
-            low = F.greatest(x["s"] - SNIPPET_CHARS, F.lit(0))
-            around = window_text(chunks, low, x["s"] + size + SNIPPET_CHARS)
-            return let(F.struct(around.alias("t"), (x["s"] - low).alias("b"), size.alias("n")), lambda w: F.struct(
-                x["s"].alias("s"), (x["s"] + w["n"]).alias("e"), F.substring(w["t"], w["b"] + 1, w["n"]).alias("raw"), w["t"].alias("snippet"),
-                edges(w).alias("ok"), x["name"].alias("name"),
+def _may_be(bitmap: Column, h: Column, bits: int) -> Column:
+    one, two = [F.bit_get(F.get(bitmap, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1 for at in _bits_of(h, bits)]
+    return one & two
+
+
+def candidates(text: Column, sizes: list[int], bitmap: Column, bits: int) -> Column:
+    """(s, e, name, raw, snippet) of runs of pieces between word edges that a bitmap lets through; name is the folded text."""
+
+    def in_pieces(pieces, bitmap):
+        likely = F.filter(
+            F.transform(pieces, lambda p, i: F.when(_may_be(bitmap, F.xxhash64(p), bits), i)), lambda i: i.isNotNull()
+        )
+
+        def runs(i):
+            of = F.array(*[F.when(i + n <= F.size(pieces), F.array_join(F.slice(pieces, i + 1, F.lit(n)), "")) for n in sizes])
+            return F.transform(F.filter(of, lambda t: t.isNotNull() & _may_be(bitmap, F.xxhash64(t), bits)), lambda t: F.struct(i.alias("i"), t.alias("name")))
+
+        return F.flatten(F.transform(likely, runs))
+
+    def edged(pieces, x):
+        # pieces are whole words or single other characters: only beside the latter an edge may be missing
+        def word(i):
+            return F.coalesce(_is_word(F.get(pieces, i)), F.lit(False))
+
+        end = x["i"] + pieces_in(x["name"])
+        return (word(x["i"] - 1) != word(x["i"])) & (word(end - 1) != word(end))
+
+    def placed(found, pieces, chunks):
+        last = F.floor(F.size(pieces) / _BLOCK).cast("int")
+        lengths = F.transform(F.sequence(F.lit(0), last), lambda k: F.length(F.array_join(F.slice(pieces, k * _BLOCK + 1, F.lit(_BLOCK)), "")))
+        before = running(lengths, F.lit(0), "int", lambda at, n: (at + n, F.array(at)))
+
+        def one(x, starts):
+            block = F.floor(x["i"] / _BLOCK).cast("int")
+            inner = F.length(F.array_join(F.slice(pieces, block * _BLOCK + 1, x["i"] - block * _BLOCK), ""))
+            return let(F.struct((F.get(starts, block) + inner).alias("s"), F.length(x["name"]).alias("n")), lambda at: cut(x["name"], at["s"], at["n"]))
+
+        def cut(name, s, n):
+            low = F.greatest(s - SNIPPET_CHARS, F.lit(0))
+            return let(window_text(chunks, low, s + n + SNIPPET_CHARS, _CHUNK), lambda around: F.struct(
+                s.alias("s"), (s + n).alias("e"), name.alias("name"), F.substring(around, s - low + 1, n).alias("raw"), around.alias("snippet")
             ))
 
-        return F.filter(F.transform("_found", one), lambda h: h["ok"] & (folded(h["raw"]) == h["name"]))
+        return let(before, lambda starts: F.transform(F.filter(found, lambda x: edged(pieces, x)), lambda x: one(x, starts)))
+
+    pieces = F.regexp_extract_all(folded(text), F.lit(_PIECE), F.lit(1))
+    # nothing more is computed for a text without a likely run
+    nothing = empty_array("struct<s:int,e:int,name:string,raw:string,snippet:string>")
+    return let(pieces, lambda p: let(let(bitmap, lambda b: in_pieces(p, b)), lambda found: F.when(
+        F.size(found) > 0, let(text_chunks(text, _CHUNK), lambda chunks: placed(found, p, chunks))
+    ).otherwise(nothing)))
 
-    ordered = F.array_sort(
-        let(text_chunks(F.col("_text")), verified),
-        lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(b["e"] - a["e"]),
-    )
+
+def occurrences_by_join(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Leftmost-longest mentions: (article_idx, s, e, raw, snippet).
+
+    ``articles`` has article_idx and normalised ``_text`` (null has no mentions); ``lexicon``
+    has ``name``, in any case; null and empty names and repeated ones count for nothing.
+    """
+    names = lexicon.select(folded(F.col("name")).alias("name")).filter("name <> ''").distinct()
+    size = names.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(pieces_in(F.col("name")))).alias("sizes")).first()  # lengths of names, in pieces
+    if not size.n:
+        return articles.select("article_idx", *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in _SPAN.split(", "))]).limit(0)
+    bits = min(MOST_BITS, 1 << max(12, (size.n * BITS_A_NAME - 1).bit_length()))
+    found = candidates(F.col("_text"), size.sizes, F.col("_bitmap"), bits)
+    # a subquery: sent once to each task; a row of a text carries it (8 MB at most) no further than to its runs
+    with_bitmap = articles.select("article_idx", "_text", name_bitmap(names, bits).alias("_bitmap"))
+    likely = with_bitmap.select("article_idx", F.explode_outer(found).alias("h")).filter("h is not null").select("article_idx", "h.*")
+    exact = likely.join(names, "name", "left_semi").select("article_idx", "s", "e", "raw", "snippet")
+    ordered = F.array_sort(F.collect_list(F.struct("s", (-F.col("e")).alias("back"), "raw", "snippet")))  # bounded by the text of one article
 
     def step(last_end, h):
         free = h["s"] >= last_end
-        kept = F.array(F.struct(h["s"].alias("s"), h["e"].alias("e"), h["raw"].alias("raw"), h["snippet"].alias("snippet")))
-        return F.when(free, h["e"]).otherwise(last_end), F.when(free, kept).otherwise(empty_array(f"struct<{_SPAN}>"))
+        kept = F.array(F.struct(h["s"].alias("s"), (-h["back"]).alias("e"), h["raw"].alias("raw"), h["snippet"].alias("snippet")))
+        return F.when(free, -h["back"]).otherwise(last_end), F.when(free, kept).otherwise(empty_array(f"struct<{_SPAN}>"))
 
-    hits = running(ordered, F.lit(0), f"struct<{_SPAN}>", step)
-    return joined.select("article_idx", F.explode_outer(hits).alias("h")).filter("h is not null").select("article_idx", "h.*")
+    hits = running(F.col("_found"), F.lit(0), f"struct<{_SPAN}>", step)
+    grouped = exact.groupBy("article_idx").agg(ordered.alias("_found"))
+    return grouped.select("article_idx", F.explode_outer(hits).alias("h")).filter("h is not null").select("article_idx", "h.*")
 
 
 def edges(w: Column) -> Column:
