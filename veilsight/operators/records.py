@@ -59,9 +59,16 @@ def records(batch: Structured, as_of: Column | str, max_items: int = MAX_ITEMS)
         )
         return F.when(F.size(chosen) > 0, chosen)
 
+    # By the indicator, as both lie by it: the lists themselves are not shuffled to meet by part. An
+    # expression of both sides is compared in the join's rows and is no key to shuffle by.
+    u, m = urls.withColumnRenamed("part", "_u"), linked.withColumnRenamed("part", "_l")
+    same_part = F.col("_u") - F.col("_l") == 0
+    both = u.alias("u").join(m.alias("m"), (F.col("u.ioc_value") == F.col("m.ioc_value")) & (F.col("u.ioc_type") == F.col("m.ioc_type")) & same_part, "full_outer")
+    nested = both.select(
+        *[F.coalesce(f"u.{k}", f"m.{k}").alias(k) for k in _KEY], F.coalesce("_u", "_l").alias("part"), "source_article_urls", "_m"
+    )
     return (
-        urls.join(linked, [*_KEY, "part"], "full_outer")
-        .join(batch.iocs, _KEY)
+        nested.join(batch.iocs, _KEY)
         .select(
             *_KEY,
             S.whole_second(F.lit(as_of).cast("timestamp")).alias("discovery_timestamp"),
