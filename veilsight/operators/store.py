@@ -86,9 +86,17 @@ def new_iocs(batch: Structured, iocs: DataFrame, as_of: Column | str) -> DataFra
 def new_sightings(batch: Structured, sightings: DataFrame, as_of: Column | str) -> DataFrame:
     """One sighting per indicator and address that is not known yet."""
     ioc_id = ioc_key(F.col("ioc_value"), F.col("ioc_type"))
-    sources = batch.sources.select(ioc_id.alias("ioc_id"), F.col("url").alias("source_article_url"))
-    fresh = sources.join(
-        sightings.select("ioc_id", "source_article_url"), ["ioc_id", "source_article_url"], "left_anti"
+    sources = batch.sources.select(ioc_id.alias("ioc_id"), F.col("url").alias("source_article_url"), F.lit(False).alias("_known"))
+    known = sightings.select("ioc_id", "source_article_url", F.lit(True).alias("_known")).filter(
+        F.col("ioc_id").isNotNull() & F.col("source_article_url").isNotNull()
+    )
+    # By the indicator alone, which is what all that follows is joined by: one shuffle, its rows in a row.
+    fresh = (
+        sources.unionByName(known)
+        .repartition("ioc_id")
+        .groupBy("ioc_id", "source_article_url")
+        .agg(F.max("_known").alias("_known"))
+        .filter(~F.col("_known"))
     )
     snippets = batch.iocs.select(
         ioc_id.alias("ioc_id"), F.col("first_seen_context_snippet").alias("context_snippet")
@@ -114,16 +122,12 @@ def bridges(batch: Structured, fresh: DataFrame, actors: DataFrame, countries: D
         countries.groupBy(F.lower("name").alias("_lower")).agg(F.min("iso2_code").alias("country_iso2"))
     )
     country = of("country_mention").join(known_names, F.lower("value") == F.col("_lower"))
+    # Shuffled once by the indicator, for the distinct and for the join.
+    linked = lambda df, name: ids.join(df.select("ioc_id", name).repartition("ioc_id").distinct(), "ioc_id").select("sighting_id", name)
     return {
-        "actors": ids.join(resolved.select("ioc_id", "actor_name").distinct(), "ioc_id").select(
-            "sighting_id", "actor_name"
-        ),
-        "countries": ids.join(country.select("ioc_id", "country_iso2").distinct(), "ioc_id").select(
-            "sighting_id", "country_iso2"
-        ),
-        "cves": ids.join(of("cve").select("ioc_id", F.col("value").alias("cve")).distinct(), "ioc_id").select(
-            "sighting_id", "cve"
-        ),
+        "actors": linked(resolved, "actor_name"),
+        "countries": linked(country, "country_iso2"),
+        "cves": linked(of("cve").withColumnRenamed("value", "cve"), "cve"),
         "added_actors": added,
     }
 
