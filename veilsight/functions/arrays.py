@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 64
+LEAST_BLOCK, MOST_BLOCK = 8, 64
 
 
 def let(value: Column, body) -> Column:
@@ -31,7 +31,8 @@ def running(items: Column, start: Column, out_ddl: str, step) -> Column:
 
     ``step(state, item)`` gives ``(next_state, array_to_emit)``. Appending to one
     growing array copies it at every step, so the fold works on blocks: a row with
-    many thousand hits costs close to linear time instead of quadratic.
+    many thousand hits costs close to linear time instead of quadratic. What a block has
+    emitted is copied at each step too, so few items make small blocks.
     """
 
     def fold_block(block, state):
@@ -52,10 +53,12 @@ def running(items: Column, start: Column, out_ddl: str, step) -> Column:
         )
 
     def over(all_items):
-        last = F.greatest(F.floor((F.size(all_items) - 1) / BLOCK).cast("int"), F.lit(0))
-        blocks = F.transform(
-            F.sequence(F.lit(0), last), lambda k: F.slice(all_items, k * BLOCK + 1, F.lit(BLOCK))
-        )
+        block = F.least(F.greatest(F.sqrt(F.size(all_items)).cast("int"), F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
+        return let(block, lambda size: in_blocks(all_items, size))
+
+    def in_blocks(all_items, size):
+        last = F.greatest(F.floor((F.size(all_items) - 1) / size).cast("int"), F.lit(0))
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_items, k * size + 1, size))
         zero = F.struct(start.alias("state"), empty_array(f"array<{out_ddl}>").alias("out"))
         return F.flatten(F.aggregate(blocks, zero, merge_blocks)["out"])
 

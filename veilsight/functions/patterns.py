@@ -16,10 +16,10 @@ LABEL = r"[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?"
 DOT = r"(?:\[\.]|\(\.\)|\.)"
 SCHEME = r"(?:hxxps?|https?|ftps?)"
 
-URL = rf"(?iu){LEFT}{SCHEME}://[^\s/$.?#].\S*{EDGE}"
-IPV4 = rf"{LEFT}(?:{OCTET}(?:\[\.\]|\.| )){{3}}{OCTET}{RIGHT}"
-HASH = rf"{LEFT}(?:[a-fA-F0-9]{{64}}|[a-fA-F0-9]{{40}}|[a-fA-F0-9]{{32}}){RIGHT}"
-CVE = rf"(?iu){LEFT}CVE-(?:1999|2\p{{Nd}}{{3}})-(?:0\p{{Nd}}{{2}}[1-9]|[1-9]\p{{Nd}}{{3,}}){RIGHT}"
+URL = rf"(?iu)(?=[hf]){LEFT}{SCHEME}://[^\s/$.?#].\S*{EDGE}"
+IPV4 = rf"(?=[0123456789]){LEFT}(?:{OCTET}(?:\[\.\]|\.| )){{3}}{OCTET}{RIGHT}"
+HASH = rf"(?=[abcdefABCDEF0123456789]){LEFT}(?:[a-fA-F0-9]{{64}}|[a-fA-F0-9]{{40}}|[a-fA-F0-9]{{32}}){RIGHT}"
+CVE = rf"(?iu)(?=c){LEFT}CVE-(?:1999|2\p{{Nd}}{{3}})-(?:0\p{{Nd}}{{2}}[1-9]|[1-9]\p{{Nd}}{{3,}}){RIGHT}"
 EMAIL = rf"(?iu){EDGE}[a-zA-Z0-9._%+-]++(?:@|\[@])[a-zA-Z0-9.-]+(?:\[\.]|\.)[a-zA-Z]{{2,24}}{RIGHT}"
 
 # Labels followed by the last top-level part that ends at a word edge.
@@ -36,6 +36,10 @@ DOMAIN = rf"(?<![@{WORD}])(?={_STEP}){_BEHIND}{_LABELS}"
 _EXTENSION = rf"\.(?:{'|'.join(FILE_EXTENSIONS)})"
 FILE = rf'(?iu)(?:\G|(?<=[\s"]))[^\s"]+?{_EXTENSION}(?=[\s,;]|\z)'
 
+# Words in which, and across which, nothing but a URL can match: no digit, no dot but at their end, and too short for
+# a hash. Many in a row, from the start of a word; only a blank ends a word in normalised text.
+DULL = r"(?<![^ ])(?:[^ .0123456789]{0,31}+[.,;:\"')\]]*+ ){3,}+"
+
 URL_ONLY = rf"^(?:{URL})\z"
 DOMAIN_ONLY = rf"^(?:{_LABELS})\z"
 FILE_ONLY = rf'(?iu)^[^\s"]+{_EXTENSION}\z'

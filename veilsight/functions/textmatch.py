@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = r"\p{L}\p{N}_"
 EDGE = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
@@ -29,12 +31,22 @@ SPACES = (
 )
 
 
+def translated(text: Column, swap_from: str, swap_to: str) -> Column:
+    """Like ``translate``, which looks up every character; a text without one to exchange is passed on as it is."""
+    # single low characters and one range are a quick class, many ranges a slow one; it may say yes too often
+    low, high = [[c for c in sorted(set(swap_from)) if (ord(c) < 256) == is_low] for is_low in (True, False)]
+    codes = [rf"\x{{{ord(c):x}}}" for c in low] + ([rf"\x{{{ord(high[0]):x}}}-\x{{{ord(high[-1]):x}}}"] if high else [])
+    hint = "[" + "".join(codes) + "]"
+    return let(text, lambda t: F.when(t.rlike(hint), F.translate(t, swap_from, swap_to)).otherwise(t))
+
+
 def single_blanks(text: Column, swap_from: str = "", swap_to: str = "") -> Column:
     """Whitespace runs as one blank, after exchanging some characters.
 
     Only runs of two or more are rewritten: touching every blank costs most of the pass.
     """
-    blanks = F.translate(text, swap_from + SPACES, swap_to + " " * len(SPACES))
+    rare = SPACES.replace("\n", "")
+    blanks = translated(F.replace(text, F.lit("\n"), F.lit(" ")), swap_from + rare, swap_to + " " * len(rare))
     return F.trim(F.regexp_replace(blanks, "  +", " "))
 
 
@@ -52,6 +64,8 @@ def any_phrase(phrases) -> str:
     """One pattern that finds any of the phrases between word edges, ignoring case."""
     if not phrases:
         return r"(?!)"
+    if all(p and p.isascii() for p in phrases):
+        return lexicon_pattern(phrases)  # finds one where the other does, and dismisses most places by a character
     return "(?iu)" + EDGE + "(?:" + "|".join(quote(p) for p in phrases) + ")" + EDGE
 
 

@@ -61,11 +61,20 @@ def hits(text: Column, pattern: str, guard: Column | None = None) -> Column:
     return _hits(_marked(text, pattern, guard))
 
 
-def scans(text: Column, actors, countries) -> list:
-    """(type, pattern, guard) for every type; the guards only skip work."""
+def _long_scans(text: Column, actors, countries) -> list:
+    """(type, pattern, guard) of the types whose matches may reach across words of any kind."""
+    listed = [("url", P.URL, F.contains(text, F.lit("://")))]
+    if actors:
+        listed.append(("apt_group_mention", lexicon_pattern(actors), None))
+    if countries:
+        listed.append(("country_mention", lexicon_pattern(countries), None))
+    return listed
+
+
+def _short_scans(text: Column) -> list:
+    """(type, pattern, guard) of the types that never match in dull words."""
     has = lambda part: F.contains(text, F.lit(part))
-    listed = [
-        ("url", P.URL, has("://")),
+    return [
         ("email", P.EMAIL, has("@")),
         ("file", P.FILE, text.rlike(P.FILE_HINT)),
         ("domain", P.DOMAIN, text.rlike(P.DOMAIN_HINT)),
@@ -73,11 +82,34 @@ def scans(text: Column, actors, countries) -> list:
         ("ipv4", P.IPV4, text.rlike(P.IPV4_HINT)),
         ("hash", P.HASH, text.rlike(P.HASH_HINT)),
     ]
-    if actors:
-        listed.append(("apt_group_mention", lexicon_pattern(actors), None))
-    if countries:
-        listed.append(("country_mention", lexicon_pattern(countries), None))
-    return listed
+
+
+def scans(text: Column, actors, countries) -> list:
+    """(type, pattern, guard) for every type; the guards only skip work."""
+    return _long_scans(text, actors, countries) + _short_scans(text)
+
+
+def stretches(text: Column) -> Column:
+    """(s, t): what is left of a normalised text between runs of dull words, and where it starts.
+
+    A run of dull words starts and ends where a word does, so in front of a stretch there was a
+    blank, and a stretch ends with one or with the text: patterns see the same edges as before.
+    """
+
+    def step(at, piece):
+        dull = F.substring_index(piece, "\r", 1)
+        size = F.length(dull)
+        rest = F.substr(piece, size + 2)
+        kept = F.array(F.struct((at + size).alias("s"), rest.alias("t")))
+        none = empty_array("struct<s:int,t:string>")
+        return at + F.length(piece) - 1, F.when(rest != "", kept).otherwise(none)
+
+    def walk(p):
+        lead = F.filter(F.array(F.struct(F.lit(0).alias("s"), p[0].alias("t"))), lambda x: x["t"] != "")
+        inner = running(F.slice(p, F.lit(2), F.size(p) - 1), F.length(p[0]), "struct<s:int,t:string>", step)
+        return F.when(F.size(p) > 1, F.concat(lead, inner)).otherwise(lead)
+
+    return let(_marked(text, P.DULL), walk)
 
 
 def _typed(scan: Column, hit: Column) -> Column:
@@ -91,7 +123,7 @@ def _typed(scan: Column, hit: Column) -> Column:
     )
     kinds = F.array(*[F.lit(t) for t in TYPE_ORDER])
     return F.struct(
-        hit["s"].alias("s"), hit["e"].alias("e"), prio.alias("prio"), hit["raw"].alias("raw"),
+        (scan["shift"] + hit["s"]).alias("s"), (scan["shift"] + hit["e"]).alias("e"), prio.alias("prio"), hit["raw"].alias("raw"),
         kinds[prio].alias("type"),
     )
 
@@ -116,20 +148,25 @@ def _with_snippets(text: Column, found: Column) -> Column:
 
 def candidates(text: Column, actors=(), countries=()) -> Column:
     """Every candidate of a normalised text, unvalidated."""
-    each = F.array(
-        *[
-            F.struct(
-                F.lit(None if name == "hash" else TYPE_ORDER.index(name)).cast("int").alias("prio"),
-                _marked(text, pattern, guard).alias("pieces"),
-            )
-            for name, pattern, guard in scans(text, actors, countries)
-        ]
-    )
-    found = F.transform(
-        F.filter(each, lambda x: F.size(x["pieces"]) > 1),
-        lambda x: F.transform(_hits(x["pieces"]), partial(_typed, x)),
-    )
-    return let(F.flatten(found), lambda all_found: _with_snippets(text, all_found))
+
+    def typed(scanned, listed, shift):
+        each = F.array(
+            *[
+                F.struct(
+                    F.lit(None if name == "hash" else TYPE_ORDER.index(name)).cast("int").alias("prio"),
+                    shift.alias("shift"), _marked(scanned, pattern, guard).alias("pieces"),
+                )
+                for name, pattern, guard in listed
+            ]
+        )
+        return F.flatten(F.transform(
+            F.filter(each, lambda x: F.size(x["pieces"]) > 1),
+            lambda x: F.transform(_hits(x["pieces"]), partial(_typed, x)),
+        ))
+
+    long = typed(text, _long_scans(text, actors, countries), F.lit(0))
+    short = F.flatten(F.transform(stretches(text), lambda x: typed(x["t"], _short_scans(x["t"]), x["s"])))
+    return let(F.concat(long, short), lambda all_found: _with_snippets(text, all_found))
 
 
 def classify(raw: Column, kind: Column, known_tld) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import SNIPPET_CHARS
 from ..functions.arrays import empty_array, let, running
-from ..functions.textmatch import WORD
+from ..functions.textmatch import WORD, translated
 from ..functions.windows import text_chunks, window_text
 
 _SPAN = "s int, e int, raw string, snippet string"
@@ -44,7 +44,7 @@ def folded(text: Column) -> Column:
     """Text as patterns see it that ignore case; as many characters as before."""
     odd, plain = _folds()
     # the ends of words matter to lower(), so a last sigma is exchanged afterwards
-    return F.translate(F.lower(F.translate(text, odd, plain)), "ς", "σ")
+    return translated(F.lower(translated(text, odd, plain)), "ς", "σ")
 
 
 def _is_word(char: Column) -> Column:
