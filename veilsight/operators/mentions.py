@@ -98,17 +98,25 @@ def _bits_of(h: Column, bits: int) -> list[Column]:
 
 
 def _may_be(bitmap: Column, h: Column, bits: int) -> Column:
-    one, two = [F.bit_get(F.get(bitmap, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1 for at in _bits_of(h, bits)]
-    return one & two
+    def both(h):
+        one, two = [F.bit_get(F.get(bitmap, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1 for at in _bits_of(h, bits)]
+        return one & two
 
+    return let(h, both)
 
-def candidates(text: Column, sizes: list[int], bitmap: Column, bits: int) -> Column:
-    """(s, e, name, raw, snippet) of runs of pieces between word edges that a bitmap lets through; name is the folded text."""
+
+def candidates(text: Column, sizes: list[int], bitmap: Column, bits: int, blank_first: bool = True) -> Column:
+    """(s, e, name, raw, snippet) of runs of pieces between word edges that a bitmap lets through; name is the folded text.
+
+    Without ``blank_first`` no name starts with a blank, and those, half of all pieces, are not looked up.
+    """
 
     def in_pieces(pieces, bitmap):
-        likely = F.filter(
-            F.transform(pieces, lambda p, i: F.when(_may_be(bitmap, F.xxhash64(p), bits), i)), lambda i: i.isNotNull()
-        )
+        def first(p):
+            found = _may_be(bitmap, F.xxhash64(p), bits)
+            return found if blank_first else (p != " ") & found
+
+        likely = F.filter(F.transform(pieces, lambda p, i: F.when(first(p), i)), lambda i: i.isNotNull())
 
         def runs(i):
             of = F.array(*[F.when(i + n <= F.size(pieces), F.array_join(F.slice(pieces, i + 1, F.lit(n)), "")) for n in sizes])
@@ -150,6 +158,11 @@ def candidates(text: Column, sizes: list[int], bitmap: Column, bits: int) -> Col
     ).otherwise(nothing)))
 
 
+def _repeats(df: DataFrame, key: str) -> bool:
+    """Whether a key occurs twice; only the keys are read."""
+    return not df.groupBy(key).count().filter("count > 1").isEmpty()
+
+
 def occurrences_by_join(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Leftmost-longest mentions: (article_idx, s, e, raw, snippet).
 
@@ -157,15 +170,17 @@ def occurrences_by_join(articles: DataFrame, lexicon: DataFrame) -> DataFrame:
     has ``name``, in any case; null and empty names and repeated ones count for nothing.
     """
     names = lexicon.select(folded(F.col("name")).alias("name")).filter("name <> ''").distinct()
-    size = names.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(pieces_in(F.col("name")))).alias("sizes")).first()  # lengths of names, in pieces
+    size = names.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(pieces_in(F.col("name")))).alias("sizes"), F.max(F.col("name").startswith(" ")).alias("blank_first")).first()  # lengths of names, in pieces
     if not size.n:
         return articles.select("article_idx", *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in _SPAN.split(", "))]).limit(0)
     bits = min(MOST_BITS, 1 << max(12, (size.n * BITS_A_NAME - 1).bit_length()))
-    found = candidates(F.col("_text"), size.sizes, F.col("_bitmap"), bits)
+    found = candidates(F.col("_text"), size.sizes, F.col("_bitmap"), bits, size.blank_first)
     # a subquery: sent once to each task; a row of a text carries it (8 MB at most) no further than to its runs
     with_bitmap = articles.select("article_idx", "_text", name_bitmap(names, bits).alias("_bitmap"))
     likely = with_bitmap.select("article_idx", F.explode_outer(found).alias("h")).filter("h is not null").select("article_idx", "h.*")
     exact = likely.join(names, "name", "left_semi").select("article_idx", "s", "e", "raw", "snippet")
+    if size.sizes == [1] and not _repeats(articles, "article_idx"):
+        return exact  # different pieces of one text don't overlap, so nothing is to be brought together by article
     ordered = F.array_sort(F.collect_list(F.struct("s", (-F.col("e")).alias("back"), "raw", "snippet")))  # bounded by the text of one article
 
     def step(last_end, h):
