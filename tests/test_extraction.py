@@ -166,3 +166,31 @@ def test_only_likely_runs_leave_their_row(spark):
     assert 200 <= likely.count() < 400  # of 40,000 runs of one or two words
 
 
+
+
+def test_patterns_are_not_tried_in_dull_words(spark):
+    """What is left between runs of dull words is small, and gives the hits of the whole text, at their places."""
+    dull = "many plain words, between (things) and others... of no interest; "
+    parts = ["a.b.com", "x.exe", "m@h.org", "1 2 3 4", "CVE-2024-1234", "http://a between", "d" * 32, "y.", "a well-known"]
+    texts = random_texts(60, 5) + [(dull * 5 + p + " ") * 3 + end for p in parts for end in ("", "end", dull * 40)]
+    df = frame(spark, texts).select(X.normalize_text(F.col("text")).alias("t"))
+    kept = df.select("t", X.stretches(F.col("t")).alias("k")).collect()
+    assert all(r["t"][x["s"]:x["s"] + len(x["t"])] == x["t"] for r in kept for x in r["k"])
+    long = [r for r in kept if len(r["t"]) > 2500]
+    assert long and all(sum(len(x["t"]) for x in r["k"]) < len(r["t"]) / 4 for r in long)
+    spans = lambda found: F.transform(found, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["raw"].alias("raw")))
+    whole = F.flatten(F.array(*[X.hits(F.col("t"), p, g) for _, p, g in X.scans(F.col("t"), (), ())]))
+    rows = df.select(F.array_sort(spans(X.candidates(F.col("t")))).alias("got"), F.array_sort(spans(whole)).alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in rows) and sum(len(r["got"]) for r in rows) > 100
+
+
+def test_names_of_one_piece_are_not_brought_together_by_article(spark):
+    """Pieces of one text don't overlap; two texts under one key may."""
+    names = spark.createDataFrame([("bear",), ("lazarus",)], "name string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    once = spark.createDataFrame([(1, "bear lazarus bear"), (2, "bear")], "article_idx long, _text string")
+    found = occurrences_by_join(once, names)
+    assert sorted((r["article_idx"], r["s"]) for r in found.collect()) == [(1, 0), (1, 5), (1, 13), (2, 0)]
+    assert "_found" not in plan(found) and "_found" in plan(occurrences_by_join(once.union(once), names))
+    twice = spark.createDataFrame([(1, "bear lazarus"), (1, "a lazarus")], "article_idx long, _text string")
+    assert [(r["s"], r["e"]) for r in occurrences_by_join(twice, names).orderBy("s").collect()] == [(0, 4), (5, 12)]
