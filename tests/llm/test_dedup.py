@@ -284,3 +284,52 @@ def test_empty_tables(spark, tmp_path, name):
     for t, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert QUERIES[name](spark, str(tmp_path)).collect() == []
+
+
+def test_companies_are_verified_in_one_table(monkeypatch):
+    """The pairs of a small company are counted at once; the links connect the same lines as those found one by one."""
+    rng = random.Random(8)
+    for _ in range(60):
+        base = [rng.randrange(60) for _ in range(40)]
+        sets = [np.unique(np.array([x if rng.random() > 0.06 else rng.randrange(60) for x in base], np.uint64)) for _ in range(rng.randint(2, 9))]
+        calls = []
+        real = line_dedup._near_table
+        monkeypatch.setattr(line_dedup, "_near_table", lambda *a: calls.append(1) or real(*a))
+        groups = []
+        for most in (1 << 20, 0):
+            monkeypatch.setattr(line_dedup, "TABLE", most)
+            parent = {}
+            for i, j in line_dedup.similar(sets):
+                components.unite(parent, i, j)
+            groups.append([components.find(parent, k) for k in range(len(sets))])
+        monkeypatch.setattr(line_dedup, "_near_table", real)
+        assert groups[0] == groups[1] and len(calls) == 1
+
+
+def test_lines_of_no_company_are_not_moved(spark):
+    """Bits tell most lines that are near to none; no line of a company is left out."""
+    rng = np.random.default_rng(3)
+    ids, others = rng.integers(-(1 << 63), 1 << 63, 3000, np.int64), rng.integers(-(1 << 63), 1 << 63, 100_000, np.int64)
+    bits = line_dedup.marks(spark.createDataFrame([(int(i),) for i in ids], "id long"))
+    assert line_dedup.marked(ids, bits).all()
+    assert line_dedup.marked(others, bits).mean() < 0.1
+    none = line_dedup.marks(spark.createDataFrame([], "id long"))
+    assert not line_dedup.marked(others, none).any()
+
+
+def test_band_rows_are_sorted_by_key_alone():
+    """Rows of a key come in any order of ids, and more than once."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 1, 2, 2, 3, 4, 4, 4]), pa.array([9, 5, 9, 7, 7, 1, 5, 9, 5])], names=["key", "id"])
+    got = [tuple(r.values()) for b in line_dedup._shared(10)(iter([batch])) for r in b.to_pylist()]
+    assert sorted(i for _, i, _ in got) == [5, 5, 9, 9] and len({k for k, _, _ in got}) == 1
+
+
+def test_shingles_are_those_of_each_line():
+    lines = ["", "a", "abcd", "abcde", "abcdefg", "\U0001f600bcdef", ""]
+    hashed, bounds = line_dedup.shingles(lines)
+    assert np.diff(bounds).tolist() == [1, 1, 1, 1, 3, 2, 1]
+    for k, line in enumerate(lines):
+        alone, _ = line_dedup.shingles([line])
+        assert hashed[bounds[k] : bounds[k + 1]].tolist() == alone.tolist()
+    sets = line_dedup.distinct(hashed.copy(), bounds)
+    assert [s.tolist() for s in sets] == [sorted(set(hashed[a:b].tolist())) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,15 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 5
 NO_ID = -(1 << 63)
 #: Shingles hashed at once.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 #: Lines of a company that one task verifies; larger ones go in pairs of blocks.
 MOST_MEMBERS = 20_000
 #: Band rows of a key that are held at once; characters of companies that are hashed at once.
-RUN, LETTERS = 1 << 20, 1 << 20
+RUN, LETTERS = 1 << 20, 1 << 17
+#: Sets times elements of a company whose pairs are counted in one table.
+TABLE = 1 << 20
+#: Bits that say which lines are in no company; more companies' lines share them.
+MOST_BITS, PAGE = 1 << 26, 1 << 15
 
 _RNG = np.random.default_rng(7)
 _A = (_RNG.integers(1, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)).astype(np.uint32)
@@ -32,7 +37,9 @@ _C = _RNG.integers(1, 1 << 63, ROWS, np.uint64) | np.uint64(1)
 
 
 def plain(line: str) -> str:
-    """What is compared of a line: its words joined by one blank."""
+    """What is compared of a line: its words joined by one blank. All white space but the blank is not printable."""
+    if line.isprintable() and "  " not in line and line[:1] != " " and line[-1:] != " ":
+        return line
     return " ".join(line.split())
 
 
@@ -43,17 +50,23 @@ def line_id(line: str) -> int:
 
 def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the character shingles of each line (repeats included) and where each line's begin. A shorter line is one shingle."""
-    data = np.frombuffer("\0".join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    data = np.frombuffer("\0".join([*lines, "\0" * SHINGLE]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    starts = np.cumsum(sizes + 1) - sizes - 1
     short = sizes < SHINGLE
     n = np.where(short, 1, sizes - SHINGLE + 1)
     bounds = np.r_[0, np.cumsum(n)]
-    at = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], n)
-    wide = np.concatenate([data, np.zeros(SHINGLE, np.uint64)])
-    out = np.zeros(len(at), np.uint64)
+    all_at = len(data) - SHINGLE
+    out = data[:all_at].copy()
+    for k in range(1, SHINGLE):
+        out *= np.uint64(0x100000001B3)
+        out += data[k : k + all_at]
+    stops = np.cumsum(sizes + 1) - 1
+    starts = stops - sizes
+    inside = np.ones(all_at, bool)  # not where a shingle would run over the end of its line
     for k in range(SHINGLE):
-        out = out * np.uint64(0x100000001B3) + wide[at + k]
+        inside[np.maximum(stops - k, starts)] = False
+    inside[starts[short]] = True
+    out = out[inside]
     out = mix(out)
     for i in np.flatnonzero(short):
         out[bounds[i]] = np.uint64(line_id(lines[i]) & (1 << 64) - 1)
@@ -69,11 +82,14 @@ def band_keys(lines: list[str]) -> np.ndarray:
         to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + BLOCK, side="right")) - 1)
         hashed, bounds = shingles(lines[at:to])
         x = (hashed >> np.uint64(32)).astype(np.uint32)
+        y = np.empty_like(x)
         for band in range(BANDS):
             code = np.full(to - at, band + 1, np.uint64)
             for row in range(ROWS):
                 k = band * ROWS + row
-                code = code * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x * _A[k] + _B[k], bounds[:-1]) * _C[row]
+                np.multiply(x, _A[k], out=y)
+                y += _B[k]
+                code = code * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(y, bounds[:-1]) * _C[row]
             keys[at:to, band] = mix(code).view(np.int64)
         at = to
     return keys
@@ -96,28 +112,30 @@ def _band_rows(part: pa.RecordBatch) -> dict:
 
 
 def _shared(most: int):
-    """Rows sorted by key and id: the ids of keys with two or more, under a name of that set of ids, and whether there are over `most`.
+    """Rows sorted by key: the ids of keys with two or more, under a name of that set of ids, and whether there are over `most`.
 
     Near lines share several bands and mostly meet in the same company; it is verified once.
     A company too long to wait for is named by its key and comes in pieces.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for starts, ends, c in sorted_runs(batches, "key", RUN):
-            new = np.r_[True, (c["key"][1:] != c["key"][:-1]) | (c["id"][1:] != c["id"][:-1])]
-            groups, members, large = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
             if starts is None:
-                members.append(c["id"][new])
-                groups.append(mix(c["key"][new].view(np.uint64)).view(np.int64))
-                large.append(np.ones(len(members[-1]), bool))
+                ids = np.unique(c["id"])
+                groups, large = np.repeat(mix(c["key"][:1].view(np.uint64)).view(np.int64), len(ids)), np.ones(len(ids), bool)
             else:
-                ids = mix(c["id"].view(np.uint64)) * new
-                for s, e in zip(starts, ends, strict=True):
-                    if c["id"][s] != c["id"][e - 1]:
-                        some = c["id"][s:e][new[s:e]]
-                        groups.append(np.full(len(some), mix(ids[s:e].sum(dtype=np.uint64, keepdims=True) + np.uint64(len(some))).view(np.int64)[0]))
-                        members.append(some)
-                        large.append(np.full(len(some), len(some) > most))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (groups, members, large)], names=["key", "id", "large"])
+                own = np.repeat(np.arange(len(starts)), ends - starts)
+                ids = c["id"][np.arange(len(own)) + np.repeat(starts - np.cumsum(ends - starts) + ends - starts, ends - starts)]
+                order = np.lexsort((ids, own))
+                ids, own = ids[order], own[order]
+                new = np.ones(len(ids), bool)
+                new[1:] = (ids[1:] != ids[:-1]) | (own[1:] != own[:-1])
+                ids, own = ids[new], own[new]
+                n = np.bincount(own, minlength=len(starts))
+                ids, own = ids[n[own] > 1], own[n[own] > 1]
+                sums = np.zeros(len(starts), np.uint64)
+                np.add.at(sums, own, mix(ids.view(np.uint64)))
+                groups, large = mix(sums + n.astype(np.uint64)).view(np.int64)[own], n[own] > most
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (groups, ids, large)], names=["key", "id", "large"])
 
     return run
 
@@ -135,6 +153,16 @@ def companies(shared: DataFrame, most: int) -> DataFrame:
     return small.unionByName(dealt.select(F.explode(pairs).alias("key"), "id"))
 
 
+def distinct(hashed: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Of each line its different shingles, sorted. `hashed` is sorted line by line in place."""
+    for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        hashed[x:y].sort()
+    new = np.r_[True, hashed[1:] != hashed[:-1]]
+    new[bounds[:-1]] = True
+    flat, ends = hashed[new], np.r_[0, np.cumsum(new)][bounds].tolist()
+    return [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> Iterator[tuple[int, int]]:
     """Links that connect all sets connected by a Jaccard similarity of `least` or more; not all of them.
 
@@ -142,6 +170,7 @@ def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> Iterator[tuple
     """
     sizes = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    table = _near_table(flat, owner, sizes, least) if len(sets) * len(flat) <= TABLE else None
     rest = np.ones(len(sets), bool)
     for seed in range(len(sets)):
         if not rest[seed]:
@@ -150,17 +179,30 @@ def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> Iterator[tuple
         front = [seed]
         while front and rest.any():
             one = front.pop()
-            live = rest[owner]
-            flat, owner = flat[live], owner[live]
-            own = sets[one]
-            common = np.bincount(owner[own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat], minlength=len(sets))
-            near = np.flatnonzero(rest & (common >= least * (sizes + sizes[one] - common) - 1e-9))
+            if table is not None:
+                near = np.flatnonzero(rest & table[one])
+            else:
+                live = rest[owner]
+                flat, owner = flat[live], owner[live]
+                own = sets[one]
+                common = np.bincount(owner[own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat], minlength=len(sets))
+                near = np.flatnonzero(rest & (common >= least * (sizes + sizes[one] - common) - 1e-9))
             for j in near.tolist():
                 yield one, j
             rest[near] = False
             front.extend(near.tolist())
 
 
+def _near_table(flat: np.ndarray, owner: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    """Of each two sets of a small company, whether they are similar."""
+    order = np.argsort(flat)
+    flat = flat[order]
+    has = np.zeros((len(sizes), len(flat)), np.float32)
+    has[owner[order], np.cumsum(np.r_[False, flat[1:] != flat[:-1]])] = 1
+    common = has @ has.T
+    return common >= least * (sizes[:, None] + sizes - common) - 1e-9
+
+
 def at_once(starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     """Stretches of companies that are hashed together: 2,000 and LETTERS characters at most, a company at least."""
     sums = np.r_[0, np.cumsum(sizes)]
@@ -172,14 +214,14 @@ def at_once(starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> Iterator
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines sorted by key and id, to verified links."""
+    """Lines sorted by key, to verified links."""
     for starts, ends, c in sorted_runs(batches, "key"):
         a, b, ids = [], [], c["id"]
         for at, to in at_once(starts, ends, np.fromiter(map(len, c["line"]), np.int64, len(ids))):
             some = list(zip(starts[at:to].tolist(), ends[at:to].tolist(), strict=True))
             rows = [i for s, e in some for i in range(s, e)]
             hashed, bounds = shingles(c["line"][rows].tolist())
-            sets, k = [np.unique(hashed[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], 0
+            sets, k = distinct(hashed, bounds), 0
             for s, e in some:
                 own = sets[k : k + e - s]
                 k += e - s
@@ -197,23 +239,43 @@ def _near(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
     return common >= least * (len(x) + len(y) - common) - 1e-9
 
 
+def marks(ids: DataFrame) -> np.ndarray:
+    """A bit for the last digits of each id, 16 bits an id but MOST_BITS at most: an id whose bit is not set is none of them."""
+    bits = max(PAGE, min(MOST_BITS, 1 << (16 * ids.count()).bit_length()))
+    low = F.col("id").bitwiseAND(F.lit(bits - 1))
+    pages = ids.groupBy(F.shiftright(low, 15).alias("page")).agg(F.bitmap_construct_agg(low.bitwiseAND(F.lit(PAGE - 1))).alias("bits")).collect()  # MOST_BITS
+    out = np.zeros((bits // PAGE, PAGE // 8), np.uint8)
+    for p in pages:
+        out[p.page] = np.frombuffer(p.bits, np.uint8)
+    return out.ravel()
+
+
+def marked(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = ids & (len(bits) * 8 - 1)
+    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
 def similar_lines(own: DataFrame, most: int = MOST_MEMBERS) -> DataFrame:
     """(node, component): ids of lines that are near to others, over all documents own(k, text)."""
     spark = own.sparkSession
     ship_code(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bands = map_rows(own.select("text"), _band_rows, "key long, id long")
-    shared = written(bands.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_shared(most), "key long, id long, large boolean").distinct(), "bands")
+    shared = written(bands.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared(most), "key long, id long, large boolean").distinct(), "bands")
+
+    bits = spark.sparkContext.broadcast(marks(shared.select("id")))  # 8 MB at most
 
     def texts(part: pa.RecordBatch) -> dict:
         found = _lines(part)
-        return {"line_id": np.fromiter(found.values(), np.int64, len(found)), "line": pa.array(list(found), pa.string())}
+        ids = np.fromiter(found.values(), np.int64, len(found))
+        met = marked(ids, bits.value)
+        return {"line_id": ids[met], "line": pa.array(list(compress(found, met.tolist())), pa.string())}
 
     wanted = shared.select(F.col("id").alias("w")).distinct()
     lines = map_rows(own.select("text"), texts, "line_id long, line string")
     lines = lines.join(wanted, F.col("line_id") == F.col("w"), "left_semi").dropDuplicates(["line_id"])
     members = companies(shared, most).join(lines, F.col("id") == F.col("line_id")).select("key", "id", "line")
-    links = members.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_links, "a long, b long")
+    links = members.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
     return components(links, "lines")
 
 
@@ -256,7 +318,7 @@ def remove_similar_lines(docs: DataFrame, most: int = MOST_MEMBERS) -> DataFrame
     """
     own = documents_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "doc_id", "text")
     near = similar_lines(own, most)
-    at = map_rows(own.select("k", "text"), _occurrences, "k long, at int, id long")
+    at = written(map_rows(own.select("k", "text"), _occurrences, "k long, at int, id long"), "line-places")
     first = at.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("k", "at")).alias("first"))
     grouped = first.join(near, F.col("id") == F.col("node"), "left").filter("n > 1 or node is not null").select(
         "id", "first", F.coalesce("component", "id").alias("component")
