@@ -145,3 +145,33 @@ def test_very_repetitive_documents_come_back(spark, tmp_path):
     path = str(tmp_path / "t")
     token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, tokenizer_path())
     assert sorted((r.doc_id, r.start, r.n_tokens) for r in token_files.read_tokens(spark, path).drop("ids").collect()) == [(i, i * 400_001, 400_001) for i in range(12)]
+
+
+def test_pieces_of_all_assigned_letters_and_spaces(library):
+    """Arrow cuts texts where the library does; words reach it normalised and in byte letters."""
+    pieces = token_files.LibraryPieces(load(tokenizer_path()))
+    texts = ["x" + "".join(map(chr, range(a, a + 16))) + " y" for a in range(0, 0xD800, 16)]
+    for text, got in zip(texts, pieces.texts(texts), strict=True):
+        assert ids_of(got).tolist() == ids(library, text), repr(text)
+
+
+def test_known_pieces_take_few_bytes(monkeypatch):
+    """A worker's table holds a column of short pieces and one of ids, not objects; a long piece is not kept."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    pieces = token_files.LibraryPieces(load(tokenizer_path()))
+    texts = [" ".join(f"word{k}" for k in range(a, a + 1000)) for a in range(0, 40_000, 1000)] + ["q" * 1_000]
+    pieces.texts(["warm up"])
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    pieces.texts(texts)
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 80 * 40_000
+    assert len(pieces.known) == 40_002
+    monkeypatch.setattr(token_files, "KEPT_PIECES", 1000)
+    pieces.texts(["word1 word2"])
+    pieces.texts(["word2 word3"])
+    assert len(pieces.known) < 1000

@@ -61,7 +61,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Itera
         yield batch.slice(int(a), int(b - a))
 
 
-def map_rows(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str | T.StructType, text: str = "text") -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str | T.StructType, text: str = "text", most: int = BATCH_BYTES) -> DataFrame:
     """`make` turns a few rows into columns of `schema`, in Arrow batches bounded by bytes of `text`."""
     ship_code(df.sparkSession)
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -69,7 +69,7 @@ def map_rows(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, most):
                 columns = make(part)
                 yield pa.RecordBatch.from_arrays([as_array(columns[n]) for n in names], names=names)
             del batch

@@ -19,7 +19,8 @@ import tokenizers
 #: Entries of a worker's tables; when full they become the old ones, from which what is met again moves on.
 KEPT_PIECES, KEPT_WORDS = 200_000, 300_000
 #: White space for str.split() but not for the tokenizer.
-_ODD = regex.compile("[\x1c-\x1f]")
+ODD_SPACES = "[\x1c-\x1f]"
+_ODD = regex.compile(ODD_SPACES)
 
 
 def load(path: str) -> bytes:
@@ -27,11 +28,6 @@ def load(path: str) -> bytes:
     return Path(path).read_bytes()
 
 
-def plain_spaces(text: str, mark: str) -> bool:
-    """Whether a text may be cut by str.split(): no special token, no white space that the tokenizer sees otherwise."""
-    return mark not in text and not _ODD.search(text)
-
-
 class Pieces:
     """Ids of pieces, as little-endian unsigned 32-bit integers, and of whole texts."""
 

@@ -23,84 +23,131 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import tokenizers
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 from .common import documents_of, map_rows, ship_code, written
-from .pretokens import WordBpe, forget, kept, load, plain_spaces, unknown
+from .pretokens import ODD_SPACES, WordBpe, byte_letters, forget, kept, load, unknown
 
 MAGIC, VERSION = b"VTOK", 1
-#: Pieces a worker knows; when full the table becomes the old one, from which what is met again moves on.
-KEPT_PIECES = 200_000
+#: Pieces a worker knows, of so many bytes at most; when they are more, those not met since the last time go.
+KEPT_PIECES, KEPT_BYTES = 400_000, 100
+#: Bytes of texts whose pieces are told apart at once; a longer text comes alone.
+TEXT_BYTES = 6 << 20
 HEADER = struct.Struct("<4sH32sI")
 END_ID, LEVEL = 2, 3
 #: The dictionary is trained on the ids of at most so many documents, those with the smallest hashes of their ids, of at most so many characters.
 SAMPLE_DOCUMENTS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_000, 20_000, 64 << 10
-#: Frames of a block; a longer frame is a block of its own.
-BLOCK_BYTES = 1 << 20
+#: Frames of a block; a longer frame is a block of its own. Less than what the JVM's collector takes for a huge array.
+BLOCK_BYTES = 1 << 18
 #: Bytes of ids that a reader decompresses at once; a longer document comes alone.
-READ_BYTES = 4 << 20
+READ_BYTES = 2 << 20
 #: Row groups of a file: no reader holds more than one and a task's split.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 2 << 20
 #: Files of a table: one for so many compressed bytes, and no more than so many.
-SHARD_BYTES, MOST_SHARDS = 64 << 20, 10_000
+SHARD_BYTES, MOST_SHARDS = 32 << 20, 10_000
+
+
+def _in_a_row(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of `values`, one behind the other."""
+    at = np.repeat(starts - np.cumsum(sizes, dtype=np.int64) + sizes, sizes)
+    at += np.arange(len(at))
+    return values[at]
 
 
 class LibraryPieces:
-    """The tokenizers library, which gets each distinct piece (a run without white space) once.
+    """The tokenizers library, which gets each distinct piece (a run without white space) of some texts once.
 
-    New pieces go to it in rows of many; its ids are cut again at those that end a word, by
-    the number of words of each piece. No table of words is kept beside that of pieces.
+    Arrow cuts the texts and tells their pieces apart; Python sees pieces that are not known.
+    Of those the words go to the library in rows of many, already normalised and in the letters
+    that stand for bytes, so that it cuts at blanks alone; its ids are cut again at those that
+    end a word. What is known lies in a column of pieces and one of ids.
     """
 
     def __init__(self, file: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        bpe = WordBpe(file)
-        self.library, self.pattern, self.mark = bpe.library, bpe.pattern, bpe.mark
-        self.ends = np.array([t.endswith(bpe.end) for t in bpe.tokens])
-        self.of: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        cut = [None if t and not plain_spaces(t, self.mark) else (t or "").split() for t in texts]
-        if len(self.of) > KEPT_PIECES:
-            self.of, self.old = {}, self.of
-        of, old = self.of, self.old
-        new = [p for p in set(chain.from_iterable(c for c in cut if c)) if p not in of]
-        of.update((p, old[p]) for p in new if p in old)
-        self._learn([p for p in new if p not in old])
-        return [self._whole([t])[0] if c is None else b"".join(map(of.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+        self.bpe = WordBpe(file)
+        self.library, self.mark = self.bpe.library, self.bpe.mark
+        self.words = tokenizers.Tokenizer(self.library.model)  # the same model, without normaliser and special tokens
+        self.words.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
+        self.letters = {b: c for b, c in enumerate(byte_letters()) if b != 32}
+        self.ends = np.array([t.endswith(self.bpe.end) for t in self.bpe.tokens])
+        self.known, self.met = pa.array([], pa.string()), np.empty(0, bool)
+        self.ids, self.sizes = np.empty(0, "<u4"), np.empty(0, np.int32)
+
+    def texts(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        odd = pc.or_(pc.match_substring(texts, self.mark), pc.match_substring_regex(texts, ODD_SPACES))
+        cut = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        coded = cut.values.dictionary_encode()
+        of, sizes = self._ids_of(coded.dictionary)
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        word = coded.indices.to_numpy()
+        bounds = (np.r_[0, np.cumsum(sizes[word], dtype=np.int64)][cut.offsets.to_numpy()] * 4).tolist()
+        flat = _in_a_row(of, starts[word], sizes[word]).tobytes()
+        out = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = self._whole([texts[k].as_py()])[0]
+        return out
+
+    def _ids_of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pieces in a row, and how many each has; new short ones are known from now on."""
+        if len(self.known) > KEPT_PIECES:
+            self.ids = self.ids[np.repeat(self.met, self.sizes)]
+            self.known, self.sizes = self.known.filter(pa.array(self.met)), self.sizes[self.met]
+            self.met = np.zeros(len(self.known), bool)
+        place = pc.index_in(pieces, value_set=self.known)
+        new = np.asarray(place.is_null())
+        fresh = pieces.filter(pa.array(new))
+        learned = self._learn(fresh.to_pylist())
+        at = np.empty(len(pieces), np.int64)
+        old = pc.drop_null(place).to_numpy()
+        at[~new], at[new] = old, len(self.known) + np.arange(len(learned))
+        self.met[old] = True
+        ids = np.concatenate([self.ids, np.frombuffer(b"".join(learned), "<u4")])
+        all_sizes = np.concatenate([self.sizes, np.fromiter(map(len, learned), np.int32, len(learned)) // 4]).astype(np.int32)
+        starts, sizes = (np.cumsum(all_sizes, dtype=np.int64) - all_sizes)[at], all_sizes[at]
+        of = _in_a_row(ids, starts, sizes)
+        short = np.asarray(pc.less_equal(pc.binary_length(fresh), KEPT_BYTES))
+        keep = np.r_[np.ones(len(self.known), bool), short]
+        self.ids, self.sizes = ids[np.repeat(keep, all_sizes)], all_sizes[keep]
+        self.known = pa.concat_arrays([self.known, fresh.filter(pa.array(short))])
+        self.met = np.r_[self.met, np.ones(int(short.sum()), bool)]
+        return of, sizes
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        odd = {c for c in set().union(*pieces) if unknown(c)}
-        if odd:
-            strange = [p for p in pieces if not odd.isdisjoint(p)]
-            self.of.update(zip(strange, self._whole(strange), strict=True))
-            pieces = [p for p in pieces if odd.isdisjoint(p)]
-        for at in range(0, len(pieces), 2000):
-            some = pieces[at : at + 2000]
-            row = " ".join(some)
-            words = self._words(row)
-            ids = np.frombuffer(self._whole([row])[0], "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != sum(words):  # the library sees other words in one of them
-                self.of.update(zip(some, self._whole(some), strict=True))
-                continue
-            data, last = ids.tobytes(), (stops[np.cumsum(words) - 1] * 4).tolist()
-            self.of.update((p, data[a:b]) for p, a, b in zip(some, [0, *last[:-1]], last, strict=True))
-
-    def _words(self, row: str) -> list[int]:
-        """Of how many words each piece of a row is; a piece of letters is one."""
-        lower = row.lower() if row.isascii() else unicodedata.normalize("NFC", row).lower()
-        return [1 if p.isalpha() else len(self.pattern.findall(p)) for p in lower.split(" ")]
-
-
-def _ids(file: bytes, texts: list[str | None]) -> list[bytes]:
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        return list(chain.from_iterable(self._row(pieces[at : at + 2000]) for at in range(0, len(pieces), 2000)))
+
+    def _row(self, pieces: list[str]) -> list[bytes]:
+        row = " ".join(pieces)
+        if unknown("".join(set(row))) or not unicodedata.is_normalized("NFC", lower := self.bpe.normal(row)):
+            if len(pieces) == 1:
+                return self._whole(pieces)
+            strange = [not p.isascii() and (unknown(p) or not unicodedata.is_normalized("NFC", self.bpe.normal(p))) for p in pieces]
+            plain = iter(self._row(some) if (some := [p for p, s in zip(pieces, strange, strict=True) if not s]) and any(strange) else self._whole(some))
+            whole = iter(self._whole([p for p, s in zip(pieces, strange, strict=True) if s]))
+            return [next(whole if s else plain) for s in strange]
+        words = [[p] if p.isalpha() else self.bpe.pattern.findall(p) for p in lower.split(" ")]
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        text = " ".join(chain.from_iterable(words))
+        if not (text.isascii() and text.isprintable()):
+            text = text.encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.r_[0, np.flatnonzero(self.ends[ids]) + 1]
+        if len(n) != len(pieces) or len(stops) != n.sum() + 1:  # the library sees other words in one of them
+            return self._whole(pieces)
+        data, bounds = ids.tobytes(), (stops[np.r_[0, np.cumsum(n)]] * 4).tolist()
+        return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _ids(file: bytes, texts: list[str | None] | pa.Array) -> list[bytes]:
     end = struct.pack("<I", END_ID)
     return [x + end for x in kept("library", file, LibraryPieces).texts(texts)]
 
@@ -187,14 +234,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
 
     def make(part: pa.RecordBatch) -> dict:
         known, shared = sent.value
-        ids = _ids(known, part.column("text").to_pylist())
+        ids = _ids(known, part.column("text"))
         press = compressor(shared)
         return {
             "doc_id": part.column("doc_id"), "n_tokens": np.array([len(i) // 4 for i in ids], np.int64),
             "frame": pa.array([press.compress(i) for i in ids], pa.binary()),
         }
 
-    frames = written(map_rows(documents_of(docs), make, "doc_id long, n_tokens long, frame binary"), "frames")
+    frames = written(map_rows(documents_of(docs), make, "doc_id long, n_tokens long, frame binary", most=TEXT_BYTES), "frames")
     size = frames.agg(F.sum(F.length("frame"))).first()[0] or 0
     shards = min(MOST_SHARDS, max(1, -(-size // SHARD_BYTES)), max(1, frames.count()))
     bounds = frames.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 10 * MOST_SHARDS)).first()[0] if shards > 1 else []
