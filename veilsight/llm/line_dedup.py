@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +24,8 @@ BLOCK = 1 << 16
 MOST_MEMBERS = 20_000
 #: Band rows of a key that are held at once; characters of companies that are hashed at once.
 RUN, LETTERS = 1 << 20, 1 << 17
-#: Sets times elements of a company whose pairs are counted in one table.
-TABLE = 1 << 20
+#: Sets times different elements of a company whose pairs are counted in one table.
+TABLE = 1 << 21
 #: Bits that say which lines are in no company; more companies' lines share them.
 MOST_BITS, PAGE = 1 << 26, 1 << 15
 
@@ -170,7 +169,7 @@ def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> Iterator[tuple
     """
     sizes = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    table = _near_table(flat, owner, sizes, least) if len(sets) * len(flat) <= TABLE else None
+    table = _near_table(flat, owner, sizes, least) if len(sets) <= 512 else None
     rest = np.ones(len(sets), bool)
     for seed in range(len(sets)):
         if not rest[seed]:
@@ -193,12 +192,15 @@ def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> Iterator[tuple
             front.extend(near.tolist())
 
 
-def _near_table(flat: np.ndarray, owner: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
-    """Of each two sets of a small company, whether they are similar."""
+def _near_table(flat: np.ndarray, owner: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray | None:
+    """Of each two sets of a company, whether they are similar; None if they have too many different elements."""
     order = np.argsort(flat)
     flat = flat[order]
-    has = np.zeros((len(sizes), len(flat)), np.float32)
-    has[owner[order], np.cumsum(np.r_[False, flat[1:] != flat[:-1]])] = 1
+    code = np.cumsum(np.r_[False, flat[1:] != flat[:-1]])
+    if len(sizes) * (int(code[-1]) + 1) > TABLE:
+        return None
+    has = np.zeros((len(sizes), int(code[-1]) + 1), np.float32)
+    has[owner[order], code] = 1
     common = has @ has.T
     return common >= least * (sizes[:, None] + sizes - common) - 1e-9
 
@@ -257,37 +259,41 @@ def marked(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 def similar_lines(own: DataFrame, most: int = MOST_MEMBERS) -> DataFrame:
     """(node, component): ids of lines that are near to others, over all documents own(k, text)."""
+    return _similar(own, most)[0]
+
+
+def _similar(own: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """similar_lines(), and the place of each line that is not blank: (k, at, id)."""
     spark = own.sparkSession
     ship_code(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bands = map_rows(own.select("text"), _band_rows, "key long, id long")
     shared = written(bands.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared(most), "key long, id long, large boolean").distinct(), "bands")
-
     bits = spark.sparkContext.broadcast(marks(shared.select("id")))  # 8 MB at most
-
-    def texts(part: pa.RecordBatch) -> dict:
-        found = _lines(part)
-        ids = np.fromiter(found.values(), np.int64, len(found))
-        met = marked(ids, bits.value)
-        return {"line_id": ids[met], "line": pa.array(list(compress(found, met.tolist())), pa.string())}
-
+    places = written(map_rows(own.select("k", "text"), lambda part: _places(part, bits.value), "k long, at int, id long, line string"), "line-places")
     wanted = shared.select(F.col("id").alias("w")).distinct()
-    lines = map_rows(own.select("text"), texts, "line_id long, line string")
+    lines = places.filter("line is not null").select(F.col("id").alias("line_id"), "line")
     lines = lines.join(wanted, F.col("line_id") == F.col("w"), "left_semi").dropDuplicates(["line_id"])
     members = companies(shared, most).join(lines, F.col("id") == F.col("line_id")).select("key", "id", "line")
     links = members.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
-    return components(links, "lines")
+    return components(links, "lines"), places.select("k", "at", "id")
 
 
-def _occurrences(part: pa.RecordBatch) -> dict:
-    ks, ats, ids = [], [], []
+def _places(part: pa.RecordBatch, bits: np.ndarray) -> dict:
+    """Where each line is; with it, at its first place in a slice, what is compared of it if it may be in a company."""
+    ks, ats, ids, lines = [], [], [], []
     for k, text in zip(part.column("k").to_pylist(), part.column("text").to_pylist(), strict=True):
         for at, line in enumerate(text.split("\n")):
             if p := plain(line):
                 ks.append(k)
                 ats.append(at)
                 ids.append(line_id(p))
-    return {"k": pa.array(ks, pa.int64()), "at": pa.array(ats, pa.int32()), "id": pa.array(ids, pa.int64())}
+                lines.append(p)
+    ids = np.array(ids, np.int64)
+    first = np.zeros(len(ids), bool)
+    first[np.unique(ids, return_index=True)[1]] = True
+    first &= marked(ids, bits)
+    return {"k": pa.array(ks, pa.int64()), "at": pa.array(ats, pa.int32()), "id": ids, "line": pa.array([p if f else None for p, f in zip(lines, first.tolist(), strict=True)], pa.string())}
 
 
 def _cut(part: pa.RecordBatch) -> dict:
@@ -317,8 +323,7 @@ def remove_similar_lines(docs: DataFrame, most: int = MOST_MEMBERS) -> DataFrame
     gives no rows.
     """
     own = documents_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "doc_id", "text")
-    near = similar_lines(own, most)
-    at = written(map_rows(own.select("k", "text"), _occurrences, "k long, at int, id long"), "line-places")
+    near, at = _similar(own, most)
     first = at.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("k", "at")).alias("first"))
     grouped = first.join(near, F.col("id") == F.col("node"), "left").filter("n > 1 or node is not null").select(
         "id", "first", F.coalesce("component", "id").alias("component")
