@@ -61,6 +61,23 @@ def test_batch_keeps_failures(spark):
     assert [(r["article_idx"], r["text"]) for r in rows] == [(0, "A"), (1, None), (2, "C")]
 
 
+def test_batch_query_gives_every_address_and_its_text(spark, tmp_path):
+    from veilsight.plans.queries import QUERIES
+
+    stored = [(1, "https://e.com/a", f"<article><p>{LONG} old</p></article>"), (3, "https://e.com/a", f"<article><p>{LONG} new</p></article>"),
+              (2, "https://e.com/a", f"<article><p>{LONG} mid</p></article>"), (4, "https://e.com/b", "<p>short</p>"),
+              (5, "https://e.com/c", f"<article><p>{LONG}</p></article>"), (6, "https://e.com/c", None), (7, None, f"<body>{LONG}</body>")]
+    spark.createDataFrame(stored, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    docs = spark.createDataFrame([(8, "post", "web"), (9, None, "web")], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["article_batch"](spark, str(tmp_path))
+    assert rows.columns == ["article_idx", "url", "text"]
+    assert {(r["url"], r["text"]) for r in rows.collect()} == {
+        ("https://e.com/a", f"{LONG} new"), ("https://e.com/b", None), ("https://e.com/c", None), (None, None),
+        ("https://web.example.com/post/8", None), ("https://web.example.com/post/9", None)}
+    assert rows.count() == 6 and rows.filter("url like '%/post/%'").agg(F.sum("article_idx")).first()[0] == 17
+
+
 def test_listing_page(spark):
     link = lambda path: f"<a href='{path}'>ferry report of the day</a>"
     html = f"{link('/2024/top/a.html')}<article>{link('/2024/ferry/b.html')}<p>{link('/2024/ferry/c.html')}</p>{link('/tickets/2024/d.html')}</article>"
