@@ -52,6 +52,27 @@ def test_edge_ids_are_not_shuffled(spark, joins_by_sorting):
         assert "Exchange" not in physical(edges.groupBy(*KEY).agg(F.countDistinct("id")))
 
 
+def test_names_are_hashed_once_a_name_and_actors_of_edges_before_their_join(spark, joins_by_sorting):
+    batch = in_buckets(spark)
+    edges = X.edges(batch)
+    for df, kind, ref in ((X.intrusion_sets(batch), "uses", "source_ref"), (X.vulnerabilities(batch), "targets", "target_ref")):
+        assert "sha1(" not in physical(df)  # not in rows of mentions: the id is made of a group's name
+        assert [r["id"] for r in df.collect()] == [r[ref] for r in edges[kind].collect()]
+    assert "sha1(" not in physical(X.locations(batch))
+    top, _, below = physical(edges["targets"]).partition("SortMergeJoin")
+    assert "concat_ws(\x1f, _head#" in top and "AS _head#" in below
+
+
+def test_uuid5_of_any_text(spark):
+    import uuid
+
+    from veilsight.fixed_values import STIX_NAMESPACE
+
+    names = ["", "a", "b\x1fc", "é", "日本語 Æ", "\U0001f642", "x" * 300]
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select("name", X.uuid5(F.col("name")).alias("id"))
+    assert {r["name"]: r["id"] for r in rows.collect()} == {n: str(uuid.uuid5(uuid.UUID(STIX_NAMESPACE), n)) for n in names}
+
+
 def test_records_meet_without_a_shuffle_of_lists(spark, joins_by_sorting):
     plan = physical(R.records(in_buckets(spark), AS_OF))
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "part#" in line]
