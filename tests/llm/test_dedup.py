@@ -333,3 +333,42 @@ def test_shingles_are_those_of_each_line():
         assert hashed[bounds[k] : bounds[k + 1]].tolist() == alone.tolist()
     sets = line_dedup.distinct(hashed.copy(), bounds)
     assert [s.tolist() for s in sets] == [sorted(set(hashed[a:b].tolist())) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def test_op8_links_of_an_index_connect_what_brute_force_connects(monkeypatch):
+    rng = random.Random(11)
+    monkeypatch.setattr(line_dedup, "TABLE", 0)
+    for trial in range(150):
+        monkeypatch.setattr(line_dedup, "SHARED", rng.choice([5, 1 << 21]))
+        most, base, sets = rng.choice([8, 40, 300]), set(range(rng.randrange(1, 25))), []
+        for _ in range(rng.randrange(1, 50)):
+            one = {x for x in base if rng.random() < 0.9} if rng.random() < 0.6 else set()
+            sets.append(one | {rng.randrange(most) for _ in range(rng.randrange(1, 8))})
+        found = list(line_dedup.similar([np.array(sorted(x), np.uint64) for x in sets]))
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+        assert {(max(p), min(p)) for p in found} <= set(near)
+        parent = {}
+        for i, j in found:
+            components.unite(parent, i, j)
+        assert all(components.find(parent, i) == components.find(parent, j) for i, j in near), trial
+
+
+def test_op8_near_copies_are_compared_by_what_they_differ_in(monkeypatch):
+    rng = np.random.default_rng(5)
+    base, read = np.arange(500), []
+
+    class Counted(line_dedup._Shared):
+        def of(self, one, rest, left):
+            out = super().of(one, rest, left)
+            read.append(len(self.places))
+            return out
+
+    monkeypatch.setattr(line_dedup, "_Shared", Counted)
+    sets = []
+    for i in range(600):  # a twentieth of the lines differ in too much to be linked to any
+        lost = rng.choice(500, 90 if i % 20 == 0 else 10, replace=False)
+        sets.append(np.r_[np.delete(base, lost), 1_000 + 100 * i + np.arange(len(lost))].astype(np.uint64))
+    sets = [np.sort(x) for x in sets]
+    assert len(list(line_dedup.similar(sets))) == 569
+    # The company has 300,000 shingles; each of the linked lines was compared with those of all lines left.
+    assert max(read) < 600 * 500 // 10 and sorted(read)[len(read) // 2] < 30 * 500

@@ -26,6 +26,8 @@ MOST_MEMBERS = 20_000
 RUN, LETTERS = 1 << 20, 1 << 17
 #: Sets times different elements of a company whose pairs are counted in one table.
 TABLE = 1 << 21
+#: Places of an index that are read at once.
+SHARED = 1 << 21
 #: Bits that say which lines are in no company; more companies' lines share them.
 MOST_BITS, PAGE = 1 << 26, 1 << 15
 
@@ -170,28 +172,78 @@ def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> Iterator[tuple
     sizes = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     table = _near_table(flat, owner, sizes, least) if len(sets) <= 512 else None
-    rest = np.ones(len(sets), bool)
+    counts = None if table is not None else _Shared(flat, owner, sizes)
+    rest, left = np.ones(len(sets), bool), len(sets)
     for seed in range(len(sets)):
         if not rest[seed]:
             continue
         rest[seed] = False
+        left -= 1
         front = [seed]
-        while front and rest.any():
+        while front and left:
             one = front.pop()
             if table is not None:
                 near = np.flatnonzero(rest & table[one])
             else:
-                live = rest[owner]
-                flat, owner = flat[live], owner[live]
-                own = sets[one]
-                common = np.bincount(owner[own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat], minlength=len(sets))
-                near = np.flatnonzero(rest & (common >= least * (sizes + sizes[one] - common) - 1e-9))
+                live, common = counts.of(one, rest, left)
+                near = live[rest[live] & (common >= least * (sizes[live] + sizes[one] - common) - 1e-9)]
             for j in near.tolist():
                 yield one, j
             rest[near] = False
+            left -= len(near)
             front.extend(near.tolist())
 
 
+class _Shared:
+    """How many elements each two sets share, from an index of the sets by element.
+
+    An element of over half of the sets is indexed by the sets that lack it, so that near copies are told apart by what
+    differs: what each set is known by is its elements of few sets and the elements of many that it lacks.
+    """
+
+    def __init__(self, flat: np.ndarray, owner: np.ndarray, sizes: np.ndarray):
+        n = len(sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        code = np.cumsum(np.r_[False, flat[1:] != flat[:-1]])
+        many = np.bincount(code) * 2 > n
+        usual = many[code]
+        has = np.zeros((n, int(many.sum())), bool)  # no more than twice the elements
+        has[owner[usual], (np.cumsum(many) - 1)[code[usual]]] = True
+        lacking, what = np.nonzero(~has)
+        code, owner = np.r_[code[~usual], np.flatnonzero(many)[what]], np.r_[owner[~usual], lacking]
+        self.sizes, self.known_by = sizes, np.bincount(owner, minlength=n)
+        self.elements = code[np.argsort(owner, kind="stable")]
+        self.bounds = np.r_[0, np.cumsum(self.known_by)]
+        self.places = owner[np.argsort(code, kind="stable")]
+        self.starts = np.r_[0, np.cumsum(np.bincount(code, minlength=len(many)))]
+        self.live = np.arange(n)
+
+    def of(self, one: int, rest: np.ndarray, left: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sets, all of `rest` (`left` many) among them, and how many elements each shares with `one`."""
+        if left * 2 < len(self.live):
+            self._leave(rest)
+        elements = self.elements[self.bounds[one] : self.bounds[one + 1]]
+        starts = self.starts[elements]
+        n = self.starts[elements + 1] - starts
+        both = np.zeros(len(self.live), np.int64)
+        portion = np.cumsum(n) // SHARED
+        for cut in np.split(np.arange(len(n)), np.flatnonzero(portion[1:] != portion[:-1]) + 1):
+            s, m = starts[cut], n[cut]
+            at = np.repeat(s - np.cumsum(m) + m, m) + np.arange(int(m.sum()))
+            both += np.bincount(self.places[at], minlength=len(both))
+        apart = self.known_by[self.live] + self.known_by[one] - 2 * both
+        return self.live, (self.sizes[self.live] + self.sizes[one] - apart) // 2
+
+    def _leave(self, rest: np.ndarray) -> None:
+        """From now on only sets of `rest`."""
+        stays = rest[self.live]
+        keep = stays[self.places]
+        self.places = (np.cumsum(stays) - 1)[self.places[keep]]
+        self.starts = np.r_[0, np.cumsum(keep)][self.starts]
+        self.live = self.live[stays]
+
+
 def _near_table(flat: np.ndarray, owner: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray | None:
     """Of each two sets of a company, whether they are similar; None if they have too many different elements."""
     order = np.argsort(flat)
